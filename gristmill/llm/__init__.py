@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .quality_rules import op7_quality_rules
+from .secret_scans import op8_secret_scans
+from .url_filters import op2_url_filters
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_quality_rules,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_url_filters, op7_quality_rules, op8_secret_scans)}
 ORACLE_SQL: dict[str, str] = {}
