@@ -136,7 +136,7 @@ def read(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = T
 
     ``start`` counts the ids of all documents before; the checksum is over ids as little-endian 32-bit integers.
     """
-    data = spark.read.schema(_DATA).parquet(f"{path}/data")
+    data = lambda kind: spark.read.schema(_DATA).parquet(f"{path}/data").filter(F.col("kind") == kind)
     base = spark.read.parquet(f"{path}/parts")
 
     def of_part(docs: pa.Table, chunks: pa.Table) -> pa.Table:
@@ -151,8 +151,8 @@ def read(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = T
             out.append(pa.array([ids[a : a + k] for a, k in zip(start.tolist(), n.tolist(), strict=True)], pa.list_(pa.int64())))
         return pa.table(out, [key, "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    docs = data.filter("kind = 'doc'").select("part", "key", "start", "n").join(base, "part", "left").withColumn("base", F.coalesce("base", F.lit(0)))
-    chunks = data.filter("kind = 'chunk'").select("part", "seq", "n", "width", "planes")
+    docs = data("doc").select("part", "key", "start", "n").join(base, "part", "left").withColumn("base", F.coalesce("base", F.lit(0)))
+    chunks = data("chunk").select("part", "seq", "n", "width", "planes")
     schema = f"`{key}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     return docs.groupBy("part").cogroup(chunks.groupBy("part")).applyInArrow(of_part, schema)
 
