@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import quality_rules
+from gristmill.llm import bpe, mixing, ngram_join, quality_rules, secret_scans
 from gristmill.llm.common import stored, table
 
 
@@ -13,7 +13,34 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.kept_documents(docs)
 
 
-STAGES = [("quality rules", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents connected by similarity, the one with the least id."""
+    return ngram_join.one_of_each(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, the characters of secrets masked."""
+    return secret_scans.redacted(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each copy of a document that the mix takes."""
+    return mixing.mixture(docs).select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row."""
+    return bpe.digests(bpe.decode(bpe.encode(docs)))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("secret scans", secret_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("BPE encoding and decoding", token_stage),
+]
+#: SQL expresses neither the pruned join nor the tree; tests/llm holds run() against a plain version.
 ORACLE_SQL = None
 
 
