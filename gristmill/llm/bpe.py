@@ -35,7 +35,8 @@ _WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Documents may be long: keep Arrow batches to ``rows`` rows."""
+    """Documents may be long: keep Arrow batches to ``rows`` rows and 16 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 24))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -236,6 +237,31 @@ def encode(docs: DataFrame, key: str = "doc_id", path: str | None = None, block_
     return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(by_position, f"`{key}` {kind}, ids array<int>")
 
 
+def encode_in_place(docs: DataFrame, key: str = "doc_id", path: str | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """As ``encode``, without a shuffle: each block keeps a table of its own distinct words and encodes each once.
+
+    Rows keep their partition and their order. Words that many blocks share are encoded once for each.
+    """
+    spark, path = docs.sparkSession, path or tokenizer_path()
+    small_batches(spark)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, b in _blocks(batches, path, 1, block_words):
+            encoder = Encoder.of(path)
+            words = pa.array([encoder.word(w) for w in b.words.to_pylist()], pa.list_(pa.int32()))
+            lengths = np.diff(words.offsets.to_numpy())
+            tokens = np.concatenate([[0], np.cumsum(lengths[b.codes], dtype=np.int64)])
+            ends = tokens[np.concatenate([[0], np.cumsum(b.sizes, dtype=np.int64)])]
+            keys, first = b.keys.combine_chunks(), 0
+            while first < len(keys):  # batches of some million ids
+                stop = max(first + 1, int(np.searchsorted(ends, ends[first] + (1 << 21), side="right")) - 1)
+                ids = words.take(pa.array(b.codes[slice(*np.searchsorted(tokens, ends[[first, stop]]))])).flatten() if ends[first] < ends[stop] else pa.array([], pa.int32())
+                yield pa.record_batch([keys[first:stop], pa.ListArray.from_arrays(pa.array((ends[first : stop + 1] - ends[first]).astype(np.int32)), ids)], [key, "ids"])
+                first = stop
+
+    return _split(docs, key, Vocabulary(path)).mapInArrow(encoded, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` with ``decoded``: the text of its ``ids``, malformed bytes replaced."""
     spark, path = encoded.sparkSession, path or tokenizer_path()

@@ -2,16 +2,18 @@
 
 Layout of a written set, three tables in one folder on any file system Spark writes to:
 
-* ``data``: rows of kind ``chunk`` (part, seq, n ids, width in bytes, planes) and of kind ``doc`` (part, key, first
-  id within the part, number of ids). A part is a range of keys in ascending order; each chunk of a part but the last
+* ``chunks``: one row per block of ids: part, seq within the part, number of ids, width of an id in bytes, planes,
+  and the documents in it: their number within the part, key, ids that lie in the block, and whether the document began
+  before the block or goes on after it. A part is a range of keys in ascending order; each block of a part but the last
   holds ``CHUNK`` ids.
-* ``index``: one row per chunk with its part, the global number of its first id, its count and its size in bytes.
-* ``parts``: one row per part with the global number of its first id.
+* ``parts``: per part the global number of its first id.
+* ``index``: per block its part, seq, the global number of its first id, its ids and its size in bytes.
 
-Spark's commit protocol writes them, so a lost executor's half-written files are never read.
+Spark's commit protocol writes them, so a lost executor's half-written files are never read. Every block is read by
+itself; only documents that lie in several blocks are brought together.
 
-Defined results: documents follow the key, null first, repeated keys in an order of their ids; an empty document has
-no ids and its row stays; an empty table writes empty tables; only the key and the ids are written.
+Defined results: documents follow the key, null first, repeated keys in the order of a hash of their texts; a document
+without ids keeps its row; an empty table writes empty tables; only the key and the ids are written.
 """
 
 from __future__ import annotations
@@ -20,18 +22,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import encode, small_batches
+from .bpe import encode_in_place, small_batches
 from .common import scratch_dir, table
 
 CHUNK = 1 << 16
-_DATA = "part int, kind string, seq int, key long, start long, n long, width int, planes array<binary>"
+_CHUNKS = "part int, seq int, n int, width int, planes array<binary>, docs array<int>, keys array<long>, sizes array<int>, before boolean, after boolean"
 
 
 def to_planes(ids: np.ndarray, unit: str = "bit", level: int = 1) -> tuple[int, list[bytes]]:
@@ -58,75 +60,61 @@ def from_planes(n: int, width: int, planes: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(rows).view(f"<u{width}").reshape(-1).astype(np.uint32)
 
 
-def write(encoded: DataFrame, keys: DataFrame, path: str, key: str = "doc_id", end_id: int | None = 0, unit: str = "bit", parts: int | None = None, chunk: int = CHUNK) -> None:
-    """Write ``encoded`` (key long, ids) under ``path``. ``keys`` has the same keys and is cheap to read: their
-    quantiles are the bounds of the parts. ``end_id`` is appended to every document."""
-    spark = encoded.sparkSession
+def in_key_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, text) by ranges of the key, each sorted: the order of the files."""
+    order = [F.asc_nulls_first(key), F.col("tie")]
+    rows = docs.select(key, "text").withColumn("tie", F.xxhash64("text"))
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
+
+
+def write(ordered: DataFrame, path: str, key: str = "doc_id", end_id: int | None = 0, unit: str = "bit", chunk: int = CHUNK) -> None:
+    """Write ``ordered`` (key long, ids), whose partitions and rows are in file order. ``end_id`` ends every document."""
+    spark = ordered.sparkSession
     small_batches(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = [i / parts for i in range(1, parts)] or [0.5]
-    at = keys.agg(F.percentile_approx(F.col(key), cuts, 10 * parts).alias("q")).first()["q"]
-    bounds = np.unique(np.array(at or [], np.int64))
-
-    @F.pandas_udf("int")
-    def part_of(k: pd.Series) -> pd.Series:
-        some = k.notna().to_numpy()
-        out = np.zeros(len(k), np.int32)
-        out[some] = np.searchsorted(bounds, k[some].to_numpy(np.int64), side="left")
-        return pd.Series(out)
-
-    def planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, n_held, seq, start = None, [], 0, 0, 0
-        rows: list[dict] = []
-
-        def cut(final: bool) -> None:
-            nonlocal held, n_held, seq
-            flat = np.concatenate(held) if held else np.empty(0, np.uint32)
-            done = 0
-            while len(flat) - done >= chunk or (final and done < len(flat)):
-                ids = flat[done : done + chunk]
-                width, own = to_planes(ids, unit)
-                rows.append({"part": part, "kind": "chunk", "seq": seq, "n": len(ids), "width": width, "planes": own})
-                seq, done = seq + 1, done + len(ids)
-            held, n_held = [flat[done:]], len(flat) - done
-
-        def take() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pylist(rows, schema=schema)
-            rows.clear()
-            return out
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, doc, held, n_held, before = TaskContext.get().partitionId(), 0, 0, [], 0, False
+        docs: list[int] = []
+        keys: list[int | None] = []
+        sizes: list[int] = []
+
+        def block(after: bool) -> pa.RecordBatch:
+            width, planes = to_planes(np.concatenate(held) if held else np.empty(0, np.uint32), unit)
+            row = {"part": part, "seq": seq, "n": n_held, "width": width, "planes": planes, "docs": docs, "keys": keys, "sizes": sizes, "before": before, "after": after}
+            return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            lists = batch.column("ids")
-            flat, offsets = lists.flatten().to_numpy().astype(np.uint32), np.concatenate([[0], np.cumsum(np.diff(np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, lists.offset * 4)), dtype=np.int64)])
-            for i, (p, k) in enumerate(zip(batch.column("part").to_pylist(), batch.column("key").to_pylist(), strict=True)):
-                if p != part:
-                    if part is not None:
-                        cut(True)
-                    part, held, n_held, seq, start = p, [], 0, 0, 0
-                own = flat[offsets[i] : offsets[i + 1]]
-                if end_id is not None:
-                    own = np.append(own, np.uint32(end_id))
-                rows.append({"part": part, "kind": "doc", "key": k, "start": start, "n": len(own)})
-                held.append(own)
-                n_held, start = n_held + len(own), start + len(own)
-                if n_held >= 16 * chunk:
-                    cut(False)
-            if len(rows) >= 1000:
-                yield take()
-        if part is not None:
-            cut(True)
-        yield take()
-
-    schema = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("seq", pa.int32()), ("key", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("width", pa.int32()), ("planes", pa.list_(pa.binary()))])
-    placed = encoded.select(part_of(F.col(key)).alias("part"), F.col(key).alias("key"), "ids")
-    # ids as hash: documents of one key are few, so that their order costs nothing
-    dealt = placed.repartition(parts, "part").withColumn("tie", F.xxhash64("ids")).sortWithinPartitions("part", F.asc_nulls_first("key"), "tie").drop("tie")
-    dealt.mapInArrow(planes, _DATA).write.option("compression", "uncompressed").parquet(f"{path}/data")
-    chunks = spark.read.schema(_DATA).parquet(f"{path}/data").filter("kind = 'chunk'")
-    size = F.aggregate("planes", F.lit(0), lambda s, p: s + F.octet_length(p))
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy().astype(np.uint32)
+            ends = np.cumsum(np.diff(np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, lists.offset * 4)), dtype=np.int64).tolist()
+            begin = 0
+            for k, end in zip(batch.column(0).to_pylist(), ends, strict=True):
+                own = flat[begin:end] if end_id is None else np.append(flat[begin:end], np.uint32(end_id))
+                begin, at = end, 0
+                while True:
+                    some = own[at : at + chunk - n_held]
+                    docs.append(doc)
+                    keys.append(k)
+                    sizes.append(len(some))
+                    held.append(some)
+                    n_held, at = n_held + len(some), at + len(some)
+                    if n_held == chunk:
+                        yield block(at < len(own))
+                        seq, held, n_held, before, docs, keys, sizes = seq + 1, [], 0, at < len(own), [], [], []
+                    if at == len(own):
+                        break
+                doc += 1
+        if docs:
+            yield block(False)
+
+    lists = [("docs", pa.int32()), ("keys", pa.int64()), ("sizes", pa.int32())]
+    schema = pa.schema([*((c, pa.int32()) for c in ("part", "seq", "n", "width")), ("planes", pa.list_(pa.binary())), *((c, pa.list_(t)) for c, t in lists), ("before", pa.bool_()), ("after", pa.bool_())])
+    ordered.select(F.col(key).cast("long").alias("key"), "ids").mapInArrow(blocks, _CHUNKS).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
+    chunks = spark.read.schema(_CHUNKS).parquet(f"{path}/chunks")
     totals = chunks.groupBy("part").agg(F.sum("n").alias("total"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
-    totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")).write.parquet(f"{path}/parts")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base")).write.parquet(f"{path}/parts")
+    size = F.aggregate("planes", F.lit(0), lambda s, p: s + F.octet_length(p))
     based = chunks.select("part", "seq", "n", size.alias("bytes")).join(spark.read.parquet(f"{path}/parts"), "part")
     based.select("part", "seq", (F.col("base") + F.col("seq").cast("long") * chunk).alias("first_id"), "n", "bytes").write.parquet(f"{path}/index")
 
@@ -136,28 +124,42 @@ def read(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = T
 
     ``start`` counts the ids of all documents before; the checksum is over ids as little-endian 32-bit integers.
     """
-    data = lambda kind: spark.read.schema(_DATA).parquet(f"{path}/data").filter(F.col("kind") == kind)
-    base = spark.read.parquet(f"{path}/parts")
-
-    def of_part(docs: pa.Table, chunks: pa.Table) -> pa.Table:
-        chunks = chunks.sort_by("seq")
-        columns = (chunks.column(c).to_pylist() for c in ("n", "width", "planes"))
-        ids = np.concatenate([np.empty(0, np.uint32), *[from_planes(n, w, p) for n, w, p in zip(*columns, strict=True)]])
-        start, n = docs.column("start").to_numpy(), docs.column("n").to_numpy()
-        raw = memoryview(ids.astype("<u4").tobytes())
-        sums = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(start.tolist(), n.tolist(), strict=True)]
-        out = [docs.column("key"), pa.array(start + docs.column("base").to_numpy()), docs.column("n"), pa.array(sums, pa.int64())]
-        if with_ids:
-            out.append(pa.array([ids[a : a + k] for a, k in zip(start.tolist(), n.tolist(), strict=True)], pa.list_(pa.int64())))
-        return pa.table(out, [key, "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
-
-    docs = data("doc").select("part", "key", "start", "n").join(base, "part", "left").withColumn("base", F.coalesce("base", F.lit(0)))
-    chunks = data("chunk").select("part", "seq", "n", "width", "planes")
-    schema = f"`{key}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.groupBy("part").cogroup(chunks.groupBy("part")).applyInArrow(of_part, schema)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                raw = from_planes(row["n"], row["width"], row["planes"]).astype("<u4").tobytes()
+                ends = np.cumsum(row["sizes"])
+                begins, last = (ends - row["sizes"]).tolist(), len(ends) - 1
+                own = [raw[4 * a : 4 * b] for a, b in zip(begins, ends.tolist(), strict=True)]
+                split = [(i == 0 and row["before"]) or (i == last and row["after"]) for i in range(len(own))]
+                sums = [None if s else zlib.crc32(x) for s, x in zip(split, own, strict=True)]
+                n = len(own)
+                out = [pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), pa.array(row["docs"], pa.int32()), pa.array(row["keys"], pa.int64())]
+                out += [pa.array(begins, pa.int64()), pa.array(row["sizes"], pa.int64()), pa.array(sums, pa.int64())]
+                out.append(pa.array([x if s or with_ids else None for s, x in zip(split, own, strict=True)], pa.binary()))
+                yield pa.record_batch(out, ["part", "seq", "doc", "key", "at", "n", "crc", "raw"])
+
+    chunks = spark.read.schema(_CHUNKS).parquet(f"{path}/chunks")
+    small_batches(spark)
+    found = chunks.mapInArrow(pieces, "part int, seq int, doc int, key long, at long, n long, crc long, raw binary")
+    first = spark.read.parquet(f"{path}/index").select("part", "seq", "first_id")
+    placed = found.join(first, ["part", "seq"])
+    each = placed.groupBy("part", "doc").agg(F.first("key").alias("key"), F.min(F.col("first_id") + F.col("at")).alias("start"), F.sum("n").alias("n_tokens"), F.max("crc").alias("crc"), F.sort_array(F.collect_list(F.struct("seq", "raw"))).alias("parts"))
+    whole = F.aggregate("parts", F.lit(b""), lambda s, p: F.concat(s, F.coalesce(p["raw"], F.lit(b""))))
+    each = each.withColumn("raw", F.when(F.col("crc").isNull() | F.lit(with_ids), whole))
+    out = each.select("key", "start", "n_tokens", F.coalesce("crc", F.crc32("raw")).alias("ids_crc32"), "raw")
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column("raw").to_pylist()]
+            yield pa.record_batch([*batch.columns[:4], pa.array(lists, pa.list_(pa.int64()))], [*batch.schema.names[:4], "ids"])
+
+    out = out.mapInArrow(ids, "key long, start long, n_tokens long, ids_crc32 long, ids array<long>") if with_ids else out.drop("raw")
+    return out.withColumnRenamed("key", key)
 
 
 def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = table(spark, sf_dir, "documents"), scratch_dir(spark, "planes")
-    write(encode(docs), docs.select("doc_id"), path)
+    path = scratch_dir(spark, "planes")
+    write(encode_in_place(in_key_order(table(spark, sf_dir, "documents"))), path)
     return read(spark, path, with_ids=False)
