@@ -241,7 +241,10 @@ def test_mixing(spark, docs, none):
         assert r["m_target"] == pytest.approx(target[source[r["doc_id"]]]) and r["m_source_size"] == total[source[r["doc_id"]]]
         assert len(r["m_shards"]) <= 3
         taken[source[r["doc_id"]]] += r["m_size"] * len(r["m_shards"])
-    assert all(target[s] - 130 <= taken[s] <= target[s] + 1e-6 for s in ("a", "b"))
+    for s in order:  # no document that was left out of the last pass would still fit
+        own = [r for r in rows if source[r["doc_id"]] == s and r["m_size"]]
+        left_out = [r["m_size"] for r in own if len(r["m_shards"]) == min(len(x["m_shards"]) for x in own)]
+        assert taken[s] <= target[s] + 1e-6 and (target[s] - taken[s] < min(left_out) or target[s] == 3 * total[s])
     assert mixing.mixture(docs).count() == sum(len(r["m_shards"]) for r in rows)
     assert mixing.mixture(none).count() == 0
 
