@@ -44,6 +44,20 @@ def words(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(WORD), F.lit(0))
 
 
+def split_words(texts):  # noqa: ANN001, ANN201
+    """The words of an Arrow array of texts: how many each has, and all of them in one array."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[ \t-\r]+")
+    flat = lists.flatten()
+    sizes = np.diff(np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, lists.offset * 4)) if len(lists) else np.empty(0, np.int32)
+    some = pc.not_equal(flat, "")  # white space at an end leaves an empty piece
+    doc = np.repeat(np.arange(len(sizes)), sizes)[some.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, np.int64)
+    return np.bincount(doc, minlength=len(sizes)), flat.filter(some) if len(flat) else pa.array([], pa.string())
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 

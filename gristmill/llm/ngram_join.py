@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import small_batches
-from .common import stored, table, text_or_empty, words
+from .common import split_words, stored, table
 
 GRAM, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -48,10 +48,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def window_sets(lists: pa.Array, gram: int = GRAM) -> list[np.ndarray]:
-    """Of each list of words, the sorted hashes of its distinct windows."""
-    sizes = np.diff(np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, lists.offset * 4)) if len(lists) else np.empty(0, np.int32)
-    coded = lists.flatten().dictionary_encode()
+def window_sets(texts: pa.Array, gram: int = GRAM) -> list[np.ndarray]:
+    """Of each text, the sorted hashes of its distinct windows."""
+    sizes, flat_words = split_words(texts)
+    coded = flat_words.dictionary_encode()
     by_word = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
     flat = by_word[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.uint64)
     whole = np.zeros(max(len(flat) - gram + 1, 0), np.uint64)
@@ -102,7 +102,7 @@ def least_matches(threshold: float, tolerance: float, n: int) -> int:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = window_sets(batch.column("words"))
+        sets = window_sets(batch.column("text"))
         full = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         bands = [band_keys(signature(s)) if len(s) else None for s in sets]
         yield pa.record_batch([batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(full, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "n_windows", "same", "bands"])
@@ -110,7 +110,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = window_sets(batch.column("words"))
+        sets = window_sets(batch.column("text"))
         yield pa.record_batch([batch.column("key"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], ["key", "windows", "sign"])
 
 
@@ -217,8 +217,8 @@ def _links(threshold: float, tolerance: float):  # noqa: ANN202
 
 def similar(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, chunk_weight: int = CHUNK_WEIGHT) -> DataFrame:
     """(key, class_id, n_links) of every row of ``docs``: the least key of its connected group, and how many other rows have a similarity of ``threshold`` or more."""
-    small_batches(docs.sparkSession)
-    split = lambda df: df.select(F.col(key).alias("key"), words(text_or_empty()).alias("words"))
+    small_batches(docs.sparkSession, 500)
+    split = lambda df: df.select(F.col(key).alias("key"), "text")
     sketched = stored(split(docs).mapInArrow(_sketches, "key long, n_windows long, same binary, bands array<long>"), "sketches")
     classes = stored(sketched.filter("same is not null").groupBy("same").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import small_batches
-from .common import stored, table, text_or_empty, words
+from .common import split_words, stored, table
 
 BUCKETS, DIMS, REACH = 1 << 14, 32, 2
 FIT_ROWS, HIDDEN, EPOCHS, RATE, BATCH = 20_000, 32, 40, 3e-3, 128
@@ -41,10 +41,10 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
-def _coded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each word, number of its document in the batch, distinct words of each document."""
-    sizes = np.diff(np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, lists.offset * 4)) if len(lists) else np.empty(0, np.int32)
-    coded = lists.flatten().dictionary_encode()
+    sizes, flat = split_words(texts)
+    coded = flat.dictionary_encode()
     buckets = np.array([xxhash.xxh32_intdigest(w) % BUCKETS for w in coded.dictionary.to_pylist()], np.int32)
     at = coded.indices.to_numpy() if len(coded) else np.empty(0, np.int32)
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -55,7 +55,7 @@ def _coded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index, total, seen = index_vectors().astype(np.float64), np.zeros((BUCKETS, DIMS)), np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        codes, doc, _ = _coded(batch.column("words"))
+        codes, doc, _ = _coded(batch.column("text"))
         seen += np.bincount(codes, minlength=BUCKETS)
         same = [doc[o:] == doc[:-o] for o in range(1, REACH + 1)]
         for d in range(DIMS):
@@ -71,7 +71,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit vectors by bucket, from all of ``docs``; BUCKETS * DIMS numbers whatever the input."""
-    split = docs.select(words(text_or_empty()).alias("words"))
+    small_batches(docs.sparkSession, 500)
+    split = docs.select("text")
     sums = split.mapInArrow(_contexts, "bucket int, " + ", ".join(f"d{d} long" for d in range(DIMS)))
     rows = sums.groupBy("bucket").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(DIMS)]).toArrow()
     vectors = np.zeros((BUCKETS, DIMS))
@@ -80,16 +81,16 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (vectors / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
-def pooled(lists: pa.Array, vectors: np.ndarray) -> np.ndarray:
+def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """One row of features per document."""
-    codes, doc, distinct = _coded(lists)
-    n = np.bincount(doc, minlength=len(lists)).astype(np.float64)
+    codes, doc, distinct = _coded(texts)
+    n = np.bincount(doc, minlength=len(texts)).astype(np.float64)
     by = np.maximum(n, 1)
-    mean, spread = np.empty((len(lists), DIMS)), np.empty((len(lists), DIMS))
+    mean, spread = np.empty((len(texts), DIMS)), np.empty((len(texts), DIMS))
     for d in range(DIMS):
         v = vectors[codes, d].astype(np.float64)
-        mean[:, d] = np.bincount(doc, weights=v, minlength=len(lists)) / by
-        spread[:, d] = np.sqrt(np.maximum(np.bincount(doc, weights=v * v, minlength=len(lists)) / by - mean[:, d] ** 2, 0))
+        mean[:, d] = np.bincount(doc, weights=v, minlength=len(texts)) / by
+        spread[:, d] = np.sqrt(np.maximum(np.bincount(doc, weights=v * v, minlength=len(texts)) / by - mean[:, d] ** 2, 0))
     return np.column_stack([mean, spread, np.linalg.norm(mean, axis=1), np.log1p(n), distinct / by, np.log1p(distinct)])
 
 
@@ -144,14 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, fit_rows: int =
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("l_id"), "quality")
     some = stored(known.orderBy(F.xxhash64(F.lit(SEED), "l_id"), "l_id").limit(fit_rows), "labels")
     held = spark.sparkContext.broadcast(vectors)
-    small_batches(spark)
+    small_batches(spark, 500)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pooled(batch.column("words"), held.value)
+            x = pooled(batch.column("text"), held.value)
             yield pa.record_batch([batch.column("l_id"), batch.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], ["l_id", "quality", "x"])
 
-    rows = docs.join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).select("l_id", F.col("quality").cast("int"), words(text_or_empty()).alias("words"))
+    rows = docs.join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).select("l_id", F.col("quality").cast("int"), "text")
     got = rows.mapInArrow(features, "l_id long, quality int, x array<double>").toArrow().sort_by([("l_id", "ascending"), ("quality", "ascending")])
     y = (got.column("quality").to_numpy() > 0).astype(np.float64)
     x = np.array(got.column("x").to_pylist()).reshape(len(y), -1)
@@ -163,14 +164,14 @@ def scored(docs: DataFrame, vectors: np.ndarray, network: Network, key: str = "d
     """(key, score) of every row of ``docs``."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((vectors, network))
-    small_batches(spark)
+    small_batches(spark, 500)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_, net = held.value
         for batch in batches:
-            yield pa.record_batch([batch.column("key"), pa.array(net.score(pooled(batch.column("words"), table_)))], ["key", "score"])
+            yield pa.record_batch([batch.column("key"), pa.array(net.score(pooled(batch.column("text"), table_)))], ["key", "score"])
 
-    split = docs.select(F.col(key).alias("key"), words(text_or_empty()).alias("words"))
+    split = docs.select(F.col(key).alias("key"), "text")
     return split.mapInArrow(score, f"key {docs.schema[key].dataType.simpleString()}, score double").withColumnRenamed("key", key)
 
 
