@@ -77,6 +77,7 @@ def markdown(c: Column) -> Column:
     for n in range(1, 7):
         c = F.regexp_replace(c, f"(?i)<h{n}( [^>]*)?>(.*?)</h{n}>", "\n\n" + "#" * n + " $2\n\n")
     c = F.regexp_replace(c, r"""(?i)<img [^>]*?alt=["']([^"'>]*)["'][^>]*?src=["']([^"'>]*)["'][^>]*>""", "![$1]($2)")
+    c = F.regexp_replace(c, r"""(?i)<img [^>]*?src=["']([^"'>]*)["'][^>]*?alt=["']([^"'>]*)["'][^>]*>""", "![$2]($1)")
     c = F.regexp_replace(c, r"""(?i)<img [^>]*?src=["']([^"'>]*)["'][^>]*>""", "![]($1)")
     c = F.regexp_replace(c, r"""(?i)<a [^>]*?href=["']#[^"'>]*["'][^>]*>(.*?)</a>""", "$1")
     c = F.regexp_replace(c, r"""(?i)<a [^>]*?href=["']([^"'>]*)["'][^>]*>(.*?)</a>""", "[$2]($1)")
