@@ -10,6 +10,7 @@ from .bpe import op1_bpe
 from .mixing import op6_mixing
 from .nearest import op9_nearest
 from .ngram_join import op10_ngram_join
+from .oracles import ORACLE_SQL
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op7_quality_rules
 from .secret_scans import op8_secret_scans
@@ -18,4 +19,5 @@ from .token_planes import op4_token_planes
 from .url_filters import op2_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_url_filters, op3_quality_classifier, op4_token_planes, op5_suffix_dedup, op6_mixing, op7_quality_rules, op8_secret_scans, op9_nearest, op10_ngram_join)}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -161,6 +161,6 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("q_repeat_words").alias("n_repeat_words"),
         F.col("q_base_failed").alias("base_failed"),
         F.col("q_kept").alias("kept"),
-        F.col("q_class_distance").alias("class_distance"),
-        F.col("q_word_distance").alias("word_distance"),
+        F.round("q_class_distance", 6).alias("class_distance"),
+        F.round("q_word_distance", 6).alias("word_distance"),
     )
