@@ -19,13 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _scratch(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/gristmill-{os.getuid()}"
+    return f"{base.rstrip('/')}/gristmill/{spark.sparkContext.applicationId}"
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder the cluster shares (``spark.checkpoint.dir``).
 
     Only where that setting is absent (a local session, as in tests) a temporary folder takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/gristmill-{os.getuid()}"
-    return f"{base.rstrip('/')}/gristmill/{uuid.uuid4().hex}/{name}"
+    return f"{_scratch(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written there, once no DataFrame that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -38,7 +38,7 @@ CLASSES = {
     "symbol": "[^#*$%&|<>]+",
     "wide": r"[\x00-\x7F]+",
 }
-MAX_CLASS_DISTANCE = 0.28
+MAX_CLASS_DISTANCE = 0.33
 MAX_WORD_DISTANCE = 0.75
 MIN_CHARS = 200
 MIN_COMMON = 30
