@@ -111,9 +111,8 @@ def references(measured: DataFrame) -> DataFrame:
     """
     n_classes, n_common = len(CLASSES) + 1, len(COMMON_WORDS["en"])
     sums = [F.sum(F.col("q_classes")[i]).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.col("q_common")[i]).alias(f"w{i}") for i in range(n_common)]
-    each = measured.groupBy("q_lang").agg(*sums)
-    everything = each.groupBy().agg(*[F.sum(x).alias(x) for x in each.columns[1:]]).withColumn("q_lang", F.lit(POOLED))
-    rows = each.filter(F.col("q_lang") != POOLED).unionByName(everything)
+    rows = measured.rollup("q_lang").agg(F.grouping_id().alias("whole"), *sums)  # one pass for both
+    rows = rows.filter((F.col("whole") == 1) | (F.col("q_lang") != POOLED)).withColumn("q_lang", F.coalesce("q_lang", F.lit(POOLED)))
     return rows.select("q_lang", F.array(*[f"c{i}" for i in range(n_classes)]).alias("q_ref_classes"), F.array(*[f"w{i}" for i in range(n_common)]).alias("q_ref_common"))
 
 
@@ -146,7 +145,9 @@ def verdict(measured: DataFrame, refs: DataFrame, max_class: float = MAX_CLASS_D
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns of ``docs``."""
     measured = measure(docs)
-    return verdict(measured, references(measured)).filter("q_kept").select(*docs.columns)
+    # a filter is not pushed below a column that differs by row; pushed down, it would repeat every expression it rests on
+    judged = verdict(measured, references(measured)).withColumn("q_row", F.monotonically_increasing_id())
+    return judged.filter("q_kept and q_row >= 0").select(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
