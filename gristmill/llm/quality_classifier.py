@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, fit_rows: int =
     rows = docs.join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).select("l_id", F.col("quality").cast("int"), "text")
     got = rows.mapInArrow(features, "l_id long, quality int, x array<double>").toArrow().sort_by([("l_id", "ascending"), ("quality", "ascending")])
     y = (got.column("quality").to_numpy() > 0).astype(np.float64)
-    x = np.array(got.column("x").to_pylist()).reshape(len(y), -1)
+    x = np.array(got.column("x").to_pylist()).reshape(len(y), -1 if len(y) else 0)
     calibration = np.array([xxhash.xxh32_intdigest(str(i)) % CALIBRATION == 0 for i in got.column("l_id").to_pylist()], bool)
     return Network(x, y, calibration)
 

@@ -338,3 +338,5 @@ def test_quality_classifier(spark):
     assert np.mean([(got[i] >= 0.5) == (i % 3 > 0) for i in held]) > 0.95
     assert quality_classifier.fit(docs, known.filter("quality = 1"), vectors).score(np.zeros((1, 1)))[0] == 1.0
     assert quality_classifier.scored(docs.filter("false"), vectors, net).count() == 0
+    unlabelled = quality_classifier.fit(docs, known.filter("false"), vectors)
+    assert {r["score"] for r in quality_classifier.scored(docs.limit(5), vectors, unlabelled).collect()} == {0.5}
