@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import more  # noqa: F401  registers its queries
 from .catalog import ORACLE_SQL, QUERIES, flagship
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

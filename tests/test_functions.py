@@ -217,3 +217,14 @@ def test_streams(spark, tmp_path):
     assert {(str(r["window_start"]), r["user_id"]): r["requests"] for r in spark.table("limits").collect()} == {(str(r["window_start"]), r["user_id"]): r["requests"] for r in window_counts(events).collect()}
     limited = windows.rate_limited(events).filter("not allowed").count()
     assert limited == 0 and windows.rate_limited(events, limit=5).filter("not allowed").count() == sum(max(0, r["requests"] - 5) for r in window_counts(events).collect())
+
+
+def test_flags(spark):
+    from gristmill.sources.flags import extract_flags
+
+    def got(args):
+        return spark.createDataFrame([(args,)], "a array<string>").select(extract_flags(F.col("a")).alias("f")).first()["f"]
+
+    f = got(["--raw", "--disable", "--raw", "--injection-threshold", "1e-1", "--injection-threshold", "5d", "--injection-method", "m", "--help", None, "--disable"])
+    assert (f.raw, f.disable, f.threshold, f.method, f.help, f.remaining) == (True, ["--raw"], 0.1, "m", False, ["--help", "", "--disable"])
+    assert got(None) is None and got([]).threshold is None and got(["--help"]).help
