@@ -99,7 +99,7 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, calibration: np.ndarray) -> None:
         self.share, self.temperature, self.weights = float(y.mean()) if len(y) else 0.5, 1.0, None
-        if not 0 < self.share < 1:
+        if not len(y) or not 0 < self.share < 1:
             return
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         rng = np.random.Generator(np.random.PCG64(SEED))
