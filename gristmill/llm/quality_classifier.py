@@ -9,7 +9,7 @@ are held back to fit the temperature. The corpus statistics cover every document
 Defined results: null and empty texts are documents without words and get a score; a label that is null, or whose
 document is absent, is not learned from; a document labelled twice is learned twice; without labels of both kinds
 every score is the share of label 1 (0.5 without labels); repeated rows each get their row; an empty table gives an empty
-result; labels, lang, source and ids are no inputs of a score.
+result; a null id has a score, and null for whether it is held out; labels, lang, source and ids are no inputs of a score.
 """
 
 from __future__ import annotations
