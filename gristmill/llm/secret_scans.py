@@ -39,16 +39,37 @@ BASE_KINDS = (
     Kind("access", r"AKIA[A-Z0-9]{16,}"),
     Kind("hex", r"[0-9a-f]{24,}"),
 )
+#: A private key: from its header to the next END line; where that is missing, over the base64 body, which ends
+#: with its last run of 16 or more characters and one shorter run after it; else the header alone.
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:[\s\S]*?-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:[\x20\t\r\n]*(?:Proc-Type:\x20*4,ENCRYPTED|DEK-Info:\x20*[A-Za-z0-9,-]+)){0,2}"
+    r"[A-Za-z0-9+/=\\\x20\t\r\n]*[A-Za-z0-9+/=]{16,}(?:[\\\x20\t\r\n]*[A-Za-z0-9+/=]+)?)?"
+)
 #: What the rules add to the base.
 MORE_KINDS = (
-    Kind("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Kind("pem", _PEM),
     Kind("forge", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})"),
     Kind("chat", r"xox[abeoprs]-[A-Za-z0-9-]{20,}"),
     Kind("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Kind("userinfo", r"://[^\s:/@]{1,64}:[^\s:/@]{1,64}@"),
+    # the formats of functions/secrets.py that the kinds before do not hold; a longer token is taken whole
+    Kind("forge_fine", r"github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59,}"),
+    Kind("npm", r"npm_[A-Za-z0-9]{36,}"),
+    Kind("pypi", r"pypi-[A-Za-z0-9_-]{50,}"),
+    Kind("stripe", r"sk_(?:live|test)_[A-Za-z0-9]{24,}"),
+    Kind("google", r"AIza[0-9A-Za-z_-]{35,}"),
+    Kind("twilio", r"SK[0-9a-fA-F]{32,}"),
+    Kind("sendgrid", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43,}"),
+    Kind("docean", r"dop_v1_[a-f0-9]{64,}"),
+    Kind("doppler", r"dp\.pt\.[A-Za-z0-9]{43,}"),
+    Kind("discord", r"[MN][A-Za-z0-9]{23,}\.[A-Za-z0-9_-]{6}\.[A-Za-z0-9_-]{27,}"),
+    # a run of exactly 40: longer runs match as a whole, with an empty group
+    Kind("aws_secret", r"[A-Za-z0-9/+=]{41,}|([A-Za-z0-9/+=]{40})", 1, 40),
 )
 KINDS = BASE_KINDS + MORE_KINDS
-RULE_VERSION = "1"
+RULE_VERSION = "2"
 SCANNED = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rule_version", T.StringType())])
 FOUND = T.StructType([*SCANNED.fields, T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("stop", T.LongType())])))])
 

@@ -107,6 +107,41 @@ def test_secret_redaction(docs):
             assert out[i] == "".join(marked)
 
 
+KEY_BODY = "\n".join(["MIIEow" + "aB3/" * 14] * 60 + ["q9+Zx1=="])
+HEAD, END = "-----BEGIN RSA PRIV" + "ATE KEY-----", "-----END RSA PRIV" + "ATE KEY-----"
+
+
+@pytest.mark.parametrize("secret", [
+    f"{HEAD}\n{KEY_BODY}\n{END}",
+    f"{HEAD}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,9F00\n\n{KEY_BODY}",  # no END line
+    HEAD + KEY_BODY.replace("\n", "\\n") + "\\n" + END,
+    f"{HEAD} {KEY_BODY}".replace("\n", " "),
+    "github" + "_pat_" + "aB" * 11 + "_" + "c" * 58 + "D",
+    "npm" + "_" + "aZ" * 18,
+    "py" + "pi-" + "aZ_-" * 13,
+    "sk" + "_live_" + "aZ9" * 8,
+    "AI" + "za" + "aZ_-9" * 7,
+    "S" + "K" + "0aF1" * 8,
+    "S" + "G." + "aZ" * 11 + "." + "b" * 43,
+    "dop" + "_v1_" + "0a" * 32,
+    "dp" + ".pt." + "aZ" * 21 + "q",
+    "M" + "aZ9" * 8 + "." + "ab-_12" + "." + "c" * 27,
+    "wJal/rXUt+" * 4,
+])
+def test_whole_secrets_are_masked(spark, secret):
+    text = f"before 😀\n{secret}\n(after) é"
+    docs = spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in secret_scans.redacted(docs).collect()}
+    assert out == {1: text.replace(secret, "\u2588" * len(secret)), 2: "plain"}
+
+
+def test_no_secret_in_prose_or_long_runs(spark):
+    texts = [f"a key starts with {HEAD} and its body follows, of any length.", "aZ" * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in secret_scans.redacted(docs).collect()}
+    assert out == {0: texts[0].replace(HEAD, "\u2588" * len(HEAD)), 1: texts[1]}
+
+
 def test_url_filters(spark):
     urls = [None, "no scheme", "http://", "https://A.Example.COM/en/71?x", "http://a.example.com/en/81#/en/7", "http://com/en/", "http://xcom/en/1", "ftp://b.net/de/1", "http://q.example.net/de/8", "http://s.org/es/\n1", "http://s.org?es/", "a://b://c/d"]
     urls += [f"http://bad.com/en/{i}" for i in range(60)] + [f"http://bad.com/zz/{i}" for i in range(60)]
