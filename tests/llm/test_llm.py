@@ -76,6 +76,16 @@ def test_junk_diverges(spark):
     assert kept == set(range(40))
 
 
+def test_long_texts_without_common_words_are_dropped(spark):
+    def text(share, n=300):
+        common = RNG.choice(quality_rules.COMMON_WORDS["en"], n)
+        return " ".join(c if RNG.random() < share else w for c, w in zip(common, RNG.choice(VOCABULARY, n), strict=True))
+
+    rows = [(i, text(0.4), "en") for i in range(40)] + [(50, text(0.0, 12), "en"), (60, text(0.0), None), (98, text(0.0), "en"), (99, text(0.03), "en")]
+    kept = {r["doc_id"] for r in quality_rules.kept_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept == {*range(40), 50, 60}  # a short text and one of no listed language are not judged by common words
+
+
 def spans(t):
     kinds = [(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, re.I | re.A), ("AKIA[A-Z0-9]+", 0, 20, 0), ("[0-9a-f]+", 0, 24, 0)]
     return sorted((m.start(), k, m.end()) for k, (p, g, n, f) in enumerate(kinds) for m in re.finditer(p, t, f) if len(m[g]) >= n)
