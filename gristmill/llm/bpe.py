@@ -34,11 +34,27 @@ BLOCK_WORDS = 1 << 21
 _WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Documents may be long: keep Arrow batches to ``rows`` rows and 16 MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 24))
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+class small_batches:  # noqa: N801
+    """Documents may be long: keep Arrow batches to ``rows`` rows and 16 MB.
+
+    As a context it holds for what is run inside and the settings before come back; a plain call holds for the
+    session, for operators whose result is run by the caller.
+    """
+
+    def __init__(self, spark: SparkSession, rows: int = 1000) -> None:
+        self.conf = spark.conf
+        names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch")
+        self.before = {n: spark.conf.get(n) for n in names}
+        for name, bound in zip(names, (1 << 24, rows), strict=True):
+            if not 0 < int(self.before[name].rstrip("b")) <= bound:
+                spark.conf.set(name, str(bound))
+
+    def __enter__(self) -> None:
+        return None
+
+    def __exit__(self, *_: object) -> None:
+        for name, value in self.before.items():
+            self.conf.set(name, value)
 
 
 class Vocabulary:

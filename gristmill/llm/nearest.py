@@ -4,7 +4,12 @@ Vectors are lifted so that the largest inner product is the nearest point, proje
 shifted, and ordered along a Hilbert curve; Spark sorts several such orderings by range. Runs of ``BLOCK`` neighbours on a
 curve form a block; a query is compared exactly with its own block and the two beside it, and the finds of all
 orderings merge. Orderings are added until the recall that a bounded sample of queries shows against brute
-force over all vectors reaches ``RECALL``.
+force over all vectors reaches ``RECALL``. Where it does not before the orderings have shown each query ``EXACT_AT``
+times as many places as there are points, or ``MOST`` orderings are done, the whole query set is compared with all
+points in blocks, so that the target holds for any data.
+
+Vectors are lifted and ordered by bands of their length (a factor of two each); a query looks into every band, so that a few very
+long vectors do not crowd all others into a corner of the grid.
 
 Equal vectors are one point of the curve; a point carries the smallest ids of its vectors, as many as one answer holds.
 
@@ -31,6 +36,10 @@ from .common import stored, table
 K, DIMS, BITS, BLOCK = 20, 8, 7, 2048
 ORDERINGS, MORE, MOST = 16, 8, 256
 RECALL, SAMPLE = 0.95, 64
+#: Places shown to a query, as a multiple of all points, from which on comparing it with all of them costs less.
+EXACT_AT = 4
+#: Queries and points of one task of the exact comparison.
+EXACT_QUERIES, EXACT_POINTS = 2048, 1 << 15
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -71,43 +80,59 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
 
 
 def points(rows: DataFrame, every: int, k: int) -> DataFrame:
-    """(point, v, dims, norm2, ids, is_query): equal vectors together, with their k + 1 smallest ids."""
+    """(point, v, dims, norm2, band, ids, is_query): equal vectors together, with their k + 1 smallest ids."""
     first = Window.partitionBy("v").orderBy("id")
     ids = rows.distinct().withColumn("at", F.row_number().over(first)).filter(F.col("at") <= k + 1)
     ids = ids.groupBy("v").agg(F.min("id").alias("low"), F.sort_array(F.collect_list("id")).alias("ids"))
     asked = rows.filter(F.pmod(F.col("id"), F.lit(every)) == 0).select("v").distinct().withColumn("is_query", F.lit(True))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     df = ids.join(asked, "v", "left").select("low", "v", F.size("v").alias("dims"), norm.alias("norm2"), "ids", F.coalesce("is_query", F.lit(False)).alias("is_query"))
+    band = F.coalesce(F.round(F.log2(F.least("norm2", F.lit(1e300))) / 2), F.lit(-999)).cast("int")
     # a repeated id may be the smallest of two vectors; the vector's hash keeps their points apart
-    return df.withColumn("point", F.struct("low", F.xxhash64("v").alias("h")))
+    return df.withColumn("band", band).withColumn("point", F.struct("low", F.xxhash64("v").alias("h")))
+
+
+def _keys(batches: Iterator[pa.RecordBatch], orderings: range, tops: dict[int, float]) -> Iterator[pa.RecordBatch]:
+    """Places on the curves of every vector in its band, and of every query in all bands (``tops``: the longest of each, squared)."""
+    names = ["ordering", "band", "key", "point", "is_query"]
 
+    def rows(ordering: int, band: np.ndarray, key: np.ndarray, point: pa.Array, is_query: bool) -> pa.RecordBatch:
+        n = len(key)
+        return pa.record_batch([pa.array(np.full(n, ordering), pa.int32()), pa.array(band, pa.int32()), pa.array(key, pa.int64()), point, pa.array(np.full(n, is_query), pa.bool_())], names)
 
-def _keys(batches: Iterator[pa.RecordBatch], orderings: range, top: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         dims = batch.column("dims").to_numpy()
         for d in np.unique(dims).tolist():
-            own = batch.filter(pa.array(dims == d))
-            v, norm2 = _matrix(own.column("v")), own.column("norm2").to_numpy()
-            lifted = np.hstack([v, np.sqrt(np.maximum(top - norm2, 0))[:, None]]) / np.sqrt(top)
+            own = batch.filter(pa.array(dims == d, pa.bool_()))
+            v, norm2, band = _matrix(own.column("v")), own.column("norm2").to_numpy(), own.column("band").to_numpy()
+            top = np.array([tops[b] for b in band.tolist()])
+            lifted = np.nan_to_num(np.hstack([v, np.sqrt(np.maximum(top - norm2, 0))[:, None]]) / np.sqrt(top)[:, None])
             asked = own.column("is_query").to_numpy(zero_copy_only=False)
-            queries = np.hstack([v[asked] / np.sqrt(norm2[asked])[:, None], np.zeros((int(asked.sum()), 1))])
+            queries = np.nan_to_num(np.hstack([v[asked] / np.sqrt(norm2[asked])[:, None], np.zeros((int(asked.sum()), 1))]))
+            asking = own.column("point").filter(pa.array(asked, pa.bool_()))
             for o in orderings:
                 rng = np.random.Generator(np.random.PCG64([o, d]))
                 m = min(DIMS, d + 1)
                 turn = np.linalg.qr(rng.normal(size=(d + 1, m)))[0]
                 shift = rng.uniform(-0.5, 0.5, m)
-                for at, is_query, who in ((lifted, False, own), (queries, True, own.filter(pa.array(asked)))):
+
+                def place(at: np.ndarray) -> np.ndarray:
                     # coordinates of a unit vector spread by 1 / sqrt(d): six of that fill the grid
-                    grid = ((at @ turn + shift / np.sqrt(d + 1)) * np.sqrt(d + 1) / 6 + 0.5) * (1 << BITS)
-                    key = hilbert(np.clip(grid, 0, (1 << BITS) - 1), BITS)
-                    yield pa.record_batch([pa.array([o * 100_000 + d] * len(key), pa.int32()), pa.array(key), who.column("point"), pa.array([is_query] * len(key))], ["ordering", "key", "point", "is_query"])
+                    grid = ((at @ turn + shift / np.sqrt(d + 1)) * np.sqrt(d + 1) / 6 + 0.5) * (1 << BITS)  # noqa: B023
+                    return hilbert(np.clip(grid, 0, (1 << BITS) - 1), BITS)
+
+                yield rows(o * 100_000 + d, band, place(lifted), own.column("point"), False)
+                if len(queries):
+                    key = place(queries)
+                    for b in tops:
+                        yield rows(o * 100_000 + d, np.full(len(key), b), key, asking, True)
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, at = TaskContext.get().partitionId(), 0
     for batch in batches:
         n = len(batch)
-        yield pa.record_batch([pa.array([part] * n, pa.int32()), pa.array(np.arange(at, at + n)), *(batch.column(c) for c in ("ordering", "point", "is_query"))], ["part", "at", "ordering", "point", "is_query"])
+        yield pa.record_batch([pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(at, at + n), pa.int64()), *(batch.column(c) for c in ("ordering", "point", "is_query"))], ["part", "at", "ordering", "point", "is_query"])
         at += n
 
 
@@ -126,24 +151,26 @@ def _rerank(k: int):  # noqa: ANN202
                 values.append(row[some])
         if not asked:
             return pa.table([pa.array([], kind), pa.array([], kind), pa.array([], pa.float64())], ["q", "c", "score"])
-        q, c = queries.column("point").take(pa.array(np.concatenate(asked))), candidates.column("point").take(pa.array(np.concatenate(taken)))
-        return pa.table([q, c, pa.array(np.concatenate(values))], ["q", "c", "score"])
+        q, c = queries.column("point").take(pa.array(np.concatenate(asked), pa.int64())), candidates.column("point").take(pa.array(np.concatenate(taken), pa.int64()))
+        return pa.table([q, c, pa.array(np.concatenate(values), pa.float64())], ["q", "c", "score"])
 
     return block
 
 
-def search_orderings(pts: DataFrame, orderings: range, top: float, k: int, block: int) -> DataFrame:
+def search_orderings(pts: DataFrame, orderings: range, tops: dict[int, float], k: int, block: int) -> DataFrame:
     """(q, c, score) found along these orderings."""
     point = pts.schema["point"].dataType.simpleString()
-    keyed = pts.select("point", "v", "dims", "norm2", "is_query").mapInArrow(lambda b: _keys(b, orderings, top), f"ordering int, key long, point {point}, is_query boolean")
-    order = ["ordering", "key", "point", "is_query"]
+    keyed = pts.select("point", "v", "dims", "norm2", "band", "is_query").mapInArrow(lambda b: _keys(b, orderings, tops), f"ordering int, band int, key long, point {point}, is_query boolean")
+    order = ["ordering", "band", "key", "point", "is_query"]
     sorted_rows = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = stored(sorted_rows.mapInArrow(_places, f"part int, at long, ordering int, point {point}, is_query boolean"), "curve")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     blocks = placed.join(offsets, "part").select("ordering", "point", "is_query", F.floor((F.col("offset") + F.col("at")) / block).cast("long").alias("block"))
     blocks = stored(blocks.join(pts.select("point", "v", F.col("point.low").alias("low")), "point"), "windows")
-    queries = blocks.filter("is_query").withColumn("block", F.explode(F.expr("array(block - 1, block, block + 1)"))).select("ordering", "block", "point", "v")
+    near = F.expr("array(block - 1, block, block + 1)")
+    # a query whose places in two bands share a block is compared once
+    queries = blocks.filter("is_query").select("ordering", "point", "v", F.explode(near).alias("block")).dropDuplicates(["ordering", "block", "point"]).select("ordering", "block", "point", "v")
     candidates = blocks.filter("not is_query").select("ordering", "block", "point", "v", "low")
     queries, candidates = queries.toDF(*queries.columns), candidates.toDF(*candidates.columns)
     return queries.groupBy("ordering", "block").cogroup(candidates.groupBy("ordering", "block")).applyInArrow(_rerank(k), f"q {point}, c {point}, score double")
@@ -164,33 +191,50 @@ def brute_force(pts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             dims = batch.column("dims").to_numpy()
             for q, v in held:
-                own = batch.filter(pa.array(dims == len(v)))
+                own = batch.filter(pa.array(dims == len(v), pa.bool_()))
                 if not len(own):
                     continue
                 scores = _matrix(own.column("v")) @ v
                 some = np.argpartition(-scores, k)[: k + 1] if len(scores) > k + 1 else np.arange(len(scores))
-                yield pa.record_batch([pa.array([q.asDict()] * len(some), own.column("point").type), own.column("point").take(pa.array(some)), pa.array(scores[some])], ["q", "c", "score"])
+                yield pa.record_batch([pa.array([q.asDict()] * len(some), own.column("point").type), own.column("point").take(pa.array(some, pa.int64())), pa.array(scores[some], pa.float64())], ["q", "c", "score"])
 
     return _best(pts.select("point", "v", "dims").mapInArrow(scan, f"q {point}, c {point}, score double"), k)
 
 
-def nearest(vectors: DataFrame, every: int, k: int = K, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK, recall: float = RECALL) -> DataFrame:
+def exact_search(pts: DataFrame, n_points: int, k: int) -> DataFrame:
+    """(q, c, score): the k + 1 best of each chunk of points for every query; queries and points meet in blocks of bounded size."""
+    point = pts.schema["point"].dataType.simpleString()
+    n_queries = pts.filter("is_query").count()
+    groups, chunks = max(1, -(-n_queries // EXACT_QUERIES)), max(1, -(-n_points // EXACT_POINTS))
+    dealt = lambda n: F.pmod(F.xxhash64("point"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = pts.filter("is_query").select("dims", dealt(groups).alias("g"), every(chunks).alias("chunk"), "point", "v")
+    candidates = pts.select("dims", every(groups).alias("g"), dealt(chunks).alias("chunk"), "point", "v", F.col("point.low").alias("low"))
+    by = ["dims", "g", "chunk"]
+    return queries.groupBy(*by).cogroup(candidates.toDF(*candidates.columns).groupBy(*by)).applyInArrow(_rerank(k), f"q {point}, c {point}, score double")
+
+
+def nearest(vectors: DataFrame, every: int, k: int = K, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK, recall: float = RECALL, most: int = MOST) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id divisible by ``every`` its ``k`` nearest of all other ids."""
     spark = vectors.sparkSession
-    small_batches(spark, 2000)
     rows = usable(vectors, id_col, vector)
     pts = stored(points(rows, every, k), "points")
-    top = pts.agg(F.max("norm2").alias("m")).first()["m"] or 1.0
+    bands = pts.groupBy("band").agg(F.max("norm2").alias("top"), F.count(F.lit(1)).alias("n")).collect()  # a row per power of two: some 2,000 at most
+    tops, n_points = {r["band"]: float(r["top"]) or 1.0 for r in bands}, sum(r["n"] for r in bands)
     sample = stored(pts.filter("is_query").orderBy(F.xxhash64("point"), "point").limit(SAMPLE).select("point", "v"), "sample")
     truth = stored(brute_force(pts, sample, k), "truth")
     wanted = truth.count()
     best, done = None, 0
     while True:
-        new = search_orderings(pts, range(done, done + (MORE if done else ORDERINGS)), top, k, block)
-        best = stored(_best(new if best is None else new.unionByName(best), k), "best")
+        with small_batches(spark, 2000):
+            new = search_orderings(pts, range(done, done + (MORE if done else ORDERINGS)), tops, k, block)
+            best = stored(_best(new if best is None else new.unionByName(best), k), "best")
         done += MORE if done else ORDERINGS
         hit = best.join(truth.select("q", "c"), ["q", "c"], "left_semi").count()
-        if hit >= recall * wanted or done >= MOST:
+        if hit >= recall * wanted:
+            break
+        if done >= most or done * 3 * block >= EXACT_AT * n_points:
+            best = stored(_best(exact_search(pts, n_points, k).unionByName(best), k), "best")
             break
     members = pts.select(F.col("point").alias("c"), "ids")
     each = best.join(members, "c").select("q", "score", F.explode("ids").alias("id"))

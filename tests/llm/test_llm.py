@@ -343,8 +343,8 @@ def test_ngram_join_edges(spark, none):
 
 
 def test_nearest(spark):
-    x = RNG.normal(size=(900, 16)).astype(np.float32)
-    x[:30] = x[0]
+    x = np.random.Generator(np.random.PCG64(4)).normal(size=(900, 16)).astype(np.float32)
+    x[:30] = x[0] * 3  # longer than the others, so that equal vectors come first
     x[40] = 0
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(1000, None, 1), (1001, [1.0, None], 1), (1002, [float("nan")] * 16, 1), (1020, [], 1), (None, x[1].tolist(), 1)]
     got = defaultdict(list)
@@ -385,3 +385,39 @@ def test_quality_classifier(spark):
     assert quality_classifier.scored(docs.filter("false"), vectors, net).count() == 0
     unlabelled = quality_classifier.fit(docs, known.filter("false"), vectors)
     assert {r["score"] for r in quality_classifier.scored(docs.limit(5), vectors, unlabelled).collect()} == {0.5}
+
+
+def brute_nearest(x, ids, every, k):
+    out = {}
+    for q in np.flatnonzero(ids % every == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        out[int(ids[q])] = ids[np.lexsort((ids, -s))[:k]].tolist()
+    return out
+
+
+def found_nearest(spark, x, ids, **options):
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in nearest.nearest(frame, **options).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    return dict(got)
+
+
+def test_nearest_with_one_query_in_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "ORDERINGS", 2)
+    x = np.random.Generator(np.random.PCG64(5)).normal(size=(5000, 8))  # three batches and more a task, most without a query
+    ids = np.arange(1, 5001)
+    assert found_nearest(spark, x, ids, every=5000, k=5) == brute_nearest(x, ids, 5000, 5)
+
+
+@pytest.mark.parametrize("most", [nearest.MOST, 1])
+def test_nearest_with_some_very_long_vectors(spark, most):
+    rng = np.random.Generator(np.random.PCG64(6))
+    x = rng.normal(size=(3000, 8))
+    x[:20] *= 1000
+    x[20:40] *= 1e-3
+    ids = np.arange(3000)
+    got, want = found_nearest(spark, x, ids, every=30, k=5, block=128, most=most, recall=1.1 if most == 1 else 0.95), brute_nearest(x, ids, 30, 5)
+    hits = sum(len(set(got[q]) & set(w)) for q, w in want.items())
+    assert got == want if most == 1 else hits >= 0.9 * 5 * len(want)  # beyond the bound of orderings the search is exact
