@@ -328,13 +328,39 @@ def near_copies():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("weight", [1 << 20, 300])
-def test_ngram_join(spark, weight, none):
+@pytest.mark.parametrize(("weight", "giant"), [(1 << 20, 1 << 15), (300, 1 << 15), (300, 2)])
+def test_ngram_join(spark, weight, giant):
     rows = near_copies()
-    got = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk_weight=weight)
+    got = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk_weight=weight, giant=giant)
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got.collect()} == jaccard(rows)
 
 
+def test_ngram_join_with_repeated_ids(spark):
+    texts = [t for _, t in near_copies()]
+    rows = [(k, (i % 9 if i % 4 else None, t)) for k, (i, t) in enumerate(enumerate(texts * 2))]
+    groups = jaccard([(k, t) for k, (_, t) in rows])  # by row; ids are labels
+    least = {}
+    for k, (i, _) in rows:
+        root = groups[k][0]
+        least[root] = min((x for x in (least.get(root), i) if x is not None), default=None)
+    frame = spark.createDataFrame([x for _, x in rows], "doc_id long, text string").repartition(3)
+    got = Counter(tuple(r) for r in ngram_join.similar(frame).collect())
+    wordless = {k for k, (_, t) in rows if not WORD.search(t or "")}
+    assert got == Counter((i, i if k in wordless else least[groups[k][0]], groups[k][1]) for k, (i, _) in rows)
+    kept = Counter((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(frame).collect())
+    assert sum(kept.values()) == len(wordless) + len({groups[k][0] for k, _ in rows if k not in wordless})
+    assert all((i, t) in kept for k, (i, t) in rows if k in wordless)
+
+
+def test_one_of_each_with_clashing_names(spark):
+    rows = [(1, "a b c d e f", 0, 7, "x"), (2, "a b c d e f", 1, 8, "y"), (None, "a b c d e f", 2, 9, "z"), (None, "q r s t u v", 3, 9, "z"), (None, "q r s t u v", 3, 9, "z"), (3, None, 4, 9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at int, head_key int, same string")
+    got = ngram_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert Counter(tuple(r) for r in got.collect()) == Counter([rows[0], rows[3], rows[5]])
+    assert ngram_join.one_of_each(docs.filter("false")).count() == 0
+
+
 def test_ngram_join_edges(spark, none):
     assert ngram_join.similar(none).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f", 0), (1, "a b c d e f", 0), (None, "a b c d e f", 0), (2, None, 0), (2, "", 0)], "doc_id long, text string, key int")
