@@ -262,7 +262,8 @@ def grouped(docs: DataFrame, key: str, threshold: float, tolerance: float, chunk
     hits = stored(banded.join(buckets, "band"), "hits")
     groups = components(hits.filter("same <> least").select(F.col("same").alias("a"), F.col("least").alias("b")), "candidates")
 
-    members = firsts.join(groups, firsts["same"] == groups["node"]).select("same", "rep", F.col("root").alias("cluster"), "copies", "n_windows")
+    members = firsts.join(groups, firsts["same"] == groups["node"])
+    members = stored(members.select("same", F.col("rep.key").alias("w_key"), F.col("rep.hash").alias("w_hash"), F.col("root").alias("cluster"), "copies", "n_windows"), "members")
     total = [F.count(F.lit(1)).alias("n"), F.sum("n_windows").alias("weight")]
     sizes = stored(members.groupBy("cluster").agg(*total), "sizes")
     least, most = CHUNK_ROWS
@@ -274,7 +275,7 @@ def grouped(docs: DataFrame, key: str, threshold: float, tolerance: float, chunk
     meet = meet.withColumn("chunk", F.pmod(F.xxhash64("same"), F.col("chunks")).cast("int"))
     meet = stored(meet.select("same", "cluster", "band", "chunk", "copies", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")), "meet")
 
-    wanted = members.select(F.col("rep.key").alias("w_key"), F.col("rep.hash").alias("w_hash")).distinct()
+    wanted = members.select("w_key", "w_hash")  # read from files, so that Spark knows its size
     rows = _rows(docs, key)
     texts = rows.join(wanted, rows["key"].eqNullSafe(wanted["w_key"]) & (rows["hash"] == wanted["w_hash"]), "left_semi").select("text")
     sets = stored(texts.mapInArrow(_sets, "same binary, windows binary, sign binary").filter("same is not null").dropDuplicates(["same"]), "sets")
@@ -302,7 +303,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", giant: int = GIANT) -> Dat
     with small_batches(docs.sparkSession, 500):
         rows, classes = grouped(docs, key, THRESHOLD, TOLERANCE, CHUNK_WEIGHT, giant)
     key_, hash_, at = (unused(docs, c) for c in ("head_key", "head_hash", "at"))
-    heads = classes.select(F.col("head.key").alias(key_), F.col("head.hash").alias(hash_)).distinct()
+    heads = stored(classes.select(F.col("head.key").alias(key_), F.col("head.hash").alias(hash_)).distinct(), "heads")
     wordless = rows.filter("same is null").select(F.col("key").alias(key_), F.col("hash").alias(hash_)).distinct()
     text_hash = F.xxhash64("text")
     match = F.col(key).eqNullSafe(F.col(key_)) & (text_hash == F.col(hash_))

@@ -153,10 +153,9 @@ def verdict(measured: DataFrame, refs: DataFrame, max_class: float = MAX_CLASS_D
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass and are not short of common words, with the columns of ``docs``."""
-    measured = measure(docs)
-    # a filter is not pushed below a column that differs by row; pushed down, it would repeat every expression it rests on
-    judged = verdict(measured, references(measured)).withColumn("q_row", F.monotonically_increasing_id())
-    return judged.filter("q_kept and not q_few_common and q_row >= 0").select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("q_doc"), "text", "lang")  # apart from the operator's own names
+    measured = stored(measure(packed).drop("text", "lang"), "measured")  # rows and counts together: measured once, no join back
+    return verdict(measured, references(measured)).filter("q_kept and not q_few_common").select("q_doc.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

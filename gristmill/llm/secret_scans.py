@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import scratch_dir, stored, table, text_or_empty
+from .common import scratch_dir, stored, table, text_or_empty, unused
 
 
 @dataclass(frozen=True)
@@ -150,21 +150,34 @@ def joined(spans: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, mark: str = "\u2588") -> DataFrame:
-    """``docs`` with every character of a span replaced by ``mark``; all columns stay, the text keeps its length."""
-    path = Ledger(docs.sparkSession)
-    found = spans_of(docs, path).filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"]).select(F.col("blob").alias("s_blob"), F.col("spans").alias("s_spans"))
-    state = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
+def redacted(docs: DataFrame, mark: str = "\u2588", key: str = "doc_id") -> DataFrame:
+    """``docs`` with every character of a span replaced by ``mark``; all columns stay, the text keeps its length.
 
-    def step(s: Column, x: Column) -> Column:
-        start = F.greatest(x["start"], s["at"])
-        stop = F.greatest(x["stop"], s["at"])
-        gap = F.substring(F.col("text"), (s["at"] + 1).cast("int"), (start - s["at"]).cast("int"))
-        return F.struct(F.concat(s["done"], gap, F.repeat(F.lit(mark), (stop - start).cast("int"))).alias("done"), stop.alias("at"))
+    What is joined is the table of blobs with findings; while it is small Spark broadcasts it and no text is shuffled.
+    """
+    ledger = Ledger(docs.sparkSession)
+    ledger.update(docs, key)
+    blob, spans = (unused(docs, c) for c in ("found_blob", "found_spans"))
+    found = stored(ledger.found(RULE_VERSION).select(F.col("blob").alias(blob), F.col("spans").alias(spans)), "findings")
+    kinds = "array<struct<start:bigint,stop:bigint>>"
+
+    def step(out: Column, x: Column) -> Column:
+        """Spans in order of start, each from where the ones before have ended."""
+        at = F.coalesce(F.get(out, F.size(out) - 1)["stop"], F.lit(0))
+        return F.when(x["stop"] <= at, out).otherwise(F.concat(out, F.array(F.struct(F.greatest(x["start"], at).alias("start"), x["stop"].alias("stop")))))
+
+    cuts = F.aggregate(spans, F.array().cast(kinds), step)
+    text = F.col("text")
+    between = lambda low, high: F.substring(text, (low + 1).cast("int"), (high - low).cast("int"))
+
+    def whole(cuts: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(cuts, i - 1)["stop"], F.lit(0))
+        pieces = F.transform(cuts, lambda x, i: F.concat(between(before(i), x["start"]), F.repeat(F.lit(mark), (x["stop"] - x["start"]).cast("int"))))
+        return F.concat(F.array_join(pieces, ""), between(before(F.size(cuts)), F.length(text)))
 
-    done = F.aggregate("s_spans", state, step, lambda s: F.concat(s["done"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
-    marked = docs.withColumn("s_own", address(text_or_empty())).join(found, F.col("s_own") == F.col("s_blob"), "left")
-    return marked.withColumn("text", F.when(F.col("s_spans").isNotNull(), done).otherwise(F.col("text"))).select(*docs.columns)
+    masked = F.aggregate(F.array(cuts), F.lit(""), lambda _, c: whole(c))  # binds the cuts once
+    marked = docs.join(found, address(text_or_empty()) == F.col(blob), "left")
+    return marked.withColumn("text", F.when(F.col(spans).isNotNull(), masked).otherwise(text)).select(*docs.columns)
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
