@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import CATEGORIES, ENGLISH, SHORT, WEIGHTS, java, total_matches
+from .rules import CATEGORIES, ENGLISH, SHORT, WEIGHTS, Rule, java, may_match, on_normalized, rules, table_of, total_matches
 
 WEIGHT_SUM = 15.5
 THRESHOLD = 0.3
@@ -21,6 +23,39 @@ def densities(text: Column, rules: dict[str, list[str]] | None = None) -> dict[s
     return {c: density(text, rules.get(c, [])) for c in CATEGORIES}
 
 
+#: Letters that match i and s without regard to case, although they are lower case themselves.
+_FOLDED = ("\u0131\u017f", "is")
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated once, however often and wherever it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def rule_hits(norm: Column, chosen: list[Rule] | None = None) -> Column:
+    """(category, n) of each rule that matches in a normalised text; only rules whose anchors occur are run."""
+    table = table_of(rules(["en"]) if chosen is None else chosen, "regex", on_normalized)
+    count = lambda t: F.transform(may_match(t, table), lambda r: F.struct(r["category"].alias("category"), F.regexp_count(t, r["expr"]).alias("n")))
+    folded = once(norm, lambda t: F.when(t.rlike(f"[{_FOLDED[0]}]"), F.translate(t, *_FOLDED)).otherwise(t))
+    return F.filter(once(folded, count), lambda r: r["n"] > 0)
+
+
+def motif_hits(norm: Column, chosen: list[Rule] | None = None) -> Column:
+    """(category, n) of each motif that occurs: its places in the text, each once."""
+    table = table_of(rules(["en"]) if chosen is None else chosen, "motif", lambda r: r.expr.lower())
+    count = lambda t, m: ((F.length(t) - F.length(F.replace(t, m["expr"], F.lit("")))) / F.length(m["expr"])).cast("int")
+    return once(norm, lambda t: F.transform(F.filter(table, lambda m: F.contains(t, m["expr"])), lambda m: F.struct(m["category"].alias("category"), count(t, m).alias("n"))))
+
+
+def total_of(hits: Column, category: str | None = None) -> Column:
+    own = hits if category is None else F.filter(hits, lambda r: r["category"] == category)
+    return F.aggregate(own, F.lit(0), lambda s, r: s + r["n"])
+
+
+def densities_of(hits: Column, length: Column) -> dict[str, Column]:
+    return {c: F.least(total_of(hits, c) * F.lit(1000.0) / F.greatest(length, F.lit(1)), F.lit(1.0)) for c in CATEGORIES}
+
+
 def _per_char(count: Column, text: Column) -> Column:
     return count / F.greatest(F.length(text), F.lit(1))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,6 +114,16 @@ MOTIFS = {
     "jailbreak": ["do anything now", "jailbreak", "evil mode", "unrestricted mode", "unfiltered mode", "no ethical guidelines", "hypothetically speaking", "educational purposes only", "fictional scenario", "chaos mode", "no censorship", "bypass safeguards"],
     "delimiters": ["[system]", "[instruction]", "[admin]", "[assistant]", "<|system|>", "<|im_start|>", "### system", "*** override", "=== system", "``` system"],
 }
+#: Our own gates, one for each English expression above: whatever it matches in a normalised text contains one of these.
+ANCHORS = {
+    "instruction_override": [["ignore "], ["disregard "], ["forget "], ["do not follow "], ["override "], ["stop following "], ["new instruction"], ["actual instruction"], ["real instruction"], ["update"]],
+    "role_injection": [["you are now "], ["from now on"], ["act as "], ["pretend "], ["your new "], ["imagine "], ["roleplay as"], ["switch to "], ["you must now "], ["for the rest of this "], ["behave "], ["assume the "], ["you will "]],
+    "system_manipulation": [[" mode"], ["system "], ["unlock "], ["disable "], ["bypass "], ["enable "], ["remove "], ["without "], ["turn off "], ["deactivate "], ["override safety"], ["ignore "]],
+    "prompt_leak": [["reveal "], ["show "], ["what "], ["prompt", "instruction", "directive"], ["tell me "], ["prompt", "instruction", "directive"], ["what were you "], ["prompt", "instruction"], ["beginning of ", "start of "]],
+    "jailbreak_keywords": [["dan"], ["jailbreak"], ["do anything now"], ["evil ", "dark ", "shadow ", "unrestricted ", "unfiltered "], [" ethical ", " moral "], ["hypothetically "], ["for educational ", "for research ", "for academic "], ["in a fictional "], ["opposite day", "anti day"], ["chaos mode"], ["maximum freedom"], ["no censorship"], ["uncensored "], ["safeguard"]],
+    "encoding_markers": [["base64"], ["decode "], ["encoded "], ["\\x"], ["&#"], ["%"], ["\\u"], ["rot13"], ["caesar cipher"]],
+    "suspicious_delimiters": [["system"], ["instruction"], ["admin"], ["assistant"], ["user"], ["<"], ["###"], ["***"], ["==="], ["```"], ["---"]],
+}
 CATEGORIES = list(ENGLISH)
 SHORT = dict(zip(CATEGORIES, ["override", "role", "system", "leak", "jailbreak", "encoding", "delimiters"], strict=True))
 WEIGHTS = dict(zip(CATEGORIES, [3.0, 2.5, 3.0, 2.0, 2.5, 1.0, 1.5], strict=True))
@@ -145,11 +157,18 @@ def _other(lang: str) -> dict[str, list[str]]:
 
 @dataclass(frozen=True)
 class Rule:
+    """``anchors``: a match in a normalised text contains one of them; none where nothing is known."""
+
     rule_id: int
     lang: str
     category: str
     kind: str
     expr: str
+    anchors: tuple[str, ...] = ()
+
+
+def _motifs(lang: str) -> dict[str, list[str]]:
+    return MOTIFS if lang == "en" else {"role_injection": VOCABULARY[lang][2]}
 
 
 def rules(languages: list[str] | None = None) -> list[Rule]:
@@ -158,12 +177,45 @@ def rules(languages: list[str] | None = None) -> list[Rule]:
     out: list[Rule] = []
     for lang in LANGUAGES:
         if lang in wanted:
-            for kind, tables in (("regex", ENGLISH if lang == "en" else _other(lang)), ("motif", MOTIFS if lang == "en" else {})):
+            for kind, tables in (("regex", ENGLISH if lang == "en" else _other(lang)), ("motif", _motifs(lang))):
                 for category, exprs in tables.items():
-                    out += [Rule(len(out) + i, lang, category, kind, e) for i, e in enumerate(exprs)]
+                    gates = ANCHORS[category] if (lang, kind) == ("en", "regex") else [()] * len(exprs)
+                    out += [Rule(len(out) + i, lang, category, kind, e, tuple(g)) for i, (e, g) in enumerate(zip(exprs, gates, strict=True))]
     return out
 
 
+def from_files(spark: SparkSession, loaded: DataFrame, languages: list[str] | None = None) -> list[Rule]:
+    """Rules to detect with: of each language its first file (``rule_files.load``; a bounded list), else the shipped rules.
+
+    Expressions that do not compile are left out.
+    """
+    rows = by_priority(loaded).select("lang", "category", "kind", "expr").collect()
+    good = set(valid(spark, sorted({r["expr"] for r in rows if r["kind"] == "regex"})))
+    given = {r["lang"] for r in rows}
+    out = [r for r in rules(languages) if r.lang not in given]
+    out += [Rule(0, r["lang"], r["category"], r["kind"], r["expr"]) for r in rows if r["kind"] == "motif" or r["expr"] in good]
+    return [Rule(i, r.lang, r.category, r.kind, r.expr, r.anchors) for i, r in enumerate(out)]
+
+
+def on_normalized(rule: Rule) -> str:
+    """The expression for texts in lower case with single blanks, where it can be said more cheaply."""
+    if rule.lang != "en" or not rule.anchors:
+        return java(rule.expr)
+    plain = re.sub(r"(?<!\\)[A-Z]", lambda m: m[0].lower(), rule.expr.replace(r"\s+", " ").replace(r"\s*", " ?"))
+    return ("(?U)" if r"\b" in plain else "") + plain
+
+
+def table_of(chosen: list[Rule], kind: str, column: Callable[[Rule], str], anchors: Callable[[Rule], tuple[str, ...]] = lambda r: r.anchors) -> Column:
+    """The rules of one kind as one constant array of (category, anchors, expr): plans stay small however many there are."""
+    each = [F.struct(F.lit(r.category).alias("category"), F.array(*map(F.lit, anchors(r))).cast("array<string>").alias("anchors"), F.lit(column(r)).alias("expr")) for r in chosen if r.kind == kind]
+    return F.array(*each) if each else F.expr("cast(array() as array<struct<category:string,anchors:array<string>,expr:string>>)")
+
+
+def may_match(text: Column, table: Column) -> Column:
+    """The rules of ``table`` whose anchors the text allows."""
+    return F.filter(table, lambda r: (F.size(r["anchors"]) == 0) | F.exists(r["anchors"], lambda a: F.contains(text, a)))
+
+
 def rules_frame(spark: SparkSession, languages: list[str] | None = None) -> DataFrame:
     return spark.createDataFrame([(r.rule_id, r.lang, r.category, r.kind, r.expr) for r in rules(languages)], "rule_id int, lang string, category string, kind string, expr string")
 

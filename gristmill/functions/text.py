@@ -26,28 +26,33 @@ def strip_invisible(c: Column) -> Column:
 
 def fold_confusables(c: Column) -> Column:
     """Only in words that mix Latin with Cyrillic or Greek letters; words of one script stay as they are."""
-    mixed = lambda w: w.rlike("[A-Za-z]") & w.rlike(r"[\p{IsCyrillic}\p{IsGreek}]")
+    mixed = lambda w: w.rlike(r"[\p{IsCyrillic}\p{IsGreek}]") & w.rlike("[A-Za-z]")
     return F.array_join(F.transform(F.split(c, " "), lambda w: F.when(mixed(w), F.translate(w, CONFUSABLE, LATIN)).otherwise(w)), " ")
 
 
 def collapse_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    # a single blank is passed over: nearly all of a text's white space stays as it is
+    return F.trim(F.regexp_replace(c, f"[{SPACE}&&[^ ]][{SPACE}]*| [{SPACE}]+", " "))
 
 
 def plain_normalized(c: Column) -> Column:
-    """All steps but NFKC."""
-    return F.lower(collapse_space(fold_confusables(strip_invisible(c))))
+    """All steps but NFKC. Texts of plain letters hold neither invisible characters nor confusables."""
+    return F.lower(collapse_space(F.when(may_change(c), fold_confusables(strip_invisible(c))).otherwise(c)))
+
+
+def may_change(c: Column) -> Column:
+    """Whether a text has a character beyond the plain letters and punctuation; ASCII texts show in their length."""
+    return (F.octet_length(c) != F.length(c)) & c.rlike(rf"[^\x00-\x7f](?<![{_STABLE}])")
 
 
 @F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def nfkc(df: DataFrame, column: str = "text") -> DataFrame:
-    """``column`` in NFKC. A UDF under ``when`` would see all rows, so those it may change are split off."""
-    may_change = F.coalesce(F.col(column).rlike(f"[^{_STABLE}]"), F.lit(False))
-    return df.filter(~may_change).unionByName(df.filter(may_change).withColumn(column, _nfkc(column)))
+    """``column`` in NFKC. A UDF sees every row of a projection, so texts that it cannot change are nulls to it."""
+    return df.withColumn(column, F.coalesce(_nfkc(F.when(may_change(F.col(column)), F.col(column))), F.col(column)))
 
 
 def normalized(df: DataFrame, column: str = "text", into: str = "norm_text") -> DataFrame:

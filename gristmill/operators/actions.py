@@ -8,52 +8,63 @@ from pyspark.sql import functions as F
 from ..functions import features as feats
 from ..functions import spans as sp
 from ..functions import text as tx
-from ..functions.rules import CATEGORIES, ENGLISH
+from ..functions.rules import CATEGORIES, Rule
+from ..functions.rules import rules as rules_of
 
 ACTIONS = ("warn", "redact", "datamark", "metadata", "silent")
-ALL = [e for exprs in ENGLISH.values() for e in exprs]
 
 
-def detect(df: DataFrame, text: str = "text", threshold: float = feats.THRESHOLD, nfkc: bool = True) -> DataFrame:
-    """Adds ``norm_text``, seven densities, ``motif_density``, ``score``, ``flagged`` and ``signals``.
+def detect(df: DataFrame, text: str = "text", threshold: float = feats.THRESHOLD, nfkc: bool = True, languages: list[str] | None = None, rules: list[Rule] | None = None, fuzzy: str | None = None) -> DataFrame:
+    """Adds ``norm_text``, seven densities, ``motif_density``, ``score``, ``suspicious``, ``flagged`` and ``signals``.
 
+    The rules are those of ``languages`` (English; ``["all"]`` for every language), or ``rules`` as given, such as those of files
+    (``rules.from_files``). ``fuzzy`` names a unique key column: motifs then count as well where they occur misspelt.
     Without any density the fast path holds: never flagged, at any threshold.
     """
-    from .motifs import LISTED
+    from .motifs import find_fuzzy
 
+    chosen = rules if rules is not None else rules_of(languages or ["en"])
     df = tx.normalized(df, text) if nfkc else df.withColumn("norm_text", tx.plain_normalized(F.col(text)))
     norm = F.col("norm_text")
-    df = df.withColumns(feats.densities(norm))
     # a count by place, each place once: windows of a text overlap, occurrences do not
-    count = lambda m: ((F.length(norm) - F.length(F.replace(norm, F.lit(m), F.lit("")))) / len(m)).cast("int")
-    hits = sum((count(m) for _, m in LISTED), F.lit(0))
-    df = df.withColumn("motif_density", F.when(F.length(norm) >= 10, hits * 1000.0 / F.length(norm)).otherwise(0.0))
+    motifs = F.lit(0) if fuzzy else feats.total_of(feats.motif_hits(norm, chosen))
+    found = F.struct(feats.rule_hits(norm, chosen).alias("_hits"), motifs.alias("_motifs"), F.length(norm).alias("_length"))
+    # as generated rows: a later filter on the verdict is not pushed below, where it would run the rules again
+    df = df.select("*", F.inline(F.array(found)))
+    if fuzzy:
+        counts = find_fuzzy(df, fuzzy, "norm_text", chosen=chosen).groupBy(fuzzy).agg(F.count(F.lit(1)).alias("_fuzzy"))
+        df = df.join(counts, fuzzy, "left").withColumn("_motifs", F.coalesce("_fuzzy", F.lit(0))).drop("_fuzzy")
+    df = df.withColumns(feats.densities_of(F.col("_hits"), F.col("_length")))
+    df = df.withColumn("motif_density", F.when(F.col("_length") >= 10, F.col("_motifs") * 1000.0 / F.col("_length")).otherwise(0.0)).drop("_hits", "_motifs", "_length")
     named = {c: F.col(c) for c in CATEGORIES}
     df = df.withColumn("score", feats.final_score(feats.base_score(named), F.col("motif_density")))
     suspicious = sum((F.when(c > 0, 1).otherwise(0) for c in [*named.values(), F.col("motif_density")]), F.lit(0)) > 0
     return df.withColumn("suspicious", suspicious).withColumn("flagged", suspicious & (F.col("score") >= threshold)).withColumn("signals", feats.signals(named))
 
 
-def acted(df: DataFrame, text: str = "text", action: str = "redact", threshold: float = feats.THRESHOLD) -> DataFrame:
-    """Adds ``output`` and ``content_type`` to the rows of ``detect``. An unknown action warns."""
+def acted(df: DataFrame, text: str = "text", action: str = "redact", threshold: float = feats.THRESHOLD, rules: list[Rule] | None = None) -> DataFrame:
+    """Adds ``output`` and ``content_type`` to the rows of ``detect``. An unknown action warns.
+
+    What is redacted are the matches of expressions and motifs in the text as it stands.
+    """
     action = action if action in ACTIONS else "warn"
     body = F.col(text)
     plain = sp.wrapped(body)
     if action == "silent":
         out, kind = plain, F.lit(None).cast("string")
     elif action == "metadata":
-        out = F.when(F.col("flagged"), metadata(body, threshold)).otherwise(plain)
+        out = F.when(F.col("flagged"), metadata(body, threshold, rules)).otherwise(plain)
         kind = F.when(F.col("flagged"), F.lit("application/json"))
     else:
         if action == "redact":
-            df = df.withColumn("merged", F.when(F.col("flagged"), sp.merge(sp.all_spans(body, ALL))))
+            df = df.withColumn("merged", F.when(F.col("flagged"), sp.merge(sp.rule_spans(body, rules))))
         shown = {"redact": lambda: sp.redact(body, F.col("merged")), "datamark": lambda: sp.datamark(body), "warn": lambda: body}[action]()
         out = F.when(F.col("flagged"), sp.wrapped(sp.tagged(shown, F.col("score"), F.col("signals")))).otherwise(plain)
         kind = F.lit(None).cast("string")
     return df.withColumn("output", out).withColumn("content_type", kind)
 
 
-def metadata(text: Column, threshold: float) -> Column:
+def metadata(text: Column, threshold: float, rules: list[Rule] | None = None) -> Column:
     features = F.struct(*[F.round(F.col(c), 4).alias(c) for c in CATEGORIES])
-    analysis = F.struct(F.round("score", 4).alias("score"), F.lit(threshold).alias("threshold"), F.col("flagged").alias("flagged"), features.alias("pattern_features"), feats.matches(F.col("norm_text")).alias("matched_patterns"), sp.merge(sp.all_spans(text, ALL)).alias("matched_spans"), F.lit("pattern-only").alias("mode"))
+    analysis = F.struct(F.round("score", 4).alias("score"), F.lit(threshold).alias("threshold"), F.col("flagged").alias("flagged"), features.alias("pattern_features"), feats.matches(F.col("norm_text")).alias("matched_patterns"), sp.merge(sp.rule_spans(text, rules)).alias("matched_spans"), F.lit("pattern-only").alias("mode"))
     return F.to_json(F.struct(text.alias("content"), analysis.alias("injection_analysis")), {"pretty": "true"})

@@ -55,7 +55,7 @@ def masked_mean(states: Column, mask: Column) -> Column:
 
 def chunk_embedding(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     chunks = word_chunks(df.select(key, text), text)
-    return max_pool(chunks.select(key, hash_embedding(F.col("chunk"), 32).alias("v")), key, "v").select(key, l2(F.col("pooled")).alias("embedding"))
+    return max_pool(chunks.select(key, hash_embedding(F.col("chunk")).alias("v")), key, "v").select(key, l2(F.col("pooled")).alias("embedding"))
 
 
 def train(df: DataFrame, features: str = "features", label: str = "label", trees: int = 100, depth: int = 20, seed: int = 42):  # noqa: ANN201

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import MOTIFS
+from ..functions.features import once
+from ..functions.rules import MOTIFS, Rule, rules, table_of
 
 SIZE, STEP, SHORTEST, FUZZY_LEAST = 50, 25, 10, 75
 LISTED = [(c, m) for c, ms in MOTIFS.items() for m in ms]
@@ -21,19 +23,32 @@ def windows(df: DataFrame, text: str = "text", size: int = SIZE, step: int = STE
     return out.filter(F.length("window") >= shortest)
 
 
-def find_exact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, motif, category, position, length, score) once per place: motifs that occur whole in a window.
+def find_exact(df: DataFrame, key: str = "doc_id", text: str = "text", chosen: list[Rule] | None = None) -> DataFrame:
+    """(key, motif, category, position, length, score) once per place: motifs that come first in some window of the text.
 
-    Texts without any motif never become windows; a motif is no longer than what two windows share, so nothing is lost.
+    Motifs are located in the whole text and windows follow by arithmetic: a motif is no longer than what two windows
+    share, so it lies whole in the last window that starts at or before it, and perhaps in the one before.
     """
-    low = df.select(key, F.lower(F.col(text)).alias("text"))
-    some = F.lit(False)
-    for _, m in LISTED:
-        some = some | F.col("text").contains(m)
-    rows = windows(low.filter(some))
-    found = F.array(*[F.when(F.col("window").contains(m), F.struct(F.lit(m).alias("motif"), F.lit(c).alias("category"), (F.locate(m, F.col("window")) - 1 + F.col("pos")).alias("position"))) for c, m in LISTED])
-    rows = rows.select(key, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("m")).select(key, "m.*")
-    return rows.distinct().withColumn("length", F.length("motif")).withColumn("score", F.lit(100.0))
+    table = table_of(rules(["en"]) if chosen is None else chosen, "motif", lambda r: r.expr.lower())
+
+    def places(t: Column, m: Column) -> Column:
+        gaps = F.transform(F.split(t, F.concat(F.lit("\\Q"), m["expr"], F.lit("\\E")), -1), lambda g: F.length(g))
+        size = F.length(m["expr"])
+        starts = F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), F.array().cast("array<int>"), lambda out, g: F.concat(out, F.array(F.coalesce(F.get(out, F.size(out) - 1) + size, F.lit(0)) + g)))
+        pairs = once(starts, lambda all_: F.transform(all_, lambda p, i: F.struct(p.alias("p"), F.coalesce(F.get(all_, i - 1), F.lit(-1)).alias("q"))))
+        kept = F.filter(pairs, lambda x: _first_in_a_window(x["p"], x["q"], size, F.length(t)))
+        return F.transform(kept, lambda x: F.struct(m["expr"].alias("motif"), m["category"].alias("category"), x["p"].alias("position")))
+
+    found = once(F.lower(F.col(text)), lambda t: F.flatten(F.transform(F.filter(table, lambda m: F.contains(t, m["expr"])), lambda m: places(t, m))))
+    rows = df.select(key, F.inline(found))
+    return rows.withColumn("length", F.length("motif")).withColumn("score", F.lit(100.0))
+
+
+def _first_in_a_window(place: Column, previous: Column, size: Column, length: Column) -> Column:
+    """A window finds the first place in it; the last window of a text may be too short to count."""
+    last = place - place % STEP
+    before = last - STEP
+    return ((length - last >= SHORTEST) & (previous < last)) | ((before >= 0) & (place + size <= before + SIZE) & (previous < before))
 
 
 def partial_ratio(short: str, long: str) -> tuple[float, int]:
@@ -65,26 +80,80 @@ def partial_ratio(short: str, long: str) -> tuple[float, int]:
     return best, at
 
 
-def find_fuzzy(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = FUZZY_LEAST) -> DataFrame:
+def _best_alignments(motif: str, masks: dict[str, np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``partial_ratio`` of one motif with many windows no shorter than it, a step for all windows at a time.
+
+    ``masks``: for every window and place the bits of the motif's letters there, read forwards and, from the window's end, backwards.
+    """
+    m, n = len(motif), len(lengths)
+    full = np.uint64((1 << m) - 1)
+    best, at = np.zeros(n), np.zeros(n, np.int64)
+
+    def step(row: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        u = row & letter
+        return ((row + u) | (row - u)) & full
+
+    def take(row: np.ndarray, k: int, where: np.ndarray | int, valid: np.ndarray | bool = True) -> None:
+        score = 200.0 * (m - np.bitwise_count(row).astype(np.int64)) / (m + k)
+        better = (score > best) & valid
+        best[better] = score[better]
+        at[better] = np.broadcast_to(where, n)[better]
+
+    forward, backward = masks["forward"], masks["backward"]
+    for s in range(forward.shape[1] - m + 1):
+        row = np.full(n, full)
+        for t in range(m):
+            row = step(row, forward[:, s + t])
+        take(row, m, s, s + m <= lengths)
+    for side, where in ((forward, lambda k: 0), (backward, lambda k: lengths - k)):
+        row = np.full(n, full)
+        for k in range(1, m):
+            row = step(row, side[:, k - 1])
+            take(row, k, where(k))
+    return best, at
+
+
+def find_fuzzy(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = FUZZY_LEAST, chosen: list[Rule] | None = None) -> DataFrame:
     """As ``find_exact``, with windows whose best partial ratio reaches ``least``.
 
-    Windows that share too few characters with a motif are passed over before any alignment.
+    With L letters shared no alignment scores more than 200 * L / (shorter length + L); pairs of window and motif below ``least``
+    are passed over for all windows of a batch at once, the others are aligned together.
     """
+    listed = [(r.category, r.expr.lower()) for r in (rules(["en"]) if chosen is None else chosen) if r.kind == "motif"]
     rows = windows(df.select(key, F.lower(F.col(text)).alias("text"))).select(key, "pos", "window")
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bags = [(c, m, {x: m.count(x) for x in set(m)}) for c, m in LISTED]
         for batch in batches:
+            texts = batch["window"].tolist()
+            n, lengths = len(texts), np.array([len(t) for t in texts])
+            wide = max(int(lengths.max(initial=0)), 1)
+            letters, codes = np.unique(np.array([t.ljust(wide, "\0") for t in texts], f"<U{wide}").view(np.uint32), return_inverse=True)
+            codes = codes.reshape(n, wide)
+            counts = np.zeros((n, len(letters)), np.uint8)
+            for c in range(wide):
+                counts[np.arange(n), codes[:, c]] += 1
+            number = {chr(int(x)): i for i, x in enumerate(letters) if x}
             out = []
-            for k, pos, window in zip(batch[key], batch["pos"], batch["window"], strict=True):
-                for c, m, bag in bags:
-                    if m in window:
-                        out.append((k, m, c, pos + window.index(m), len(m), 100.0))
-                    elif 200.0 * sum(min(n, window.count(x)) for x, n in bag.items()) / (2 * len(m)) >= least:
-                        score, at = partial_ratio(m, window)
-                        if score >= least:
-                            out.append((k, m, c, pos + at, len(m), score))
-            yield pd.DataFrame(out, columns=[key, "motif", "category", "position", "length", "score"])
+            for category, m in listed:
+                shared = sum((np.minimum(counts[:, number[x]], m.count(x)).astype(np.int64) for x in sorted(set(m)) if x in number), np.zeros(n, np.int64))
+                some = np.flatnonzero(200.0 * shared >= least * (np.minimum(len(m), lengths) + shared))
+                long = some[(lengths[some] >= len(m)) & (len(m) <= 63)]
+                bits = np.zeros(len(letters) + 1, np.uint64)
+                flipped = bits.copy()
+                for i, x in enumerate(m[:63]):
+                    if x in number:
+                        bits[number[x]] |= np.uint64(1 << i)
+                        flipped[number[x]] |= np.uint64(1 << (min(len(m), 63) - 1 - i))
+                back = np.take_along_axis(codes[long], np.maximum(lengths[long, None] - 1 - np.arange(len(m)), 0), axis=1)
+                best, at = _best_alignments(m, {"forward": bits[codes[long]], "backward": flipped[back]}, lengths[long])
+                hit = best >= least
+                out += zip(long[hit].tolist(), at[hit].tolist(), best[hit].tolist(), [m] * int(hit.sum()), [category] * int(hit.sum()), strict=True)
+                for i in np.setdiff1d(some, long).tolist():  # windows shorter than the motif
+                    score, low = partial_ratio(m, texts[i])
+                    if score >= least:
+                        out.append((i, low, score, m, category))
+            keys, places = batch[key].tolist(), batch["pos"].tolist()
+            yield pd.DataFrame([(keys[i], m, c, places[i] + low, len(m), score) for i, low, score, m, c in out], columns=[key, "motif", "category", "position", "length", "score"])
 
     kind = df.schema[key].dataType.simpleString()
     found = rows.mapInPandas(match, f"`{key}` {kind}, motif string, category string, position int, length int, score double")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rules import MOTIFS
+from ..functions.features import motif_hits, total_of
 from .motifs import window_score
 
 COARSE, COARSE_STEP, FINE, FINE_STEP = 4096, 2048, 512, 256
@@ -37,16 +37,12 @@ def cut(df: DataFrame, low: Column, high: Column, size: Column, step: Column) ->
 def scored(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``density``, ``n_categories`` and ``score`` of each window, by motifs that occur whole in its sub-windows' text."""
     own = F.lower(F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")))
-    df = df.withColumn("own", own)
-    count = lambda m: (F.length("own") - F.length(F.replace(F.col("own"), F.lit(m), F.lit("")))) / len(m)
-    by = {c: sum((count(m) for m in ms), F.lit(0.0)) for c, ms in MOTIFS.items()}
-    for c, n in by.items():
-        df = df.withColumn(f"n_{c}", n)
-    total = sum((F.col(f"n_{c}") for c in by), F.lit(0.0))
-    kinds = sum((F.when(F.col(f"n_{c}") > 0, 1).otherwise(0) for c in by), F.lit(0))
-    df = df.withColumn("density", total * 1000 / F.greatest(F.col("end") - F.col("start"), F.lit(1))).withColumn("n_categories", kinds)
+    df = df.withColumn("hits", motif_hits(own))
+    total = total_of(F.col("hits"))
+    kinds = F.size(F.array_distinct(F.transform("hits", lambda h: h["category"])))
+    df = df.withColumn("density", total * 1000.0 / F.greatest(F.col("end") - F.col("start"), F.lit(1))).withColumn("n_categories", kinds)
     top = F.when(F.col("n_categories") > 0, 100.0).otherwise(0.0)
-    return df.withColumn("score", window_score(F.col("density"), F.col("n_categories"), top)).drop("own", *[f"n_{c}" for c in by])
+    return df.withColumn("score", window_score(F.col("density"), F.col("n_categories"), top)).drop("hits")
 
 
 def hotspots(windows: DataFrame, key: str = "doc_id", hot: float = HOT, step: int = COARSE_STEP) -> DataFrame:

@@ -48,20 +48,26 @@ NORM = f"trim(regexp_replace(lower(translate(t, {q(tx.INVISIBLE)}, '')), {q(SPAC
 NDOCS = f"(SELECT doc_id, lang, source, t, {NORM} AS n FROM {DOCS})"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: a table in fewer pieces than cores (one row group) is dealt out before work that costs CPU."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with ``t``, the text with its planted attack."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     attack = F.get(F.array(*[F.lit(a) for a in ATTACKS]), (F.col("doc_id") % 7).cast("int"))
     text = F.coalesce("text", F.lit(""))
     return docs.withColumn("t", F.when(F.col("doc_id") % 3 == 0, F.concat(text, F.lit(" "), attack)).otherwise(text))
 
 
 def norm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", "lang", "source", "t", tx.plain_normalized(F.col("t")).alias("n"))
+    return tx.normalized(documents(spark, sf_dir).select("doc_id", "lang", "source", "t"), "t", "n")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def query(name: str, sql: str | None = None):  # noqa: ANN201
@@ -190,7 +196,7 @@ PLANTED = f"(SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN coalesce(text, '') ||
 
 
 def planted(spark: SparkSession, d: str) -> DataFrame:
-    docs, sample = spark.read.parquet(f"{d}/documents.parquet"), F.get(F.array(*[F.lit(s) for s in SAMPLES]), (F.col("doc_id") % 22).cast("int"))
+    docs, sample = spread(spark.read.parquet(f"{d}/documents.parquet")), F.get(F.array(*[F.lit(s) for s in SAMPLES]), (F.col("doc_id") % 22).cast("int"))
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", F.when(F.col("doc_id") % 4 == 1, F.concat(text, F.lit(" "), sample)).otherwise(text).alias("t"))
 
@@ -300,9 +306,20 @@ def a7(spark: SparkSession, d: str) -> DataFrame:
     return norm_documents(spark, d).select("doc_id", feats.vector(F.col("n")).alias("features"))
 
 
-@query("a8_matches", "SELECT doc_id, 'instruction_override' AS category, m AS match, count(*) AS times FROM (SELECT doc_id, unnest(list_concat(" + "), list_concat(".join(f"regexp_extract_all(n, {q('(?i)' + e)})" + ("" if i < len(rl.ENGLISH["instruction_override"]) - 1 else ", []") for i, e in enumerate(rl.ENGLISH["instruction_override"])).replace("), list_concat(", ", list_concat(") + ")" * len(rl.ENGLISH["instruction_override"]) + f") AS m FROM {NDOCS}) GROUP BY ALL")
+def _sql_matches(e: str) -> str:
+    """All matches of one rule. Word edges are a neighbour on either side, which doubled blanks keep apart."""
+    if r"\b" not in e:
+        return f"regexp_extract_all(n, {q('(?i)' + e)})"
+    inner = e.replace(r"\b", "").replace("(ed|ing)", "(?:ed|ing)")
+    return f"regexp_extract_all(replace(n, ' ', '  '), {q(f'(?i)(?:^|[^\\pL\\pN_])({inner})(?:$|[^\\pL\\pN_])')}, 1)"
+
+
+_MATCHES = " UNION ALL ".join(f"SELECT doc_id, {q(c)} AS category, unnest({_sql_matches(e)}) AS match FROM n" for c, exprs in rl.ENGLISH.items() for e in exprs)
+
+
+@query("a8_matches", f"WITH n AS (SELECT doc_id, n FROM {NDOCS}) SELECT doc_id, category, match, count(*) AS times FROM ({_MATCHES}) WHERE match <> '' GROUP BY ALL")
 def a8(spark: SparkSession, d: str) -> DataFrame:
-    found = norm_documents(spark, d).select("doc_id", F.explode(feats.matches(F.col("n"))).alias("category", "found")).filter(F.col("category") == "instruction_override")
+    found = norm_documents(spark, d).select("doc_id", F.explode(feats.matches(F.col("n"))).alias("category", "found"))
     return found.select("doc_id", "category", F.explode("found").alias("match")).groupBy("doc_id", "category", "match").agg(F.count(F.lit(1)).alias("times"))
 
 
@@ -314,7 +331,7 @@ _CODES = "coalesce(nullif(concat_ws(',', " + ", ".join(f"CASE WHEN d_{c} > 0 THE
 
 
 def detected(spark: SparkSession, d: str) -> DataFrame:
-    return actions.detect(documents(spark, d), "t", nfkc=False)
+    return actions.detect(documents(spark, d), "t")
 
 
 def _scored(name: str, columns: list[str | Column], sql: str) -> None:
@@ -413,8 +430,8 @@ def m3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m1_fuzzy_motifs")
 def m1(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("ignroe previuos "), "text").alias("text"))
-    return motifs.find_fuzzy(rows)
+    """Every whole document, a misspelt phrase before it."""
+    return motifs.find_fuzzy(documents(spark, d).select("doc_id", F.concat(F.lit("ignroe previuos "), "t").alias("text")))
 
 
 def _motif_signal(name: str, columns: list[str], sql: str) -> None:
@@ -519,7 +536,7 @@ def w9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w11_regex_spans")
 def w11(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).select("doc_id", F.explode(sp.all_spans(F.col("t"), actions.ALL)).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
+    return documents(spark, d).select("doc_id", F.explode(sp.rule_spans(F.col("t"))).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
 
 
 MOTIF_SPANS = f"(SELECT doc_id, position AS s, position + length(motif) AS e FROM {FOUND})"
@@ -534,7 +551,7 @@ def w12(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w14_around_patterns")
 def w14(spark: SparkSession, d: str) -> DataFrame:
-    rows = norm_documents(spark, d).filter(F.length("n") > 1024).withColumn("spans", sp.all_spans(F.col("n"), actions.ALL))
+    rows = norm_documents(spark, d).withColumn("spans", sp.rule_spans(F.col("n")))
     return rows.select("doc_id", F.explode(windows.around(F.col("spans"), F.length("n"))).alias("w")).select("doc_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"))
 
 
@@ -580,12 +597,12 @@ _action("r7_datamark_action", "datamark", f"regexp_replace(t, {q(SPACES)}, ''
 
 @query("r4_metadata")
 def r4(spark: SparkSession, d: str) -> DataFrame:
-    return actions.acted(detected(spark, d), "t", "metadata").filter("flagged").select("doc_id", "output", "content_type")
+    return actions.acted(detected(spark, d), "t", "metadata").select("doc_id", "output", "content_type")
 
 
 @query("r7_redact_action")
 def r7(spark: SparkSession, d: str) -> DataFrame:
-    return actions.acted(detected(spark, d), "t", "redact").filter("flagged").select("doc_id", "score", "signals", "output")
+    return actions.acted(detected(spark, d), "t", "redact").select("doc_id", "score", "signals", "output")
 
 
 _PHRASE = f"{sql_list(ATTACKS)}[(doc_id % 7 + 1)::INT]"
@@ -763,7 +780,7 @@ def a20(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e2_chunk_embedding")
 def e2(spark: SparkSession, d: str) -> DataFrame:
-    return models.chunk_embedding(spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text"))
+    return models.chunk_embedding(documents(spark, d).select("doc_id", "t"), text="t")
 
 
 @query("e4_feature_concat", "SELECT vec_id, len(embedding)::INT + 21 AS width FROM embeddings")
