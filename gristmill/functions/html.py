@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as html_table
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +43,38 @@ def decode_common_entities(c: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def decode_entities(s: pd.Series) -> pd.Series:
     """The whole table, for texts with entities beyond the common ones."""
-    return s.map(lambda t: None if t is None else html_table.unescape(t))
+    return s.map(html_table.unescape, na_action="ignore")
+
+
+def has_other_entities(c: Column) -> Column:
+    """Named or numeric entities that ``decode_common_entities`` leaves."""
+    common = "|".join(name[1:-1] for name in ENTITIES)
+    return c.contains("&") & c.rlike(f"&(?!(?:{common});)(?:#|[A-Za-z])")
+
+
+def decoded(df: DataFrame, column: str) -> DataFrame:
+    """``column`` with all entities decoded; a UDF sees every row of a projection, texts of common entities only are nulls to it."""
+    c = F.col(column)
+    return df.withColumn(column, F.coalesce(decode_entities(F.when(has_other_entities(c), c)), decode_common_entities(c)))
+
+
+def to_text(df: DataFrame, column: str = "html", into: str = "text") -> DataFrame:
+    """``sanitized`` with the whole table of entities, as a step over rows."""
+    c = F.col(column)
+    blank = ~F.coalesce(c, F.lit("")).rlike(r"[^ \t-\r]")
+    is_html = ~blank & looks_like_html(c)
+    stripped = F.when(blank, F.lit("")).when(is_html, strip_tags(blocks_to_lines(drop_scripts(c)))).otherwise(c)
+    df = df.select("*", F.inline(F.array(F.struct(is_html.alias("_is_html"), stripped.alias("_stripped")))))
+    text, html = F.col("_stripped"), F.col("_is_html")
+    other = decode_entities(F.when(html & has_other_entities(text), text))
+    df = df.withColumn(into, F.when(html, F.coalesce(other, decode_common_entities(text))).otherwise(text))
+    return df.withColumn(into, collapse_lines(F.col(into))).drop("_is_html", "_stripped")
+
+
+def to_markdown(df: DataFrame, column: str = "html", into: str = "markdown", readable: bool = False) -> DataFrame:
+    """``markdown``, or ``article`` of the main content, with the whole table of entities."""
+    c = F.col(column)
+    return decoded(df.withColumn(into, article(c) if readable else markdown(c)), into)
 
 
 def collapse_lines(c: Column) -> Column:

@@ -7,9 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +73,28 @@ def infer(model, df: DataFrame, features: str = "features") -> DataFrame:  # noq
     return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
 
 
+def save(model, path: str, names: list[str]) -> None:  # noqa: ANN001
+    """The forest and the names of its features, in one folder of any file system that Spark writes."""
+    model.write().overwrite().save(f"{path}/forest")
+    SparkSession.active().createDataFrame([(i, n) for i, n in enumerate(names)], "at int, feature string").coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+
+
+def load(spark: SparkSession, path: str):  # noqa: ANN201
+    """(model, names of its features)."""
+    names = [r["feature"] for r in spark.read.parquet(f"{path}/features").orderBy("at").collect()]  # one row per feature
+    return RandomForestClassificationModel.load(f"{path}/forest"), names
+
+
+def out_of_fold(df: DataFrame, key: str = "doc_id", n: int = 5, **options: int) -> DataFrame:
+    """``df`` with ``fold`` and ``p``, each row scored by the forest that was fitted on all other folds. ``df`` is read 2 n times: keep it ready."""
+    rows = df.withColumn("fold", folds(F.col(key), n))
+    parts = [infer(train(rows.filter(F.col("fold") != k), **options), rows.filter(F.col("fold") == k)) for k in range(n)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def folds(key: Column, n: int = 5) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import secrets as sec
 from ..functions.html import article, markdown
+from . import actions
 
 
 def secret_decisions(requests: DataFrame, allow: list[str] | None = None, override: bool = False, secrets: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -31,11 +35,15 @@ def secret_decisions(requests: DataFrame, allow: list[str] | None = None, overri
 
 @dataclass(frozen=True)
 class Stage:
-    """``change`` gives the new body and content type (null keeps the last) where ``gate`` holds."""
+    """``change`` gives the new body and content type (null keeps the last) where ``gate`` holds; it sees null elsewhere.
+
+    ``rows`` does the same to whole rows, for stages that are no expression: it gives ``output`` and ``new_type``.
+    """
 
     slug: str
     gate: Callable[[], Column]
-    change: Callable[[Column], tuple[Column, Column | None]]
+    change: Callable[[Column], tuple[Column, Column | None]] | None = None
+    rows: Callable[[DataFrame], DataFrame] | None = None
 
 
 def is_html() -> Column:
@@ -54,8 +62,13 @@ def response_chain(df: DataFrame, stages: list[Stage]) -> DataFrame:
     """Stages in order over (body, content_type)."""
 
     def apply(df: DataFrame, s: Stage) -> DataFrame:
-        body, kind = s.change(F.col("body"))
         gate = s.gate()
+        if s.rows:
+            columns = df.columns
+            out = s.rows(df.withColumn("input", F.when(gate, F.col("body"))))
+            body, kind = F.coalesce("output", "body"), F.coalesce("new_type", "content_type")
+            return out.withColumns({"body": F.when(gate, body).otherwise(F.col("body")), "content_type": F.when(gate, kind).otherwise(F.col("content_type"))}).select(*columns)
+        body, kind = s.change(F.when(gate, F.col("body")))
         new_kind = F.col("content_type") if kind is None else F.coalesce(kind, F.col("content_type"))
         return df.withColumns({"body": F.when(gate, body).otherwise(F.col("body")), "content_type": F.when(gate, new_kind).otherwise(F.col("content_type"))})
 
@@ -73,11 +86,56 @@ def request_chain(df: DataFrame, stages: list[Callable[[DataFrame], DataFrame]])
     return df.withColumn("action", F.when(F.col("blocked_by").isNotNull(), "block").otherwise("pass"))
 
 
-MARKDOWN = Stage("markdown", is_html, lambda b: (F.when(markdown(b) != "", markdown(b)).otherwise(b), F.lit("text/markdown")))
-READABILITY = Stage("readability", is_html, lambda b: (F.when(article(b) != "", article(b)).otherwise(b), F.lit("text/markdown")))
-REGISTRY = {s.slug: s for s in (READABILITY, MARKDOWN)}
+@F.pandas_udf(T.StringType())
+def _pretty(bodies: pd.Series) -> pd.Series:
+    def one(text: str) -> str:
+        try:
+            return json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+        except ValueError:
+            return text
+
+    return bodies.map(one, na_action="ignore")
+
+
+def pretty_json(body: Column) -> Column:
+    """Indented by two, letters as they are, keys in their order; what is no JSON stays. Spark's own writer would sort the keys."""
+    return _pretty(body)
 
 
-def enabled(disable: set[str] = frozenset(), raw: bool = False) -> list[Stage]:
-    """Registered stages but those disabled; none for raw output."""
-    return [] if raw else [s for k, s in REGISTRY.items() if k not in disable]
+def defender(threshold: float = 0.3, action: str = "redact", languages: list[str] | None = None) -> Stage:
+    """Detection as a stage: a flagged body is rewritten, every judged body is wrapped; the gate is text."""
+
+    def rows(df: DataFrame) -> DataFrame:
+        found = actions.acted(actions.detect(df.withColumnRenamed("content_type", "old_type"), "input", threshold, languages=languages), "input", action, threshold)
+        return found.withColumnRenamed("content_type", "new_type").withColumnRenamed("old_type", "content_type")
+
+    return Stage("prompt-defender", is_text, rows=rows)
+
+
+MARKDOWN = Stage("markdown", is_html, lambda b: (F.when(markdown(b) != "", markdown(b)).otherwise(b), F.lit("text/markdown")))
+READABILITY = Stage("readability", is_html, lambda b: (F.when(article(b) != "", article(b)).otherwise(b), F.lit("text/markdown")))
+JSON = Stage("json-prettify", is_json, lambda b: (pretty_json(b), None))
+#: Response stages in order, and whether they run unless they are disabled; the others run if they are enabled.
+REGISTRY = {"readability": (MARKDOWN, True), "json-prettify": (JSON, False), "prompt-defender": (defender(), True)}
+
+
+def enabled(disable: set[str] = frozenset(), raw: bool = False, enable: set[str] = frozenset(), readable: bool = False, threshold: float = 0.3, action: str = "redact", languages: list[str] | None = None) -> list[Stage]:
+    """Registered stages by default or by ``enable``, without those disabled; none for raw output. ``readable`` keeps the main content only."""
+    out = [] if raw else [stage for slug, (stage, default) in REGISTRY.items() if (default or slug in enable) and slug not in disable]
+    own = {"readability": READABILITY if readable else MARKDOWN, "prompt-defender": defender(threshold, action, languages)}
+    return [own.get(s.slug, own["readability"] if s is MARKDOWN else s) for s in out]
+
+
+def process(df: DataFrame, disable: set[str] = frozenset(), enable: set[str] = frozenset(), allow: list[str] | None = None, **options: object) -> DataFrame:
+    """Requests (url, headers, body, args) with their responses (response, content_type) through both chains.
+
+    Adds ``action`` and ``reason``; a blocked request has no response. ``secret-defender`` is off if disabled, and enabling it
+    overrides a finding, as on the command line.
+    """
+    if "secret-defender" in disable:
+        df = df.withColumn("action", F.lit("pass")).withColumn("reason", F.lit(None).cast("string"))
+    else:
+        df = secret_decisions(df, allow, override="secret-defender" in enable).drop("rule", "location")
+    passed = F.col("action") == "pass"
+    df = df.withColumnRenamed("body", "request_body").withColumn("body", F.when(passed, F.col("response"))).withColumn("content_type", F.when(passed, F.col("content_type"))).drop("response")
+    return response_chain(df, enabled(disable, enable=enable, **options)).withColumnsRenamed({"body": "response", "request_body": "body"})

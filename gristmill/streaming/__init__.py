@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.actions import detect
 
 
 def score_stream(docs: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``detect`` on a stream: native expressions only, no state."""
-    return detect(docs, threshold=threshold, nfkc=False)
+    """``detect`` on a stream: no state."""
+    return detect(docs, threshold=threshold)
 
 
 def window_counts(events: DataFrame, key: str = "user_id", ts: str = "ts", limit: int = 10, seconds: int = 60) -> DataFrame:
@@ -18,3 +22,27 @@ def window_counts(events: DataFrame, key: str = "user_id", ts: str = "ts", limit
     late = events.withWatermark(ts, f"{2 * seconds} seconds")
     counts = late.groupBy(F.window(ts, f"{seconds} seconds"), key).agg(F.count(F.lit(1)).alias("requests"))
     return counts.select(F.col("window.start").alias("window_start"), key, "requests", F.least("requests", F.lit(limit)).alias("allowed"))
+
+
+def rate_limited_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", event: str = "event_id", limit: int = 10, seconds: int = 60) -> DataFrame:
+    """(event, key, window_start, allowed, remaining, reset_at) of every event: the first ``limit`` of a key in each aligned window pass.
+
+    State is one count per key and window, dropped once the watermark is past the window; later rows are dropped.
+    """
+    start = (F.floor(F.unix_timestamp(ts) / seconds) * seconds).cast("long")
+    rows = events.withWatermark(ts, f"{2 * seconds} seconds").select(event, key, ts, start.alias("window_start"))
+
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = state.get[0] if state.exists else 0
+        own = pd.concat(list(frames)).sort_values([ts, event], kind="stable")
+        place = seen + pd.Series(range(1, len(own) + 1), index=own.index)
+        state.update((seen + len(own),))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (int(group[1]) + seconds) * 1000))
+        yield pd.DataFrame({event: own[event], key: own[key], "window_start": own["window_start"], "allowed": place <= limit, "remaining": (limit - place).clip(lower=0), "reset_at": own["window_start"] + seconds})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = f"`{event}` {kinds[event]}, `{key}` {kinds[key]}, window_start long, allowed boolean, remaining long, reset_at long"
+    return rows.groupBy(key, "window_start").applyInPandasWithState(step, schema, "seen long", "append", GroupStateTimeout.EventTimeTimeout)
