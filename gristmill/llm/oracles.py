@@ -7,6 +7,10 @@ from . import secret_scans as sc
 from . import url_filters as uf
 
 
+#: Levels that the url twin spells out; the operator itself has no such bound.
+SQL_DEPTH = 10
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -55,25 +59,29 @@ def url_filters() -> str:
     said = "CASE " + " ".join(f"WHEN {fits(r)} THEN {q(r.verdict)}" for r in ranked) + " END"
     general = "CASE WHEN regexp_matches(s, '^[0-9a-f-]{12,}$') AND regexp_matches(s, '[0-9]') THEN '<x>' ELSE regexp_replace(s, '[0-9]+', '<n>', 'g') END"
     steps = []
-    for k in range(uf.DEPTH + 1):
+    for k in range(SQL_DEPTH):
         deep, at = f"len(shape) > {k}", f"shape[{k + 1}]"
-        window = lambda by: f"sum(n) FILTER ({deep}) OVER (PARTITION BY {by})"  # noqa: B023, E731
-        steps.append(f"t{k + 1} AS (SELECT * EXCLUDE (template, support, total), CASE WHEN {deep} THEN template || '/' || CASE WHEN support >= {uf.MIN_SUPPORT} AND support >= {uf.MIN_SHARE} * total THEN {at} ELSE '{uf.WILD}' END ELSE template END AS template FROM (SELECT *, {window(f'host, template, {at}')} AS support, {window('host, template')} AS total FROM t{k}))")
+        window = lambda by, n="n": f"sum({n}) FILTER ({deep}) OVER (PARTITION BY {by})"  # noqa: B023, E731
+        steps.append(f"t{k + 1} AS (SELECT * EXCLUDE (template, support, total, labels), CASE WHEN {deep} THEN template || '/' || CASE WHEN support >= {uf.MIN_SUPPORT} AND (support >= {uf.MIN_SHARE} * total OR labels >= {uf.MIN_LABELLED}) THEN {at} ELSE '{uf.WILD}' END ELSE template END AS template FROM (SELECT *, {window(f'host, template, {at}')} AS support, {window('host, template')} AS total, {window(f'host, template, {at}', 'b + a')} AS labels FROM t{k}))")
     order = "PARTITION BY host, parent, labelled > 0 ORDER BY rate, template"
     lag = lambda c: f"lag({c}) OVER ({order})"
+    smooth = lambda b, n, towards: f"(({b}) + {uf.PRIOR_WEIGHT} * {towards}) / (({n}) + {uf.PRIOR_WEIGHT})"
     return f"""WITH u AS (SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
     h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{uf._UPPER}', '{uf._LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
     p AS (SELECT page_id, host, path, {rule} AS rule, {said} AS said, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM h),
-    r AS (SELECT *, list_concat(list_transform(parts[1:{uf.DEPTH}], lambda s: {general}), CASE WHEN len(parts) > {uf.DEPTH} THEN ['<deep>'] ELSE [] END) AS shape FROM p),
+    r AS (SELECT *, list_transform(parts, lambda s: {general}) AS shape FROM p),
     t0 AS (SELECT host, shape, count(*) AS n, count(*) FILTER (said = 'block') AS b, count(*) FILTER (said = 'allow') AS a, '' AS template FROM r GROUP BY host, shape), {", ".join(steps)},
-    g AS (SELECT *, regexp_replace(template, '/[^/]*$', '') AS parent, b + a AS labelled, CASE WHEN b + a > 0 THEN b / (b + a) END AS rate FROM (SELECT host, template, sum(b) AS b, sum(a) AS a FROM t{uf.DEPTH + 1} GROUP BY host, template)),
+    g AS (SELECT *, regexp_replace(template, '/[^/]*$', '') AS parent, b + a AS labelled, CASE WHEN b + a > 0 THEN b / (b + a) END AS rate FROM (SELECT host, template, sum(b) AS b, sum(a) AS a FROM t{SQL_DEPTH} GROUP BY host, template)),
     prior AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(b) / sum(labelled) ELSE 0.0 END AS p FROM g),
     z0 AS (SELECT *, {lag("b")} AS pb, {lag("labelled")} AS pl, {lag("rate")} AS pr FROM g),
     z1 AS (SELECT *, CASE WHEN labelled = 0 OR pl IS NULL OR rate - pr > {uf.Z} * sqrt((b + pb) / (labelled + pl) * (1 - (b + pb) / (labelled + pl)) * (1 / labelled + 1 / pl)) THEN 1 ELSE 0 END AS apart FROM z0),
     z2 AS (SELECT *, sum(apart) OVER ({order}) AS branch FROM z1),
-    z3 AS (SELECT host, template, sum(b) OVER w AS wb, sum(labelled) OVER w AS wl FROM z2 WINDOW w AS (PARTITION BY host, parent, labelled > 0, branch)),
-    z AS (SELECT host, template, (wb + {uf.PRIOR_WEIGHT} * p) / (wl + {uf.PRIOR_WEIGHT}) AS purity, wl >= {uf.MIN_LABELLED} AND (wb + {uf.PRIOR_WEIGHT} * p) / (wl + {uf.PRIOR_WEIGHT}) >= {uf.MIN_PURITY} AS rejected FROM z3, prior)
-    SELECT page_id, host, path, rule, coalesce(said, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6)::DOUBLE AS purity FROM r LEFT JOIN t{uf.DEPTH + 1} USING (host, shape) LEFT JOIN z USING (host, template)"""
+    z3 AS (SELECT host, template, parent, CASE WHEN regexp_matches(host, '[^.]+[.][^.]+$') THEN regexp_extract(host, '[^.]+[.][^.]+$') ELSE host END AS domain, b, labelled, sum(b) OVER w AS wb, sum(labelled) OVER w AS wl FROM z2 WINDOW w AS (PARTITION BY host, parent, labelled > 0, branch)),
+    z4 AS (SELECT *, {smooth("sum(b) OVER (PARTITION BY domain)", "sum(labelled) OVER (PARTITION BY domain)", "p")} AS pd, sum(labelled) OVER (PARTITION BY domain) AS nd FROM z3, prior),
+    z5 AS (SELECT *, {smooth("sum(b) OVER (PARTITION BY host)", "sum(labelled) OVER (PARTITION BY host)", "pd")} AS ph FROM z4),
+    z6 AS (SELECT *, {smooth("sum(b) OVER (PARTITION BY host, parent)", "sum(labelled) OVER (PARTITION BY host, parent)", "ph")} AS pp FROM z5),
+    z AS (SELECT host, template, {smooth("wb", "wl", "pp")} AS purity, nd >= {uf.MIN_LABELLED} AND {smooth("wb", "wl", "pp")} >= {uf.MIN_PURITY} AS rejected FROM z6)
+    SELECT page_id, host, path, rule, coalesce(said, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6)::DOUBLE AS purity FROM r LEFT JOIN t{SQL_DEPTH} USING (host, shape) LEFT JOIN z USING (host, template)"""
 
 
 ORACLE_SQL = {"op2_url_filters": url_filters(), "op7_quality_rules": quality_rules(), "op8_secret_scans": secret_scans()}

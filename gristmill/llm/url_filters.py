@@ -2,13 +2,16 @@
 
 Rules judge first (the longest that fits). Urls judged by a rule are the labels of the tree: per host, paths
 become templates level by level; a segment stays literal where its branch has enough support, else it becomes a
-wildcard; sibling branches whose block rates do not differ significantly are merged; a template is rejected if the
-smoothed block rate of its labels reaches a bound. Urls without a rule take the verdict of their template.
+wildcard; sibling branches whose block rates do not differ significantly are merged; a template is rejected if its purity,
+the smoothed block rate of its labels, reaches a bound. The purity of a branch is smoothed towards that of all branches of
+its parent, this towards the host's, the host's towards its domain's (the last two labels of the name) and the domain's towards
+that of all labels, so a branch with few labels or none follows the next level that has some. Urls without a rule take
+the verdict of their template.
 
 All of the tree is built from one row per (host, shape of the path), counted before anything is shuffled.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is judged like any other; a
-template without enough labels allows; repeated rows each get their row; an empty table gives an empty result; only
+template of a domain without enough labels allows; paths of any depth are followed as long as a node has enough urls; repeated rows each get their row; an empty table gives an empty result; only
 ``page_id`` and ``url`` are read. The path may hold any characters, line ends included.
 """
 
@@ -43,7 +46,6 @@ RULES = (
     Rule("org", "/es/", "block"),
 )
 WILD = "*"
-DEPTH = 4
 MIN_SUPPORT, MIN_SHARE = 20, 0.01
 Z = 1.96
 PRIOR_WEIGHT, MIN_LABELLED, MIN_PURITY = 10.0, 20, 0.9
@@ -72,55 +74,65 @@ def with_rule(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return pages.withColumn("rule", named).withColumn("rule_verdict", verdicts)
 
 
-def shape(path: Column, depth: int = DEPTH) -> Column:
-    """The path with runs of digits and long hexadecimal segments made variable; what lies deeper is one segment."""
+def shape(path: Column) -> Column:
+    """The path with runs of digits and long hexadecimal segments made variable."""
     parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
+    return F.transform(parts, lambda s: F.when(s.rlike("^(?=.*[0-9])[0-9a-f-]{12,}$"), F.lit("<x>")).otherwise(F.regexp_replace(s, "[0-9]+", "<n>")))
 
-    def general(s: Column) -> Column:
-        return F.when(s.rlike("^(?=.*[0-9])[0-9a-f-]{12,}$"), F.lit("<x>")).otherwise(F.regexp_replace(s, "[0-9]+", "<n>"))
 
-    upper = F.transform(F.slice(parts, 1, depth), general)
-    return F.concat(upper, F.when(F.size(parts) > depth, F.array(F.lit("<deep>"))).otherwise(F.array().cast("array<string>")))
+def templates(shapes: DataFrame) -> DataFrame:
+    """``shapes`` (host, shape, n, n_block, n_allow) with ``template``, the shape after statistical generalisation.
 
-
-def templates(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``shapes`` (host, shape, n, n_block, n_allow) with ``template``, the shape after statistical generalisation."""
-    tree = shapes.withColumn("template", F.lit(""))
-    for level in range(depth + 1):
-        segment = F.get("shape", F.lit(level))
-        deep = tree.filter(F.size("shape") > level).withColumn("segment", segment)
-        branches = deep.groupBy("host", "template", "segment").agg(F.sum("n").alias("support"))
-        nodes = branches.groupBy("host", "template").agg(F.sum("support").alias("total"))
-        literal = branches.join(nodes, ["host", "template"]).filter((F.col("support") >= MIN_SUPPORT) & (F.col("support") >= MIN_SHARE * F.col("total")))
-        literal = literal.select("host", "template", "segment", F.lit(True).alias("literal"))
-        placed = tree.withColumn("segment", segment).join(literal, ["host", "template", "segment"], "left")
+    A segment stays literal if its branch has enough urls and either a share of its node or labels of its own. A level
+    is added as long as a node has enough urls to keep a literal below it; where it has not, the rest is wildcards.
+    """
+    tree, done, level = shapes.withColumn("template", F.lit("")), [], 0
+    while True:
+        segment, left = F.get("shape", F.lit(level)), F.size("shape") - level
+        nodes = tree.groupBy("host", "template").agg(F.sum(F.when(left > 0, F.col("n")).otherwise(0)).alias("total"))
+        placed = stored(tree.join(nodes, ["host", "template"]).withColumn("segment", segment), f"level{level}")
+        ends = (left <= 0) | (F.col("total") < MIN_SUPPORT)
+        done.append(placed.filter(ends).withColumn("template", F.concat("template", F.repeat(F.lit(f"/{WILD}"), F.greatest(left, F.lit(0))))).select(*shapes.columns, "template"))
+        deep = placed.filter(~ends)
+        if deep.isEmpty():
+            break
+        branches = deep.groupBy("host", "template", "segment").agg(F.sum("n").alias("support"), F.sum(F.col("n_block") + F.col("n_allow")).alias("labels"), F.first("total").alias("all"))
+        kept = (F.col("support") >= MIN_SUPPORT) & ((F.col("support") >= MIN_SHARE * F.col("all")) | (F.col("labels") >= MIN_LABELLED))
+        literal = branches.filter(kept).select("host", "template", "segment", F.lit(True).alias("literal"))
         longer = F.concat("template", F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise(WILD))
-        tree = placed.withColumn("template", F.when(F.size("shape") > level, longer).otherwise(F.col("template"))).select(*shapes.columns, "template")
-        tree = stored(tree, f"level{level}")
-    return tree
+        tree = deep.join(literal, ["host", "template", "segment"], "left").withColumn("template", longer).select(*shapes.columns, "template")
+        level += 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def verdicts(tree: DataFrame) -> DataFrame:
-    """(host, template, purity, rejected) after merging similar siblings.
-
-    Siblings are the templates of a host with one parent; a node has at most 1 / MIN_SHARE literal children.
-    """
+    """(host, template, purity, rejected) after merging similar siblings; siblings are the templates of a host with one parent."""
     each = tree.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "n_block", "n_allow")])
-    each = each.withColumn("labelled", F.col("n_block") + F.col("n_allow")).withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
+    domain = F.regexp_extract("host", r"[^.]+\.[^.]+$", 0)
+    each = each.withColumn("domain", F.when(domain != "", domain).otherwise(F.col("host")))
+    each = stored(each.withColumn("labelled", F.col("n_block") + F.col("n_allow")).withColumn("parent", F.regexp_replace("template", "/[^/]*$", "")), "templates")
+    counts = lambda by, c: each.groupBy(*by).agg(F.sum("n_block").alias(f"b_{c}"), F.sum("labelled").alias(f"n_{c}"))
     seen = each.agg(F.sum("n_block").alias("b"), F.sum("labelled").alias("l")).first()  # one row
     prior = (seen["b"] or 0) / seen["l"] if seen["l"] else 0.0
-    each = each.withColumn("rate", F.when(F.col("labelled") > 0, F.col("n_block") / F.col("labelled")))
+    rated = each.withColumn("rate", F.when(F.col("labelled") > 0, F.col("n_block") / F.col("labelled")))
     order = Window.partitionBy("host", "parent", F.col("labelled") > 0).orderBy("rate", "template")
     before = lambda c: F.lag(c).over(order)
     pooled = (F.col("n_block") + before("n_block")) / (F.col("labelled") + before("labelled"))
     spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / before("labelled")))
     apart = (F.col("labelled") == 0) | before("labelled").isNull() | (F.col("rate") - before("rate") > Z * spread)
-    each = each.withColumn("apart", F.when(apart, 1).otherwise(0))
-    each = each.withColumn("branch", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rated = rated.withColumn("apart", F.when(apart, 1).otherwise(0))
+    rated = rated.withColumn("branch", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("host", "parent", F.col("labelled") > 0, "branch")
-    b, n = F.sum("n_block").over(whole), F.sum("labelled").over(whole)
-    each = each.withColumn("purity", (b + PRIOR_WEIGHT * prior) / (n + PRIOR_WEIGHT)).withColumn("rejected", (n >= MIN_LABELLED) & (F.col("purity") >= MIN_PURITY))
-    return each.select("host", "template", "purity", "rejected")
+    rated = rated.withColumn("b_own", F.sum("n_block").over(whole)).withColumn("n_own", F.sum("labelled").over(whole))
+    rated = rated.join(counts(["host", "parent"], "parent"), ["host", "parent"]).join(counts(["host"], "host"), ["host"]).join(counts(["domain"], "domain"), ["domain"])
+    purity = F.lit(prior)
+    for c in ("domain", "host", "parent", "own"):
+        rated = rated.withColumn(f"p_{c}", (F.col(f"b_{c}") + PRIOR_WEIGHT * purity) / (F.col(f"n_{c}") + PRIOR_WEIGHT))
+        purity = F.col(f"p_{c}")
+    return rated.select("host", "template", purity.alias("purity"), ((F.col("n_domain") >= MIN_LABELLED) & (purity >= MIN_PURITY)).alias("rejected"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -170,7 +170,7 @@ def test_url_filters(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, best and best.text)
         if best:
             assert got[i]["verdict"] == best.verdict
-    assert {got[i]["template"] for i in range(12, 72)} == {"/en/<n>"} and got[80]["verdict"] == "allow"
+    assert {got[i]["template"] for i in range(12, 72)} == {"/en/<n>"} and got[80]["verdict"] == "block"  # no rule: as the host, all of whose labels are blocked
     assert url_filters.judge(pages.filter("false")).count() == 0
 
 
@@ -180,7 +180,23 @@ def test_url_templates_reject_by_purity(spark):
     urls = [f"http://spam.com/buy/{c}{w}" for c in "abc" for w in VOCABULARY[:120]] + [f"http://ham.com/{w}/x" for w in VOCABULARY[:40]] + ["http://spam.com/about"] * 30
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
     got = url_filters.judge(pages, rules).filter("rule is null").groupBy("template", "verdict").count().collect()
-    assert {(r["template"], r["verdict"]): r["count"] for r in got} == {("/buy/*", "block"): 120, ("/about", "allow"): 30}
+    # a branch without labels follows its host, whose labels are all blocked
+    assert {(r["template"], r["verdict"]): r["count"] for r in got} == {("/buy/*", "block"): 120, ("/about", "block"): 30}
+
+
+def test_url_purity_backs_off(spark):
+    """One level after the other, by hand; deep branches keep their own labels."""
+    rules = (url_filters.Rule("a.bad.com", "/x", "block"), url_filters.Rule("ok.com", "/", "allow"), url_filters.Rule("mix.com", "/1/2/3/4/5/s", "block"), url_filters.Rule("mix.com", "/1/2/3/4/5/g", "allow"))
+    urls = [f"http://a.bad.com/x/{w}" for w in VOCABULARY[:100]] + [f"http://b.bad.com/{w}" for w in VOCABULARY[:5]] + [f"http://ok.com/{w}" for w in VOCABULARY[:80]]
+    urls += [f"http://mix.com/1/2/3/4/5/{c}/{w}" for c in ("sp", "gd") for w in VOCABULARY[:60]] + ["http://mix.com/other"] * 25 + ["http://new.org/x"] * 25 + ["http://a.bad.com/" + "d/" * 400]
+    got = defaultdict(set)
+    for r in url_filters.judge(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string"), rules).collect():
+        got[r["host"], r["template"].count("/"), r["rule"] is None].add((r["verdict"], round(r["purity"], 4)))
+    prior, smooth = 160 / 300, lambda b, n, p: (b + 10 * p) / (n + 10)
+    bad = smooth(100, 100, prior)
+    assert got["b.bad.com", 1, True] == {("block", round(smooth(0, 0, smooth(0, 0, smooth(0, 0, bad))), 4))} and bad >= 0.9
+    assert {v for v, _ in got["mix.com", 7, False]} == {"block", "allow"} and {v for v, _ in got["mix.com", 1, True]} == {"allow"}
+    assert got["new.org", 1, True] == {("allow", round(prior, 4))} and {v for v, _ in got["a.bad.com", 400, True]} == {"block"}
 
 
 def reference_ids(t):
