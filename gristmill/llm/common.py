@@ -20,7 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/gristmill-{os.getuid()}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all machines share")
+        base = f"{tempfile.gettempdir()}/gristmill-{os.getuid()}"
     return f"{base.rstrip('/')}/gristmill/{spark.sparkContext.applicationId}"
 
 

@@ -9,7 +9,8 @@ source's permuted sequence, disjoint from all others, and is shuffled locally.
 Defined results: sizes count words, a null text has none; sources are ordered by code point, the null source last;
 targets are shares of all sizes by weight, at most ``MAX_EPOCHS`` times the source's size, what is over goes to the
 others by weight; an empty source has target 0; repeated rows (same key and size) are taken together; an empty table
-gives an empty result; own columns carry the prefix ``m_``, all others pass. Only one row per source and per shard and
+gives an empty result; the columns of the input pass under any names, the shard is ``m_shard`` or, where that is taken, that
+with an underscore before it. Only one row per source and per shard and
 source reaches the driver; blocks per source are bounded by ``MAX_BLOCKS``.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, stored, table, text_or_empty
+from .common import WORD, stored, table, text_or_empty, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -128,11 +129,12 @@ def drawn(sizes: DataFrame, planned: tuple[DataFrame, DataFrame, DataFrame], key
 
 def mixture(docs: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
     """One row for each copy taken: the columns of ``docs`` and ``m_shard``, shuffled within each shard."""
-    sizes = sized(docs, key, source)
+    packed = docs.select(F.struct(*docs.columns).alias("m_doc"), key, source, "text")  # apart from the operator's own names
+    sizes = sized(packed, key, source)
     small = stored(sizes.select(key, "m_source", "m_size", "m_hash"), "sized")
-    rows = drawn(sizes, plan(small, key), key).select(*docs.columns, "m_hash", F.posexplode("m_shards").alias("m_copy", "m_shard"))
+    rows = drawn(sizes, plan(small, key), key).select("m_doc", "m_hash", F.posexplode("m_shards").alias("m_copy", "m_shard"))
     mixed = rows.withColumn("m_at", F.xxhash64(F.lit(SEED + 3), "m_hash", "m_copy")).repartition("m_shard").sortWithinPartitions("m_shard", "m_at")
-    return mixed.select(*docs.columns, "m_shard")
+    return mixed.select("m_doc.*", F.col("m_shard").alias(unused(docs, "m_shard")))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

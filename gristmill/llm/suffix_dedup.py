@@ -457,8 +457,9 @@ def marked(docs: DataFrame, key: str = "doc_id", queue_bytes: int = QUEUE_BYTES)
             bucket = _spread(value, n_buckets)
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
-            own = [value[by[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.record_batch([pa.array([block] * n_buckets, pa.int64()), pa.array(range(n_buckets), pa.int32()), pa.array(own, pa.binary())], ["block", "bucket", "value"])
+            some = np.flatnonzero(np.diff(edges))
+            own = [value[by[edges[i] : edges[i + 1]]].tobytes() for i in some.tolist()]
+            yield pa.record_batch([pa.array(np.full(len(some), block), pa.int64()), pa.array(some, pa.int32()), pa.array(own, pa.binary())], ["block", "bucket", "value"])
 
     def repeated(rows: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, np.uint64) for x in rows.column("value").to_pylist()]

@@ -146,7 +146,7 @@ def read(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = T
     first = spark.read.parquet(f"{path}/index").select("part", "seq", "first_id")
     placed = found.join(first, ["part", "seq"])
     each = placed.groupBy("part", "doc").agg(F.first("key").alias("key"), F.min(F.col("first_id") + F.col("at")).alias("start"), F.sum("n").alias("n_tokens"), F.max("crc").alias("crc"), F.sort_array(F.collect_list(F.struct("seq", "raw"))).alias("parts"))
-    whole = F.aggregate("parts", F.lit(b""), lambda s, p: F.concat(s, F.coalesce(p["raw"], F.lit(b""))))
+    whole = F.unhex(F.array_join(F.transform("parts", lambda p: F.coalesce(F.hex(p["raw"]), F.lit(""))), ""))  # joined once, however many blocks
     each = each.withColumn("raw", F.when(F.col("crc").isNull() | F.lit(with_ids), whole))
     out = each.select("key", "start", "n_tokens", F.coalesce("crc", F.crc32("raw")).alias("ids_crc32"), "raw")
 

@@ -463,3 +463,21 @@ def test_nearest_with_some_very_long_vectors(spark, most):
     got, want = found_nearest(spark, x, ids, every=30, k=5, block=128, most=most, recall=1.1 if most == 1 else 0.95), brute_nearest(x, ids, 30, 5)
     hits = sum(len(set(got[q]) & set(w)) for q, w in want.items())
     assert got == want if most == 1 else hits >= 0.9 * 5 * len(want)  # beyond the bound of orderings the search is exact
+
+
+def test_clashing_names_pass(spark, docs):
+    own = docs.withColumns({"q_words": F.lit(1), "q_kept": F.lit("x"), "m_size": F.lit(2), "m_shard": F.lit(3), "found_blob": F.lit("b"), "s_spans": F.lit(4)})
+    for out in (quality_rules.kept_documents(own), secret_scans.redacted(own), ngram_join.one_of_each(own)):
+        assert out.columns == own.columns and out.filter("q_words = 1 and q_kept = 'x' and m_size = 2 and m_shard = 3 and found_blob = 'b' and s_spans = 4").count() == out.count() > 0
+    mixed = mixing.mixture(own)
+    assert mixed.columns == [*own.columns, "_m_shard"] and mixed.filter("m_size = 2 and m_shard = 3").count() == mixed.count() > 0
+
+
+def test_no_machine_local_scratch_on_a_cluster():
+    from types import SimpleNamespace
+
+    from gristmill.llm import common
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://a:7077", applicationId="x"))
+    with pytest.raises(RuntimeError):
+        common.scratch_dir(unset, "y")
