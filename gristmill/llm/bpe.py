@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty, tokenizer_path
 
 BLOCK_WORDS = 1 << 21
+#: Words whose ids a Python worker keeps between blocks: at most twice as many and a block's words, each of bounded length.
+KEPT_WORDS, KEPT_LENGTH = 1 << 17, 32
 _WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
@@ -78,8 +81,9 @@ class Vocabulary:
     def java_words(self) -> str:
         """The pattern of one word, for Java. Special strings are words and end the text before them."""
         special = "|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True))
-        ahead, guard, first = (f"|(?={special})", f"(?!{special})", f"{special}|") if special else ("", "", "")
-        return rf"{first}'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:{guard}[^{_WHITE}\p{{L}}\p{{N}}])+|[{_WHITE}]+(?:(?![^{_WHITE}]){ahead})|[{_WHITE}]+"
+        ahead, guard, own = (f"|(?={special})", f"(?!{special})", f"{special}|") if special else ("", "", "")
+        # letters and digits first: neither apostrophes nor special strings begin like them; possessive, as nothing is given back
+        return rf" ?\p{{L}}++| ?\p{{N}}++|{own}'(?:[stmd]|re|ve|ll)| ?(?:{guard}[^{_WHITE}\p{{L}}\p{{N}}])++|[{_WHITE}]+(?:(?![^{_WHITE}]){ahead})|[{_WHITE}]+"
 
     def pieces(self) -> pa.Array:
         """Bytes by id."""
@@ -103,6 +107,8 @@ class Encoder:
         self.vocabulary, tokenizer = Vocabulary(path), Tokenizer.from_file(path)
         self.model, self.pre, self.map = tokenizer.model, tokenizer.pre_tokenizer, {b: c for b, c in self.vocabulary.letters.items()}
         self.specials = self.vocabulary.specials
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
 
     @classmethod
@@ -116,6 +122,20 @@ class Encoder:
             return [self.specials[word]]
         return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.map))]
 
+    def all_words(self, words: list[str], counts: list[int]) -> list[bytes]:
+        """The ids of each as 32-bit integers. Words met twice or more stay known for the worker's next blocks."""
+        if len(self.known) > KEPT_WORDS:
+            self.older, self.known = self.known, {}  # words met since move over, the others are forgotten next time
+        known, older, word, out = self.known, self.older, self.word, []
+        for w, n in zip(words, counts, strict=True):
+            ids = known.get(w)
+            if ids is None:
+                ids = older.get(w) or array("i", word(w)).tobytes()
+                if n > 1 and len(w) <= KEPT_LENGTH:
+                    known[w] = ids
+            out.append(ids)
+        return out
+
     def split(self, text: str) -> list[str]:
         out = []
         for part in self.cut.split(text) if self.cut else [text]:
@@ -253,10 +273,11 @@ def encode(docs: DataFrame, key: str = "doc_id", path: str | None = None, block_
     return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(by_position, f"`{key}` {kind}, ids array<int>")
 
 
-def encode_in_place(docs: DataFrame, key: str = "doc_id", path: str | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+def encode_in_place(docs: DataFrame, key: str = "doc_id", path: str | None = None, block_words: int = BLOCK_WORDS // 2) -> DataFrame:
     """As ``encode``, without a shuffle: each block keeps a table of its own distinct words and encodes each once.
 
-    Rows keep their partition and their order. Words that many blocks share are encoded once for each.
+    Rows keep their partition and their order. Words that many blocks share are encoded once for each worker, or once
+    more where it has forgotten them.
     """
     spark, path = docs.sparkSession, path or tokenizer_path()
     small_batches(spark)
@@ -264,8 +285,9 @@ def encode_in_place(docs: DataFrame, key: str = "doc_id", path: str | None = Non
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, b in _blocks(batches, path, 1, block_words):
             encoder = Encoder.of(path)
-            words = pa.array([encoder.word(w) for w in b.words.to_pylist()], pa.list_(pa.int32()))
-            lengths = np.diff(words.offsets.to_numpy())
+            own = encoder.all_words(b.words.to_pylist(), np.bincount(b.codes, minlength=len(b.words)).tolist())
+            lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
+            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(own), np.int32)))
             tokens = np.concatenate([[0], np.cumsum(lengths[b.codes], dtype=np.int64)])
             ends = tokens[np.concatenate([[0], np.cumsum(b.sizes, dtype=np.int64)])]
             keys, first = b.keys.combine_chunks(), 0
@@ -274,6 +296,7 @@ def encode_in_place(docs: DataFrame, key: str = "doc_id", path: str | None = Non
                 ids = words.take(pa.array(b.codes[slice(*np.searchsorted(tokens, ends[[first, stop]]))])).flatten() if ends[first] < ends[stop] else pa.array([], pa.int32())
                 yield pa.record_batch([keys[first:stop], pa.ListArray.from_arrays(pa.array((ends[first : stop + 1] - ends[first]).astype(np.int32)), ids)], [key, "ids"])
                 first = stop
+            del b, own, words, tokens  # before the next block is gathered
 
     return _split(docs, key, Vocabulary(path)).mapInArrow(encoded, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
 

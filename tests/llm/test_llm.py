@@ -242,6 +242,15 @@ def test_token_planes(spark, docs, none, tmp_path, unit):
     assert (token_planes.from_planes(3, *token_planes.to_planes(wide, unit)) == wide).all()
 
 
+def test_known_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 50)
+    encoder = bpe.Encoder(tokenizer_path())
+    for k in range(20):
+        block = [f" word{i}" for i in range(10 * k, 10 * k + 30)] + [" the", "x" * 100, "<|endoftext|>", " ", "é"]
+        assert [np.frombuffer(x, np.int32).tolist() for x in encoder.all_words(block, [1 + (k + i) % 3 for i in range(len(block))])] == [encoder.word(w) for w in block]
+        assert len(encoder.known) + len(encoder.older) <= 2 * (50 + len(block)) and "x" * 100 not in encoder.known
+
+
 def test_sorted_suffixes():
     texts = [RNG.integers(97, 97 + a, n).astype(np.uint8).tobytes() for a, n in ((1, 300), (2, 400), (26, 2000))] + [b"a" * 250 + b"xyz" * 80 + b"\xff" + b"a" * 400 + b"b\xff"]
     for t in texts:
