@@ -7,10 +7,8 @@ together with how far each suffix agrees with its next smaller one. Words are co
 that any comparison has reached; before it, results are taken over from the stretch that matched. Neither suffix
 arrays or trees nor hashes of stretches are used, and the words compared grow with the length of the text alone.
 
-Spark deals the documents; in a task Arrow splits words and numpy first cuts away words that no run can hold: a run of
-at least 12 words has two equal windows of six words over each of its words, so only stretches of windows that occur twice
-in their document go on. Windows are named by sorting numbers of words. The cut only drops what lies outside
-every run; runs are found by the Lyndon arrays of what is left, whatever its share of the text.
+Spark deals the documents; in a task Arrow splits and numbers the words. A word that its document holds only once is in no run
+and ends the stretch before it; every stretch of at least 12 words goes through both Lyndon arrays.
 
 Defined results: null and empty texts have no words and no runs, both digests are those of the empty text; a null id
 changes no words; repeated rows each get their row; ties of the longest run go to the smallest start, then the smallest
@@ -34,7 +32,6 @@ from .bpe import small_batches
 from .common import split_words, table
 
 LEAST = 12
-WINDOW = 6
 
 
 def next_smaller(s: list[int]) -> tuple[list[int], list[int]]:
@@ -108,37 +105,12 @@ def runs(s: list[int], least: int = LEAST) -> list[tuple[int, int, int]]:
     return sorted({*_runs_of_order(s, least), *_runs_of_order([-x for x in s], least)})
 
 
-def _again(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Small numbers for equal names, and whether a name occurs again."""
-    _, number, n = np.unique(names, return_inverse=True, return_counts=True)
-    return number.astype(np.int64), n[number] > 1
-
-
 def _stretches(code: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Stretches of a document that can hold runs: each word in a window of six that occurs twice in the document."""
+    """Stretches of ``least`` words or more of one document between words that it holds only once, which are in no run."""
     if len(code) < least:
         return []
-    base = int(code.max()) + 1
-    own, _ = _again(doc * base + code)  # words of one document
-    at = np.flatnonzero(doc[:-1] == doc[1:])
-    pair, again = _again(own[at] * len(own) + own[at + 1])
-    at, pair = at[again], pair[again]
-    name = np.full(len(code) + WINDOW, -1, np.int64)
-    name[at] = pair
-    longer, again = at, None
-    for step in (2, 4):  # windows of four, then of six words
-        size = int(max(name.max(), 0)) + 1
-        fits = (name[longer] >= 0) & (name[longer + 2] >= 0) if step == 2 else (four[longer] >= 0) & (name[longer + 4] >= 0)
-        longer = longer[fits]
-        first = name[longer] if step == 2 else four[longer]
-        number, again = _again(first * size + name[longer + step])
-        longer, number = longer[again], number[again]
-        four = np.full(len(name), -1, np.int64)
-        four[longer] = number
-    mark = np.zeros(len(code) + 1, np.int64)
-    np.add.at(mark, longer, 1)
-    np.add.at(mark, longer + WINDOW, -1)
-    held = np.concatenate([[False], np.cumsum(mark)[:-1] > 0, [False]])
+    _, number, n = np.unique(doc * (int(code.max()) + 1) + code, return_inverse=True, return_counts=True)
+    held = np.concatenate([[False], n[number] > 1, [False]])
     edge = np.flatnonzero(held[1:] != held[:-1])
     cuts = np.flatnonzero(np.diff(doc)) + 1
     cuts = cuts[held[cuts] & held[cuts + 1]]  # stretches of neighbouring documents may touch

@@ -131,7 +131,7 @@ def test_general_interface_and_long_text(spark):
     assert got[2]["runs"] == [] and got[2]["collapsed"] == ""
 
 
-def test_windows_cut_no_run():
+def test_single_words_cut_no_run():
     words = pa.array(["a b " * 20, "a b " * 20, " ".join(f"u{i}" for i in range(50)) + " z" * 12])
     found, collapsed = R.batch_runs(words, [None] * 3)
     assert found == [[(0, 40, 2)], [(0, 40, 2)], [(50, 12, 1)]] and collapsed.to_pylist()[0] == "a b"
