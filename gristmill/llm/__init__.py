@@ -19,7 +19,8 @@ from .spelling import op12_spelling
 from .suffix_dedup import op5_suffix_dedup
 from .token_planes import op4_token_planes
 from .url_filters import op2_url_filters
+from .vector_dedup import op11_vector_dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_url_filters, op3_quality_classifier, op4_token_planes, op5_suffix_dedup, op6_mixing, op7_quality_rules, op8_secret_scans, op9_nearest, op10_ngram_join, op12_spelling, op13_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_url_filters, op3_quality_classifier, op4_token_planes, op5_suffix_dedup, op6_mixing, op7_quality_rules, op8_secret_scans, op9_nearest, op10_ngram_join, op11_vector_dedup, op12_spelling, op13_runs)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
