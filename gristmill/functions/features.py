@@ -32,11 +32,16 @@ def once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def latin_i(norm: Column) -> Column:
+    """Letters that match i and s as these."""
+    return F.when(norm.rlike(f"[{_FOLDED[0]}]"), F.translate(norm, *_FOLDED)).otherwise(norm)
+
+
 def rule_hits(norm: Column, chosen: list[Rule] | None = None) -> Column:
     """(category, n) of each rule that matches in a normalised text; only rules whose anchors occur are run."""
     table = table_of(rules(["en"]) if chosen is None else chosen, "regex", on_normalized)
     count = lambda t: F.transform(may_match(t, table), lambda r: F.struct(r["category"].alias("category"), F.regexp_count(t, r["expr"]).alias("n")))
-    folded = once(norm, lambda t: F.when(t.rlike(f"[{_FOLDED[0]}]"), F.translate(t, *_FOLDED)).otherwise(t))
+    folded = once(norm, latin_i)
     return F.filter(once(folded, count), lambda r: r["n"] > 0)
 
 

@@ -1,4 +1,4 @@
-"""From HTML to text and markdown."""
+"""From HTML to text; markdown and the main content need a page's tree (``operators.pages``)."""
 
 from __future__ import annotations
 
@@ -59,7 +59,7 @@ def decoded(df: DataFrame, column: str) -> DataFrame:
 
 
 def to_text(df: DataFrame, column: str = "html", into: str = "text") -> DataFrame:
-    """``sanitized`` with the whole table of entities, as a step over rows."""
+    """Blank to empty; HTML to text with all entities decoded; other text with its white space in order. A step over rows."""
     c = F.col(column)
     blank = ~F.coalesce(c, F.lit("")).rlike(r"[^ \t-\r]")
     is_html = ~blank & looks_like_html(c)
@@ -71,12 +71,6 @@ def to_text(df: DataFrame, column: str = "html", into: str = "text") -> DataFram
     return df.withColumn(into, collapse_lines(F.col(into))).drop("_is_html", "_stripped")
 
 
-def to_markdown(df: DataFrame, column: str = "html", into: str = "markdown", readable: bool = False) -> DataFrame:
-    """``markdown``, or ``article`` of the main content, with the whole table of entities."""
-    c = F.col(column)
-    return decoded(df.withColumn(into, article(c) if readable else markdown(c)), into)
-
-
 def collapse_lines(c: Column) -> Column:
     """Line ends as LF, runs of blanks as one, no blanks at a line's ends, two line ends at most."""
     c = F.regexp_replace(c, r"\r\n?", "\n")
@@ -86,46 +80,6 @@ def collapse_lines(c: Column) -> Column:
     return F.regexp_replace(c, r"^[ \n]+|[ \n]+$", "")
 
 
-def strip_html(c: Column) -> Column:
-    return collapse_lines(decode_common_entities(strip_tags(blocks_to_lines(drop_scripts(c)))))
-
-
-def sanitized(c: Column) -> Column:
-    """Blank to empty; HTML to text; other text with its white space in order."""
-    blank = ~F.coalesce(c, F.lit("")).rlike(r"[^ \t-\r]")
-    return F.when(blank, F.lit("")).when(looks_like_html(c), strip_html(c)).otherwise(collapse_lines(c))
-
-
-def title(c: Column) -> Column:
-    return F.trim(F.regexp_replace(decode_common_entities(F.regexp_extract(c, "(?is)<title[^>]*>(.*?)</title>", 1)), r"\s+", " "))
-
-
-def markdown(c: Column) -> Column:
-    """Headings, links, images, emphasis, lists and paragraphs as markdown; links within the page keep only their text."""
-    c = F.regexp_replace(drop_scripts(c), r"(?s)<!--.*?-->", "")
-    c = F.regexp_replace(c, "(?is)<head[^>]*>.*?</head>", "")
-    c = F.regexp_replace(c, r"\s+", " ")
-    for n in range(1, 7):
-        c = F.regexp_replace(c, f"(?i)<h{n}( [^>]*)?>(.*?)</h{n}>", "\n\n" + "#" * n + " $2\n\n")
-    c = F.regexp_replace(c, r"""(?i)<img [^>]*?alt=["']([^"'>]*)["'][^>]*?src=["']([^"'>]*)["'][^>]*>""", "![$1]($2)")
-    c = F.regexp_replace(c, r"""(?i)<img [^>]*?src=["']([^"'>]*)["'][^>]*?alt=["']([^"'>]*)["'][^>]*>""", "![$2]($1)")
-    c = F.regexp_replace(c, r"""(?i)<img [^>]*?src=["']([^"'>]*)["'][^>]*>""", "![]($1)")
-    c = F.regexp_replace(c, r"""(?i)<a [^>]*?href=["']#[^"'>]*["'][^>]*>(.*?)</a>""", "$1")
-    c = F.regexp_replace(c, r"""(?i)<a [^>]*?href=["']([^"'>]*)["'][^>]*>(.*?)</a>""", "[$2]($1)")
-    c = F.regexp_replace(c, "(?i)<(b|strong)( [^>]*)?>(.*?)</(b|strong)>", "**$3**")
-    c = F.regexp_replace(c, "(?i)<(i|em)( [^>]*)?>(.*?)</(i|em)>", "_$3_")
-    c = F.regexp_replace(c, "(?i)<li[^>]*>", "\n  * ")
-    c = F.regexp_replace(c, "(?i)<br[^>]*>", "  \n")
-    c = F.regexp_replace(c, "(?i)</?(p|div|ul|ol|article|section|header|footer|nav|table|tr|blockquote|pre)( [^>]*)?>", "\n\n")
-    c = decode_common_entities(strip_tags(c))
-    c = F.regexp_replace(c, "(?m)[ \t]+$", "")
-    c = F.regexp_replace(F.regexp_replace(c, "(?m)^ (?! )", ""), "\n{3,}", "\n\n")
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
-def article(c: Column) -> Column:
-    """The main content as markdown under its title; the whole page where no element is marked as main."""
-    main = F.regexp_extract(c, r"(?is)<(article|main)\b[^>]*>(.*?)</\1>", 2)
-    body = F.when(main != "", markdown(main)).otherwise(markdown(c))
-    heading = title(c)
-    return F.when((heading == "") | body.startswith("# "), body).otherwise(F.concat(F.lit("# "), heading, F.lit("\n\n"), body))
+def raw_title(c: Column) -> Column:
+    """The title element's text as it stands, empty without one."""
+    return F.regexp_extract(F.coalesce(c, F.lit("")), "(?is)<title[^>]*>(.*?)</title>", 1)

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import Rule, java, may_match, rules, table_of
+from .features import latin_i, once
+from .rules import Rule, java, may_match, on_normalized, rules, table_of
 
 SPANS = "array<struct<start:int,end:int>>"
 MARK = "\u2588"
@@ -49,6 +50,15 @@ def rule_spans(text: Column, chosen: list[Rule] | None = None) -> Column:
     return F.sort_array(F.array_distinct(F.flatten(F.transform(some, lambda r: _spans(text, r["expr"])))))
 
 
+def norm_spans(norm: Column, chosen: list[Rule] | None = None) -> Column:
+    """As ``rule_spans`` in a normalised text, with the cheaper expressions that suffice there."""
+    chosen = rules(["en"]) if chosen is None else chosen
+    exprs = table_of(chosen, "regex", on_normalized)
+    motifs = table_of(chosen, "motif", lambda r: "\\Q" + r.expr.lower() + "\\E", lambda r: (r.expr.lower(),))
+    found = once(latin_i(norm), lambda t: F.flatten(F.transform(may_match(t, F.concat(exprs, motifs)), lambda r: _spans(t, r["expr"]))))
+    return F.sort_array(F.array_distinct(found))
+
+
 def merge(spans: Column) -> Column:
     """Overlapping and touching spans together; ``spans`` is sorted. They are evaluated once."""
 

@@ -25,9 +25,16 @@ def strip_invisible(c: Column) -> Column:
 
 
 def fold_confusables(c: Column) -> Column:
-    """Only in words that mix Latin with Cyrillic or Greek letters; words of one script stay as they are."""
+    """Only in words that mix Latin with Cyrillic or Greek letters; words of one script stay as they are. Words are set off by any white space."""
     mixed = lambda w: w.rlike(r"[\p{IsCyrillic}\p{IsGreek}]") & w.rlike("[A-Za-z]")
-    return F.array_join(F.transform(F.split(c, " "), lambda w: F.when(mixed(w), F.translate(w, CONFUSABLE, LATIN)).otherwise(w)), " ")
+    folded = lambda w: F.when(mixed(w), F.translate(w, CONFUSABLE, LATIN)).otherwise(w)
+
+    def finer(piece: Column) -> Column:
+        blanks = F.regexp_extract_all(piece, F.lit(f"[{SPACE}]"), F.lit(0))
+        return F.array_join(F.zip_with(F.split(piece, f"[{SPACE}]", -1), blanks, lambda w, s: F.concat(folded(w), F.coalesce(s, F.lit("")))), "")
+
+    # nearly all white space is blanks: only pieces between them that mix scripts are looked at closely
+    return F.array_join(F.transform(F.split(c, " "), lambda w: F.when(mixed(w), finer(w)).otherwise(w)), " ")
 
 
 def collapse_space(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import features as feats
 from ..functions import spans as sp
 from ..functions import text as tx
+from ..functions.positions import original_spans
 from ..functions.rules import CATEGORIES, Rule
 from ..functions.rules import rules as rules_of
 
@@ -42,29 +43,53 @@ def detect(df: DataFrame, text: str = "text", threshold: float = feats.THRESHOLD
     return df.withColumn("suspicious", suspicious).withColumn("flagged", suspicious & (F.col("score") >= threshold)).withColumn("signals", feats.signals(named))
 
 
-def acted(df: DataFrame, text: str = "text", action: str = "redact", threshold: float = feats.THRESHOLD, rules: list[Rule] | None = None) -> DataFrame:
-    """Adds ``output`` and ``content_type`` to the rows of ``detect``. An unknown action warns.
+def masked_spans(df: DataFrame, text: str, rules: list[Rule] | None = None, fuzzy: str | None = None) -> DataFrame:
+    """Adds ``merged``: what to mask in the flagged rows of ``detect``, null for other rows.
 
-    What is redacted are the matches of expressions and motifs in the text as it stands.
+    That is every match of expressions and motifs in the text as it stands, and every stretch of it that a match
+    in its normalised form stands for, so that what was flagged in disguise is masked too. ``fuzzy`` names the key column:
+    motifs that occur misspelt count as well.
+    """
+    from .motifs import find_fuzzy
+
+    flagged = F.col("flagged")
+    # generated rows: what follows names the spans more than once, and they are found once
+    found = F.struct(F.when(flagged, sp.norm_spans(F.col("norm_text"), rules)).alias("_norm_spans"), F.when(flagged, sp.rule_spans(F.col(text), rules)).alias("_raw_spans"))
+    df = df.select("*", F.inline(F.array(found)))
+    if fuzzy:
+        place = F.struct(F.greatest("position", F.lit(0)).alias("start"), (F.col("position") + F.col("length")).alias("end"))
+        found = find_fuzzy(df.filter(flagged), fuzzy, "norm_text", chosen=rules).groupBy(fuzzy).agg(F.collect_set(place).alias("_fuzzy_spans"))
+        within = F.transform(F.coalesce("_fuzzy_spans", F.array().cast(sp.SPANS)), lambda s: F.struct(s["start"].alias("start"), F.least(s["end"], F.length("norm_text")).alias("end")))
+        df = df.join(found, fuzzy, "left").withColumn("_norm_spans", F.concat("_norm_spans", within)).drop("_fuzzy_spans")
+    df = df.withColumn("_mapped", original_spans(F.col(text), F.col("_norm_spans")))
+    both = F.concat("_raw_spans", F.coalesce("_mapped", F.array().cast(sp.SPANS)))
+    return df.withColumn("merged", F.when(flagged, sp.merge(F.sort_array(F.array_distinct(both))))).drop("_norm_spans", "_raw_spans", "_mapped")
+
+
+def acted(df: DataFrame, text: str = "text", action: str = "redact", threshold: float = feats.THRESHOLD, rules: list[Rule] | None = None, fuzzy: str | None = None) -> DataFrame:
+    """Adds ``output`` and ``content_type`` to the rows of ``detect``. An unknown action warns; a null text counts as empty.
+
+    What is redacted, and told by ``metadata``, are the spans of ``masked_spans``.
     """
     action = action if action in ACTIONS else "warn"
-    body = F.col(text)
+    body = F.coalesce(F.col(text), F.lit(""))
     plain = sp.wrapped(body)
+    if action in ("redact", "metadata"):
+        df = masked_spans(df, text, rules, fuzzy)
     if action == "silent":
         out, kind = plain, F.lit(None).cast("string")
     elif action == "metadata":
-        out = F.when(F.col("flagged"), metadata(body, threshold, rules)).otherwise(plain)
+        out = F.when(F.col("flagged"), metadata(body, threshold)).otherwise(plain)
         kind = F.when(F.col("flagged"), F.lit("application/json"))
     else:
-        if action == "redact":
-            df = df.withColumn("merged", F.when(F.col("flagged"), sp.merge(sp.rule_spans(body, rules))))
         shown = {"redact": lambda: sp.redact(body, F.col("merged")), "datamark": lambda: sp.datamark(body), "warn": lambda: body}[action]()
         out = F.when(F.col("flagged"), sp.wrapped(sp.tagged(shown, F.col("score"), F.col("signals")))).otherwise(plain)
         kind = F.lit(None).cast("string")
     return df.withColumn("output", out).withColumn("content_type", kind)
 
 
-def metadata(text: Column, threshold: float, rules: list[Rule] | None = None) -> Column:
+def metadata(text: Column, threshold: float) -> Column:
+    """The text and what was found in it as JSON, from the columns of ``detect`` and ``masked_spans``."""
     features = F.struct(*[F.round(F.col(c), 4).alias(c) for c in CATEGORIES])
-    analysis = F.struct(F.round("score", 4).alias("score"), F.lit(threshold).alias("threshold"), F.col("flagged").alias("flagged"), features.alias("pattern_features"), feats.matches(F.col("norm_text")).alias("matched_patterns"), sp.merge(sp.rule_spans(text, rules)).alias("matched_spans"), F.lit("pattern-only").alias("mode"))
+    analysis = F.struct(F.round("score", 4).alias("score"), F.lit(threshold).alias("threshold"), F.col("flagged").alias("flagged"), features.alias("pattern_features"), feats.matches(F.col("norm_text")).alias("matched_patterns"), F.col("merged").alias("matched_spans"), F.lit("pattern-only").alias("mode"))
     return F.to_json(F.struct(text.alias("content"), analysis.alias("injection_analysis")), {"pretty": "true"})

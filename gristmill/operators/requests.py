@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import secrets as sec
-from ..functions.html import article, markdown
-from . import actions
+from . import actions, pages
 
 
 def secret_decisions(requests: DataFrame, allow: list[str] | None = None, override: bool = False, secrets: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -76,30 +75,39 @@ def response_chain(df: DataFrame, stages: list[Stage]) -> DataFrame:
 
 
 def request_chain(df: DataFrame, stages: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Stages see the rows not yet blocked (``blocked_by`` null) and may set ``action`` to ``block`` with a ``reason``."""
+    """Stages may set ``action`` to ``block`` with a ``why``, or change columns. What they do to rows blocked before them is undone:
+    such rows keep the values they had when they were blocked."""
     df = df.withColumn("blocked_by", F.lit(None).cast("string")).withColumn("reason", F.lit(None).cast("string"))
     for stage in stages:
-        name = stage.__name__
-        new = stage(df.withColumn("action", F.lit("pass")).withColumn("why", F.lit(None).cast("string")))
-        stop = F.col("blocked_by").isNull() & (F.col("action") == "block")
-        df = new.withColumn("reason", F.when(stop, F.col("why")).otherwise(F.col("reason"))).withColumn("blocked_by", F.when(stop, F.lit(name)).otherwise(F.col("blocked_by"))).drop("action", "why")
+        name, columns = stage.__name__, [c for c in df.columns if c not in ("blocked_by", "reason")]
+        held = df.withColumn("_before", F.when(F.col("blocked_by").isNotNull(), F.struct(*columns)))
+        new = stage(held.withColumn("action", F.lit("pass")).withColumn("why", F.lit(None).cast("string")))
+        done = F.col("_before").isNotNull()
+        new = new.withColumns({c: F.when(done, F.col("_before")[c]).otherwise(F.col(c)) for c in columns})
+        stop = ~done & (F.col("action") == "block")
+        df = new.withColumn("reason", F.when(stop, F.col("why")).otherwise(F.col("reason"))).withColumn("blocked_by", F.when(stop, F.lit(name)).otherwise(F.col("blocked_by"))).drop("action", "why", "_before")
     return df.withColumn("action", F.when(F.col("blocked_by").isNotNull(), "block").otherwise("pass"))
 
 
-@F.pandas_udf(T.StringType())
-def _pretty(bodies: pd.Series) -> pd.Series:
-    def one(text: str) -> str:
-        try:
-            return json.dumps(json.loads(text), indent=2, ensure_ascii=False)
-        except ValueError:
-            return text
+def _indented(text: str, indent: int) -> str:
+    try:
+        return json.dumps(json.loads(text), indent=indent, ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return text
 
-    return bodies.map(one, na_action="ignore")
 
+def pretty_json(body: Column, indent: int = 2) -> Column:
+    """Indented, letters as they are, keys in their order; what is no JSON, or is nested too deep to read, stays. Spark's own writer would sort the keys."""
 
-def pretty_json(body: Column) -> Column:
-    """Indented by two, letters as they are, keys in their order; what is no JSON stays. Spark's own writer would sort the keys."""
-    return _pretty(body)
+    @F.pandas_udf(T.StringType())
+    def pretty(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda t: _indented(t, indent), na_action="ignore")
+
+    return pretty(body)
+
+
+def json_stage(indent: int = 2) -> Stage:
+    return Stage("json-prettify", is_json, lambda b: (pretty_json(b, indent), None))
 
 
 def defender(threshold: float = 0.3, action: str = "redact", languages: list[str] | None = None) -> Stage:
@@ -112,9 +120,19 @@ def defender(threshold: float = 0.3, action: str = "redact", languages: list[str
     return Stage("prompt-defender", is_text, rows=rows)
 
 
-MARKDOWN = Stage("markdown", is_html, lambda b: (F.when(markdown(b) != "", markdown(b)).otherwise(b), F.lit("text/markdown")))
-READABILITY = Stage("readability", is_html, lambda b: (F.when(article(b) != "", article(b)).otherwise(b), F.lit("text/markdown")))
-JSON = Stage("json-prettify", is_json, lambda b: (pretty_json(b), None))
+def markdown_stage(readable: bool = False) -> Stage:
+    """HTML as markdown, or its main content; a page that says nothing stays as it is."""
+
+    def rows(df: DataFrame) -> DataFrame:
+        out = pages.to_markdown(df, "input", "output", readable)
+        some = F.col("output") != ""
+        return out.withColumn("new_type", F.when(some, F.lit("text/markdown"))).withColumn("output", F.when(some, F.col("output")))
+
+    return Stage("readability" if readable else "markdown", is_html, rows=rows)
+
+
+MARKDOWN, READABILITY = markdown_stage(), markdown_stage(readable=True)
+JSON = json_stage()
 #: Response stages in order, and whether they run unless they are disabled; the others run if they are enabled.
 REGISTRY = {"readability": (MARKDOWN, True), "json-prettify": (JSON, False), "prompt-defender": (defender(), True)}
 

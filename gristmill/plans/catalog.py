@@ -97,19 +97,23 @@ def digest(c: Callable[[], Column]) -> Callable[[], Column]:
 # ---- text ------------------------------------------------------------------------------------------------------
 
 T, N = (lambda: F.col("t")), (lambda: F.col("n"))
-OBFUSCATED = "(SELECT doc_id, 'i​gn‮ore ' || t || ' ' || CASE WHEN doc_id % 2 = 0 THEN 'bасk dоr' ELSE 'дом а' END AS t FROM " + DOCS + ")"
+OBFUSCATED = "(SELECT doc_id, 'i​gn‮ore ' || t || ' ' || CASE WHEN doc_id % 2 = 0 THEN 'bасk dоr' ELSE 'дом' || chr(10) || 'а house' END AS t FROM " + DOCS + ")"
 
 
 def obfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tail = F.when(F.col("doc_id") % 2 == 0, "bасk dоr").otherwise("дом а")
+    tail = F.when(F.col("doc_id") % 2 == 0, "bасk dоr").otherwise("дом\nа house")
     return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("i​gn‮ore "), "t", F.lit(" "), tail).alias("t"))
 
 
-_FOLD = f"array_to_string(list_transform(string_split({{}}, ' '), lambda w: CASE WHEN regexp_matches(w, '[A-Za-z]') AND regexp_matches(w, '[\\p{{{{Cyrillic}}}}\\p{{{{Greek}}}}]') THEN translate(w, {q(tx.CONFUSABLE)}, {q(tx.LATIN)}) ELSE w END), ' ')"
+_ONE = "[" + tx.SPACE + "]"
 
 
 def sql_fold(e: str) -> str:
-    return _FOLD.format(e).replace("{{", "{").replace("}}", "}")
+    """Words between any white space, which stays."""
+    letters = "regexp_matches(w, '[A-Za-z]') AND regexp_matches(w, '[\\p{Cyrillic}\\p{Greek}]')"
+    words, blanks = f"regexp_split_to_array({e}, {q(_ONE)})", f"regexp_extract_all({e}, {q(_ONE)})"
+    folded = f"list_transform({words}, lambda w: CASE WHEN {letters} THEN translate(w, {q(tx.CONFUSABLE)}, {q(tx.LATIN)}) ELSE w END)"
+    return f"array_to_string(list_transform(list_zip({folded}, {blanks}), lambda x: x[1] || coalesce(x[2], '')), '')"
 
 
 @query("n1_nfkc")
@@ -153,16 +157,34 @@ simple("h1_html_sniff", pages, "page_id", {"is_html": lambda: ht.looks_like_html
 simple("h2_drop_scripts", pages, "page_id", {"digest": digest(lambda: ht.drop_scripts(HTML()))}, "pages", {"digest": sha(S2)})
 simple("h3_block_lines", pages, "page_id", {"digest": digest(lambda: ht.blocks_to_lines(HTML()))}, "pages", {"digest": sha(S3.format("coalesce(html, '')"))})
 simple("h4_strip_tags", pages, "page_id", {"digest": digest(lambda: ht.strip_tags(HTML()))}, "pages", {"digest": sha(S4.format("coalesce(html, '')"))})
-simple("h5_entities", pages, "page_id", {"digest": digest(lambda: ht.decode_common_entities(HTML()))}, "pages", {"digest": sha(_entities("coalesce(html, '')"))})
+#: A few entities beyond the common ones, some of them coded twice.
+RARE = "<p>caf&eacute; &#105;gnore &hellip; &amp;eacute; &#x41;&amp;lt;</p>"
+RARE_PAGES = f"(SELECT page_id, url, coalesce(html, '') || {q(RARE)} AS html FROM pages)"
+
+
+def rare_pages(spark: SparkSession, d: str) -> DataFrame:
+    return pages(spark, d).select("page_id", "url", F.concat(HTML(), F.lit(RARE)).alias("html"))
+
+
+def _all_entities(e: str) -> str:
+    for name, text in {"&eacute;": "é", "&#105;": "i", "&hellip;": "…", "&#x41;": "A"}.items():
+        e = f"replace({e}, {q(name)}, {q(text)})"
+    return _entities(e)
+
+
+@query("h5_entities", f"SELECT page_id, sha256({_all_entities('html')}) AS digest FROM {RARE_PAGES}")
+def h5(spark: SparkSession, d: str) -> DataFrame:
+    return ht.decoded(rare_pages(spark, d), "html").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
+
+
 simple("h6_line_space", documents, "doc_id", {"digest": digest(lambda: ht.collapse_lines(F.col("t")))}, DOCS, {"digest": sha(_lines("t"))})
-CLEAN = _lines(_entities(S4.format(S3.format(S2))))
-simple("h7_sanitize", pages, "page_id", {"digest": digest(lambda: ht.sanitized(F.col("html"))), "length": lambda: F.length(ht.sanitized(F.col("html")))}, "pages", {"digest": sha(CLEAN), "length": f"length({CLEAN})::INT"})
-simple("h8_markdown", pages, "page_id", {"headings": lambda: F.regexp_count(ht.markdown(HTML()), F.lit("(?m)^#+ ")), "has_script": lambda: ht.markdown(HTML()).contains("<script")}, "pages", {"headings": "len(regexp_extract_all(coalesce(html, ''), '(?i)<h[1-6][ >]'))::INT", "has_script": "false"})
+CLEAN = _lines(_all_entities(S4.format(S3.format(S2))))
 
 
-@query("h9_article")
-def h9(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d).select("page_id", ht.title(HTML()).alias("title"), ht.article(HTML()).alias("article"))
+@query("h7_sanitize", f"SELECT page_id, sha256({CLEAN}) AS digest, length({CLEAN})::INT AS length FROM {RARE_PAGES}")
+def h7(spark: SparkSession, d: str) -> DataFrame:
+    rows = ht.to_text(rare_pages(spark, d), "html", "clean")
+    return rows.select("page_id", F.sha2(F.col("clean").cast("binary"), 256).alias("digest"), F.length("clean").alias("length"))
 
 
 KINDS = ["text/html; charset=utf-8", "TEXT/HTML", "application/json", "text/plain", "text/markdown", "image/png"]
@@ -389,7 +411,10 @@ def a25(spark: SparkSession, d: str) -> DataFrame:
     return detected(spark, d).agg(F.round(F.corr("instruction_override", "role_injection"), 6).alias("override_role"), F.round(F.corr("prompt_leak", "motif_density"), 6).alias("leak_motif"))
 
 
-simple("a26_size_reduction", pages, "page_id", {"reduction": lambda: F.round(1 - F.octet_length(ht.sanitized(F.col("html"))) / F.octet_length("html"), 6)}, "pages", {"reduction": f"round(1 - strlen({CLEAN}) / strlen(html), 6)"})
+@query("a26_size_reduction", f"SELECT page_id, round(1 - strlen({CLEAN}) / strlen(html), 6) AS reduction FROM {RARE_PAGES}")
+def a26(spark: SparkSession, d: str) -> DataFrame:
+    rows = ht.to_text(rare_pages(spark, d), "html", "clean")
+    return rows.select("page_id", F.round(1 - F.octet_length("clean") / F.octet_length("html"), 6).alias("reduction"))
 
 
 def training(spark: SparkSession, d: str) -> DataFrame:

@@ -21,7 +21,7 @@ def responses(df: DataFrame, raw: str = "raw") -> DataFrame:
     """(…, status, headers, body, final_url, content_type) of header blocks, body, and the trailing status and url lines."""
     lines = F.split(F.col(raw), "\n", -1)
     n = F.size(lines)
-    df = df.withColumn("_status", F.try_element_at(lines, n - 1).cast("int")).withColumn("final_url", F.try_element_at(lines, n)).withColumn("_head", F.array_join(F.slice(lines, 1, F.greatest(n - 2, F.lit(0))), "\n"))
+    df = df.withColumn("_status", F.get(lines, n - 2).try_cast("int")).withColumn("final_url", F.get(lines, n - 1)).withColumn("_head", F.array_join(F.slice(lines, 1, F.greatest(n - 2, F.lit(0))), "\n"))
     # blocks follow each other as long as one starts with a status line: redirects; the last counts
     blocks = F.regexp_extract("_head", r"(?s)^((?:HTTP/[\d.]+ \d+.*?\r?\n\r?\n)+)", 1)
     df = df.withColumn("_blocks", blocks).withColumn("body", F.substring(F.col("_head"), F.length("_blocks") + 1, F.length("_head")))

@@ -130,14 +130,8 @@ def test_sanitize_equals_plain(spark):
         t = html_table.unescape(re.sub("<[^>]+>", "", t)).replace("\r\n", "\n").replace("\r", "\n")
         return re.sub("\n{3,}", "\n\n", "\n".join(" ".join(x.split()) for x in t.split("\n"))).strip()
 
-    assert one(spark, ht.sanitized(F.col("t")), t=page) == plain(page)
-    assert one(spark, ht.sanitized(F.col("t")), t="  \n ") == "" and one(spark, ht.sanitized(F.col("t")), t=" a  <b \r\n c ") == "a <b\nc"
-
-
-def test_markdown(spark):
-    page = '<html><head><title>The  Title</title></head><body><nav>menu</nav><article><h2>Sub</h2><p>See <a href="/x">this</a> and <b>bold</b>, <a href="#y">here</a>.<ul><li>one</li></ul><img src="a.png" alt="pic"></article></body>'
-    md = one(spark, ht.article(F.col("t")), t=page)
-    assert md.startswith("# The Title\n\n## Sub") and "[this](/x)" in md and "**bold**" in md and "* one" in md and "![pic](a.png)" in md and "menu" not in md and "(#y)" not in md
+    df = spark.createDataFrame(list(enumerate([page, "  \n ", " a  <b \r\n c "])), "i int, html string")
+    assert [r["text"] for r in ht.to_text(df).orderBy("i").collect()] == [plain(page), "", "a <b\nc"]
 
 
 def test_responses(spark):
