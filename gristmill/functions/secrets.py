@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names and formats, in their order.
@@ -51,6 +51,19 @@ def allowed(url: Column, domains: list[str]) -> Column:
     return out
 
 
+def with_allowed(df: DataFrame, domains: DataFrame, url: str = "url", into: str = "allowed") -> DataFrame:
+    """Adds ``into``: whether the host of ``url`` is one of ``domains`` (domain) or below one, whatever their number.
+
+    Each distinct host is cut at its dots and its endings meet the domains in an equi-join; rows meet their host's verdict.
+    """
+    df = df.withColumn("_host", netloc(F.col(url)))
+    parts = F.split("host", "[.]", -1)
+    endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    hosts = df.filter("_host is not null").select(F.col("_host").alias("host")).distinct().select("host", F.explode(endings).alias("ending"))
+    good = hosts.join(domains.select(F.lower("domain").alias("ending")).distinct(), "ending", "left_semi").select(F.col("host").alias("_good")).distinct()
+    return df.join(good, F.col("_host") == F.col("_good"), "left").withColumn(into, F.col("_good").isNotNull()).drop("_host", "_good")
+
+
 def query_values(url: Column) -> Column:
     """Decoded values of the query, without blank ones."""
     query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))

@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .windows import word_chunks
 
@@ -85,9 +86,10 @@ def load(spark: SparkSession, path: str):  # noqa: ANN201
     return RandomForestClassificationModel.load(f"{path}/forest"), names
 
 
-def out_of_fold(df: DataFrame, key: str = "doc_id", n: int = 5, **options: int) -> DataFrame:
-    """``df`` with ``fold`` and ``p``, each row scored by the forest that was fitted on all other folds. ``df`` is read 2 n times: keep it ready."""
-    rows = df.withColumn("fold", folds(F.col(key), n))
+def out_of_fold(df: DataFrame, key: str = "doc_id", n: int = 5, label: str = "label", **options: int) -> DataFrame:
+    """``df`` with ``fold`` and ``p``, each row scored by the forest that was fitted on all other folds, which hold as much of either class.
+    ``df`` is read 2 n times: keep it ready."""
+    rows = stratified_folds(df, label, key, n)
     parts = [infer(train(rows.filter(F.col("fold") != k), **options), rows.filter(F.col("fold") == k)) for k in range(n)]
     out = parts[0]
     for part in parts[1:]:
@@ -95,14 +97,53 @@ def out_of_fold(df: DataFrame, key: str = "doc_id", n: int = 5, **options: int)
     return out
 
 
-def folds(key: Column, n: int = 5) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+def stratified_folds(df: DataFrame, label: str = "label", key: str = "doc_id", n: int = 5, buckets: int = 1024) -> DataFrame:
+    """Adds ``fold``: of each class every n-th row in the order of a hash of its key, so that class sizes of folds differ by one at most.
 
+    Rows are ranked inside buckets of the hash; a bucket's offset is the sum of the counts before it, of which there are ``buckets``
+    a class. No window holds a class.
+    """
+    rows = df.withColumn("_hash", F.xxhash64(key)).withColumn("_bucket", F.shiftrightunsigned(F.col("_hash"), 40) % buckets)
+    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_hash", key)))
+    before = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(F.col(label).alias("_label"), F.col("_bucket").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    same = F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_at"))
+    fold = ((F.col("_offset") + F.col("_rank") - 1) % n).cast("int")
+    return rows.join(F.broadcast(sizes), same).withColumn("fold", fold).drop("_hash", "_bucket", "_rank", "_label", "_at", "_offset")  # a row per class and bucket
 
-def metrics(df: DataFrame, truth: Column, said: Column, by: list[str] | None = None) -> DataFrame:
-    """Confusion counts and precision, recall, f1, fpr, fnr; null where undefined."""
-    hit = lambda t, s: F.sum(F.when(t & s, 1).otherwise(0))
-    out = df.groupBy(*(by or [])).agg(hit(truth, said).alias("tp"), hit(~truth, said).alias("fp"), hit(truth, ~said).alias("fn"), hit(~truth, ~said).alias("tn"))
+
+def _rates(out: DataFrame) -> DataFrame:
+    """Precision, recall, f1, fpr, fnr of counted outcomes; null where undefined."""
     ratio = lambda a, b: F.round(F.when(b > 0, a / b), 6)
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return out.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "fpr": ratio(fp, fp + tn), "fnr": ratio(fn, fn + tp)})
+
+
+def metrics(df: DataFrame, truth: Column, said: Column, by: list[str] | None = None) -> DataFrame:
+    """Confusion counts and rates of a verdict."""
+    hit = lambda t, s: F.sum(F.when(t & s, 1).otherwise(0))
+    return _rates(df.groupBy(*(by or [])).agg(hit(truth, said).alias("tp"), hit(~truth, said).alias("fp"), hit(truth, ~said).alias("fn"), hit(~truth, ~said).alias("tn")))
+
+
+def threshold_sweep(df: DataFrame, truth: Column, score: Column, thresholds: list[float]) -> DataFrame:
+    """(threshold, counts, rates) for each threshold, from one histogram: rows are counted once by how many thresholds they reach."""
+    marks = F.array(*[F.lit(float(t)) for t in sorted(set(thresholds))])
+    reached = F.when(score.isNotNull(), F.size(F.filter(marks, lambda t: score >= t))).otherwise(0)
+    count = lambda t: F.sum(F.when(t, 1).otherwise(0))
+    bars = df.groupBy(reached.alias("reached")).agg(count(truth).alias("p"), count(~truth).alias("n"))  # a row per threshold and one
+    each = bars.select("*", F.posexplode(marks).alias("at", "threshold")).withColumn("said", F.col("at") < F.col("reached"))
+    part = lambda c, s: F.sum(F.when(s, F.col(c)).otherwise(0))
+    said = F.col("said")
+    return _rates(each.groupBy("threshold").agg(part("p", said).alias("tp"), part("n", said).alias("fp"), part("p", ~said).alias("fn"), part("n", ~said).alias("tn")))
+
+
+def score_curve(df: DataFrame, truth: Column, score: Column, places: int = 3) -> DataFrame:
+    """(threshold, counts, rates) at every score that occurs, to ``places``: one histogram and its sums from the top.
+
+    Scores are from 0 to 1, so the histogram has 10 to the ``places`` rows and one at most, which one task adds up.
+    """
+    count = lambda t: F.sum(F.when(t, 1).otherwise(0))
+    bars = df.filter(score.isNotNull()).groupBy(F.round(score, places).alias("threshold")).agg(count(truth).alias("p"), count(~truth).alias("n"))
+    above, whole = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    sums = bars.select("threshold", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"), F.sum("p").over(whole).alias("all_p"), F.sum("n").over(whole).alias("all_n"))
+    return _rates(sums.select("threshold", "tp", "fp", (F.col("all_p") - F.col("tp")).alias("fn"), (F.col("all_n") - F.col("fp")).alias("tn")))

@@ -16,8 +16,11 @@ from ..functions import secrets as sec
 from . import actions, pages
 
 
-def secret_decisions(requests: DataFrame, allow: list[str] | None = None, override: bool = False, secrets: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Adds ``rule``, ``location``, ``action`` and ``reason``; requests (url, headers, body, args). Blocked rows stay, with their reason."""
+def secret_decisions(requests: DataFrame, allow: list[str] | DataFrame | None = None, override: bool = False, secrets: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Adds ``rule``, ``location``, ``action`` and ``reason``; requests (url, headers, body, args). Blocked rows stay, with their reason.
+
+    ``allow`` is a short list of domains, or a table (domain) of any size.
+    """
     headers = F.transform(F.map_entries(F.map_filter("headers", lambda k, _: F.lower(k) != "authorization")), lambda e: e["value"])
     places = {
         "URL": F.coalesce(sec.first_secret(F.col("url"), secrets), sec.first_of(sec.query_values(F.col("url")), secrets)),
@@ -26,8 +29,10 @@ def secret_decisions(requests: DataFrame, allow: list[str] | None = None, overri
         "arguments": sec.first_of(F.col("args"), secrets),
     }
     found = F.coalesce(*[F.when(r.isNotNull(), F.struct(r.alias("rule"), F.lit(p).alias("location"))) for p, r in places.items()])
-    skip = F.lit(override) | sec.allowed(F.col("url"), allow or [])
-    df = requests.withColumn("found", F.when(~skip, found)).withColumn("rule", F.col("found.rule")).withColumn("location", F.col("found.location")).drop("found")
+    if isinstance(allow, DataFrame):
+        requests = sec.with_allowed(requests, allow, into="_allowed")
+    skip = F.lit(override) | (F.col("_allowed") if isinstance(allow, DataFrame) else sec.allowed(F.col("url"), allow or []))
+    df = requests.withColumn("found", F.when(~skip, found)).withColumn("rule", F.col("found.rule")).withColumn("location", F.col("found.location")).drop("found", "_allowed")
     blocked = F.col("rule").isNotNull()
     return df.withColumn("action", F.when(blocked, "block").otherwise("pass")).withColumn("reason", F.when(blocked, F.concat(F.lit("secret in "), F.col("location"), F.lit(": "), F.col("rule"))))
 
@@ -144,7 +149,7 @@ def enabled(disable: set[str] = frozenset(), raw: bool = False, enable: set[str]
     return [own.get(s.slug, own["readability"] if s is MARKDOWN else s) for s in out]
 
 
-def process(df: DataFrame, disable: set[str] = frozenset(), enable: set[str] = frozenset(), allow: list[str] | None = None, **options: object) -> DataFrame:
+def process(df: DataFrame, disable: set[str] = frozenset(), enable: set[str] = frozenset(), allow: list[str] | DataFrame | None = None, **options: object) -> DataFrame:
     """Requests (url, headers, body, args) with their responses (response, content_type) through both chains.
 
     Adds ``action`` and ``reason``; a blocked request has no response. ``secret-defender`` is off if disabled, and enabling it

@@ -73,10 +73,22 @@ def batches(spots: Column, size: int = BATCH_SIZE, gap: int = BATCH_GAP) -> Colu
     return F.when(F.size(spots) > 0, F.aggregate(F.slice(spots, 2, F.greatest(F.size(spots), F.lit(1))), F.slice(spots, 1, 1), step)).otherwise(spots)
 
 
+def contained(outer: DataFrame, inner: DataFrame, key: str = "doc_id", cell: int = COARSE) -> DataFrame:
+    """Pairs of ``outer`` and ``inner`` (key, start, end, ...) where the inner span lies within the outer one of the same key.
+
+    A range join over cells of ``cell`` characters: an inner span meets in the cell of its start those outer spans that reach into
+    it, so each pair meets once and spans of a long text far apart never do. Columns of ``inner`` get the prefix ``in_``.
+    """
+    inner = inner.select(F.col(key), *[F.col(c).alias(f"in_{c}") for c in inner.columns if c != key]).withColumn("_cell", F.floor(F.col("in_start") / cell))
+    cells = F.sequence(F.floor(F.col("start") / cell), F.floor(F.greatest("start", F.col("end")) / cell))
+    met = outer.withColumn("_cell", F.explode(cells)).join(inner, [key, "_cell"])
+    return met.filter((F.col("in_start") >= F.col("start")) & (F.col("in_end") <= F.col("end"))).drop("_cell")
+
+
 def regions(df: DataFrame, spots: DataFrame, merged: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.0) -> DataFrame:
     """(key, start, end, peak, region): merged ranges (key, start, end) whose best contained hotspot reaches ``least``."""
-    inside = merged.join(spots.select(key, F.col("start").alias("s"), F.col("end").alias("e"), "peak_score"), key)
-    best = inside.filter((F.col("s") >= F.col("start")) & (F.col("e") <= F.col("end"))).groupBy(key, "start", "end").agg(F.max("peak_score").alias("peak"))
+    inside = contained(merged.select(key, "start", "end"), spots.select(key, "start", "end", "peak_score"), key)
+    best = inside.groupBy(key, "start", "end").agg(F.max("in_peak_score").alias("peak"))
     return best.filter(F.col("peak") >= least).join(df.select(key, text), key).select(key, "start", "end", "peak", F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")).alias("region"))
 
 
