@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .anchors import may_match_ids
 from .rules import CATEGORIES, ENGLISH, SHORT, WEIGHTS, Rule, java, may_match, on_normalized, rules, table_of, total_matches
 
 WEIGHT_SUM = 15.5
@@ -37,14 +38,28 @@ def latin_i(norm: Column) -> Column:
     return F.when(norm.rlike(f"[{_FOLDED[0]}]"), F.translate(norm, *_FOLDED)).otherwise(norm)
 
 
-def rule_hits(norm: Column, chosen: list[Rule] | None = None) -> Column:
-    """(category, n) of each rule that matches in a normalised text; only rules whose anchors occur are run."""
+def rule_hits(norm: Column, chosen: list[Rule] | None = None, ids: Column | None = None) -> Column:
+    """(category, n) of each rule that matches in a normalised text; only rules whose anchors occur are run.
+
+    ``ids`` are the numbers of these rules where one pass has found them (``anchor_ids``); else each anchor is looked for.
+    """
     table = table_of(rules(["en"]) if chosen is None else chosen, "regex", on_normalized)
-    count = lambda t: F.transform(may_match(t, table), lambda r: F.struct(r["category"].alias("category"), F.regexp_count(t, r["expr"]).alias("n")))
+    run = (lambda t: may_match(t, table)) if ids is None else (lambda _: F.transform(ids, lambda i: F.get(table, i)))
+    count = lambda t: F.transform(run(t), lambda r: F.struct(r["category"].alias("category"), F.regexp_count(t, r["expr"]).alias("n")))
     folded = once(norm, latin_i)
     return F.filter(once(folded, count), lambda r: r["n"] > 0)
 
 
+#: Anchors from which on one pass over a text in Python costs less than looking for each of them.
+MANY_ANCHORS = 128
+
+
+def anchor_ids(norm: Column, chosen: list[Rule]) -> Column | None:
+    """Numbers of the expressions that can match, from one pass for all anchors; None for few anchors."""
+    anchors = [r.anchors for r in chosen if r.kind == "regex"]
+    return may_match_ids(latin_i(norm), anchors) if sum(map(len, anchors)) > MANY_ANCHORS else None
+
+
 def motif_hits(norm: Column, chosen: list[Rule] | None = None) -> Column:
     """(category, n) of each motif that occurs: its places in the text, each once."""
     table = table_of(rules(["en"]) if chosen is None else chosen, "motif", lambda r: r.expr.lower())
@@ -54,7 +69,7 @@ def motif_hits(norm: Column, chosen: list[Rule] | None = None) -> Column:
 
 def total_of(hits: Column, category: str | None = None) -> Column:
     own = hits if category is None else F.filter(hits, lambda r: r["category"] == category)
-    return F.aggregate(own, F.lit(0), lambda s, r: s + r["n"])
+    return F.coalesce(F.aggregate(own, F.lit(0), lambda s, r: s + r["n"]), F.lit(0))  # a null text has no hits
 
 
 def densities_of(hits: Column, length: Column) -> dict[str, Column]:

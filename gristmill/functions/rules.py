@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .anchors import required
+
 # The English expressions, by category, in their order.
 ENGLISH = {
     "instruction_override": [
@@ -179,7 +181,7 @@ def rules(languages: list[str] | None = None) -> list[Rule]:
         if lang in wanted:
             for kind, tables in (("regex", ENGLISH if lang == "en" else _other(lang)), ("motif", _motifs(lang))):
                 for category, exprs in tables.items():
-                    gates = ANCHORS[category] if (lang, kind) == ("en", "regex") else [()] * len(exprs)
+                    gates = ANCHORS[category] if (lang, kind) == ("en", "regex") else [required(e) if kind == "regex" else () for e in exprs]
                     out += [Rule(len(out) + i, lang, category, kind, e, tuple(g)) for i, (e, g) in enumerate(zip(exprs, gates, strict=True))]
     return out
 
@@ -193,7 +195,7 @@ def from_files(spark: SparkSession, loaded: DataFrame, languages: list[str] | No
     good = set(valid(spark, sorted({r["expr"] for r in rows if r["kind"] == "regex"})))
     given = {r["lang"] for r in rows}
     out = [r for r in rules(languages) if r.lang not in given]
-    out += [Rule(0, r["lang"], r["category"], r["kind"], r["expr"]) for r in rows if r["kind"] == "motif" or r["expr"] in good]
+    out += [Rule(0, r["lang"], r["category"], r["kind"], r["expr"], required(r["expr"]) if r["kind"] == "regex" else ()) for r in rows if r["kind"] == "motif" or r["expr"] in good]
     return [Rule(i, r.lang, r.category, r.kind, r.expr, r.anchors) for i, r in enumerate(out)]
 
 

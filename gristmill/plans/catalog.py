@@ -855,12 +855,6 @@ def e2(spark: SparkSession, d: str) -> DataFrame:
     return models.chunk_embedding(documents(spark, d).select("doc_id", "t"), text="t")
 
 
-@query("e4_feature_concat", "SELECT vec_id, len(embedding)::INT + 21 AS width FROM embeddings")
-def e4(spark: SparkSession, d: str) -> DataFrame:
-    zeros = F.array_repeat(F.lit(0.0), 21)
-    return vectors(spark, d).select("vec_id", F.size(F.concat(zeros, F.col("embedding").cast("array<double>"))).alias("width"))
-
-
 @query("e8_corpus_features", "SELECT doc_id, lang, " + ", ".join(f"round(d_{c}, 6) AS {c}" for c in rl.CATEGORIES) + f", round(md, 6) AS motif_density, round({_FINAL}, 6) AS score FROM {SCORED}")
 def e8(spark: SparkSession, d: str) -> DataFrame:
     return detected(spark, d).select("doc_id", "lang", *[F.round(c, 6).alias(c) for c in [*rl.CATEGORIES, "motif_density", "score"]])

@@ -77,6 +77,6 @@ def api_status(text: Column, url_valid: Column | None = None) -> Column:
     return F.when(F.octet_length(text) > MAX_BYTES, 413).when(bad, 400).otherwise(200)
 
 
-def api_reply(markdown: Column, score: Column, flagged: Column, signals: Column, threshold: float, action: str) -> Column:
-    injection = F.struct(F.round(score, 4).alias("score"), flagged.alias("flagged"), F.lit(threshold).alias("threshold"), F.lit(action).alias("action_taken"), signals.alias("signals"))
-    return F.to_json(F.struct(markdown.alias("markdown"), F.lit(None).cast("string").alias("error"), injection.alias("injection")), {"ignoreNullFields": "false"})
+def api_reply(markdown: Column, error: Column, injection: Column) -> Column:
+    """The reply as JSON; what does not apply is null."""
+    return F.to_json(F.struct(markdown.alias("markdown"), error.alias("error"), injection.alias("injection")), {"ignoreNullFields": "false"})

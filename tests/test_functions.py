@@ -318,16 +318,3 @@ def test_whole_chain(spark):
     assert got[3]["response"] == '{\n  "a": 1\n}' and got[4]["response"] == "<untrusted>\nfine text\n</untrusted>"
     assert run(disable={"prompt-defender", "readability", "secret-defender"})[2]["response"] == html and run(raw=True)[3]["response"] == '{"a":1}'
     assert run(enable={"secret-defender"})[2]["action"] == "pass"
-
-
-def test_rate_limit_of_a_stream(spark, tmp_path):
-    from gristmill.streaming import rate_limited_stream
-
-    rows = [(i, "a" if i < 13 else "b", f"2024-01-01 00:00:{i:02d}") for i in range(15)] + [(20, "a", "2024-01-01 00:01:00")]
-    events = spark.createDataFrame(rows, "event_id long, user_id string, t string").select("event_id", "user_id", F.to_timestamp("t").alias("ts"))
-    events.repartition(2).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = rate_limited_stream(stream).writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r["event_id"]: (r["allowed"], r["remaining"]) for r in spark.table("limited").collect()}
-    assert len(got) == 16 and sum(got[i][0] for i in range(13)) == 10 and got[20] == (True, 9) and got[13][0]
