@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import may_match_ids
@@ -94,9 +94,11 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def vector(text: Column) -> Column:
-    """The twelve features in their order."""
-    return F.array(*densities(text).values(), *statistics(text).values())
+def with_vector(df: DataFrame, norm: str = "norm_text", into: str = "features") -> DataFrame:
+    """Adds the twelve features of a normalised text, in their order; its rules are run once."""
+    df = df.select("*", F.inline(F.array(F.struct(rule_hits(F.col(norm)).alias("_hits")))))
+    own = densities_of(F.col("_hits"), F.length(norm))
+    return df.withColumn(into, F.array(*own.values(), *statistics(F.col(norm)).values())).drop("_hits")
 
 
 def base_score(features: dict[str, Column]) -> Column:
@@ -124,12 +126,10 @@ def signal_list(features: dict[str, Column]) -> Column:
     return F.filter(each, lambda x: x.isNotNull())
 
 
-def any_match(text: Column, exprs: list[str]) -> Column:
-    return text.rlike("(?iU)" + "|".join(f"(?:{e})" for e in exprs))
-
-
-def matches(text: Column) -> Column:
-    """Category to the matched strings, without empty categories."""
-    found = {c: F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(java(e)), F.lit(0)) for e in exprs])) for c, exprs in ENGLISH.items()}
-    pairs = F.create_map(*[x for c, m in found.items() for x in (F.lit(c), m)])
-    return F.map_filter(pairs, lambda _, v: F.size(v) > 0)
+def matches(norm: Column, chosen: list[Rule] | None = None) -> Column:
+    """Category to the matched strings of a normalised text, without empty categories; only rules whose anchors occur are run."""
+    table = table_of(rules(["en"]) if chosen is None else chosen, "regex", on_normalized)
+    found = lambda t: F.transform(may_match(t, table), lambda r: F.struct(r["category"].alias("category"), F.regexp_extract_all(t, r["expr"], F.lit(0)).alias("found")))
+    of = lambda all_, c: F.struct(F.lit(c).alias("key"), F.flatten(F.transform(F.filter(all_, lambda x: x["category"] == c), lambda x: x["found"])).alias("value"))
+    pairs = once(once(norm, lambda t: found(latin_i(t))), lambda all_: F.filter(F.array(*[of(all_, c) for c in CATEGORIES]), lambda p: F.size(p["value"]) > 0))
+    return F.map_from_entries(pairs)

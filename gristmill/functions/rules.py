@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .anchors import required
 
@@ -244,6 +244,26 @@ def valid(spark: SparkSession, exprs: list[str]) -> list[str]:
     return out
 
 
+def valid_rows(df: DataFrame, expr: str = "expr") -> DataFrame:
+    """The rows whose expression compiles, tried in tasks, however many there are."""
+
+    def good(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[[_compiles(e) for e in frame[expr]]]
+
+    return df.mapInPandas(good, df.schema)
+
+
+def _compiles(expr: str | None) -> bool:
+    if expr is None:
+        return False
+    try:
+        re.compile(expr)
+    except re.error:
+        return False
+    return True
+
+
 def java(expr: str) -> str:
     """Unicode-aware and without regard to case."""
     return f"(?iU){expr}"
@@ -255,7 +275,3 @@ def total_matches(text: Column, exprs: list[str]) -> Column:
     for e in exprs:
         out = out + F.regexp_count(text, F.lit(java(e)))
     return out
-
-
-def ranked(df: DataFrame, by: str, order: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order)))

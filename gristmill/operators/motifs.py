@@ -24,7 +24,8 @@ def windows(df: DataFrame, text: str = "text", size: int = SIZE, step: int = STE
 
 
 def find_exact(df: DataFrame, key: str = "doc_id", text: str = "text", chosen: list[Rule] | None = None) -> DataFrame:
-    """(key, motif, category, position, length, score) once per place: motifs that come first in some window of the text.
+    """(key, motif, category, position, window_start, text_length, length, score) once per place: motifs that come first in some window of
+    the text, and the first such window.
 
     Motifs are located in the whole text and windows follow by arithmetic: a motif is no longer than what two windows
     share, so it lies whole in the last window that starts at or before it, and perhaps in the one before.
@@ -37,13 +38,27 @@ def find_exact(df: DataFrame, key: str = "doc_id", text: str = "text", chosen: l
         starts = F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), F.array().cast("array<int>"), lambda out, g: F.concat(out, F.array(F.coalesce(F.get(out, F.size(out) - 1) + size, F.lit(0)) + g)))
         pairs = once(starts, lambda all_: F.transform(all_, lambda p, i: F.struct(p.alias("p"), F.coalesce(F.get(all_, i - 1), F.lit(-1)).alias("q"))))
         kept = F.filter(pairs, lambda x: _first_in_a_window(x["p"], x["q"], size, F.length(t)))
-        return F.transform(kept, lambda x: F.struct(m["expr"].alias("motif"), m["category"].alias("category"), x["p"].alias("position")))
+        return F.transform(kept, lambda x: F.struct(m["expr"].alias("motif"), m["category"].alias("category"), x["p"].alias("position"), _first_window(x["p"], x["q"], size).alias("window_start")))
 
     found = once(F.lower(F.col(text)), lambda t: F.flatten(F.transform(F.filter(table, lambda m: F.contains(t, m["expr"])), lambda m: places(t, m))))
-    rows = df.select(key, F.inline(found))
+    rows = df.select(key, F.length(F.col(text)).alias("text_length"), F.inline(found))
     return rows.withColumn("length", F.length("motif")).withColumn("score", F.lit(100.0))
 
 
+def _first_window(place: Column, previous: Column, size: Column) -> Column:
+    before = place - place % STEP - STEP
+    return F.when((before >= 0) & (place + size <= before + SIZE) & (previous < before), before).otherwise(before + STEP)
+
+
+def windows_with(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, motif, category, window_start) of every window that holds a motif whole, from the places of ``find_exact``: by arithmetic,
+    no window is made."""
+    last = F.col("position") - F.col("position") % STEP
+    own = F.array(last - STEP, last)
+    holds = lambda s: (s >= 0) & (F.col("position") + F.col("length") <= s + SIZE) & (F.col("text_length") - s >= SHORTEST)
+    return found.select(key, "motif", "category", F.explode(F.filter(own, holds)).alias("window_start")).distinct()
+
+
 def _first_in_a_window(place: Column, previous: Column, size: Column, length: Column) -> Column:
     """A window finds the first place in it; the last window of a text may be too short to count."""
     last = place - place % STEP

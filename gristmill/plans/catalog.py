@@ -318,8 +318,18 @@ def sql_density(c: str) -> str:
     return f"least({sql_total(rl.ENGLISH[c])} * 1000.0 / greatest(length(n), 1), 1.0)::DOUBLE"
 
 
+def _category(name: str):  # noqa: ANN202
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        own = [r for r in rl.rules(["en"]) if r.category == name]
+        hits = F.struct(feats.total_of(feats.rule_hits(F.col("n"), own)).cast("long").alias("total"))
+        rows = norm_documents(spark, d).select("doc_id", "n", F.inline(F.array(hits)))
+        return rows.select("doc_id", "total", F.round(F.least(F.col("total") * 1000.0 / F.greatest(F.length("n"), F.lit(1)), F.lit(1.0)), 6).alias("density"))
+
+    return run
+
+
 for _c in rl.CATEGORIES:
-    simple(f"a1_density_{_c}", norm_documents, "doc_id", {"total": (lambda c=_c: rl.total_matches(F.col("n"), rl.ENGLISH[c]).cast("long")), "density": (lambda c=_c: F.round(feats.density(F.col("n"), rl.ENGLISH[c]), 6))}, NDOCS, {"total": f"{sql_total(rl.ENGLISH[_c])}::BIGINT", "density": f"round({sql_density(_c)}, 6)"})
+    query(f"a1_density_{_c}", f"SELECT doc_id, {sql_total(rl.ENGLISH[_c])}::BIGINT AS total, round({sql_density(_c)}, 6) AS density FROM {NDOCS}")(_category(_c))
 
 _W = "list_filter(regexp_split_to_array(t, '[ \\t-\\r]+'), lambda w: w <> '')"
 _STAT_SQL = {
@@ -335,7 +345,7 @@ for _i, _c in enumerate(_STAT_SQL, 2):
 
 @query("a7_feature_vector")
 def a7(spark: SparkSession, d: str) -> DataFrame:
-    return norm_documents(spark, d).select("doc_id", feats.vector(F.col("n")).alias("features"))
+    return feats.with_vector(norm_documents(spark, d), "n").select("doc_id", "features")
 
 
 def _sql_matches(e: str) -> str:
@@ -754,40 +764,60 @@ def l4(spark: SparkSession, d: str) -> DataFrame:
     return rows.union(rows.withColumn("e", F.col("e") + 1)).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+_RULES = "(SELECT * FROM (VALUES " + ", ".join(f"({r.rule_id}, {q(r.lang)}, {q(r.category)}, {q(r.kind)})" for r in rl.rules()) + ") v(rule_id, lang, category, kind))"
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    """(lang, docs): the languages of the documents."""
+    return spark.read.parquet(f"{d}/documents.parquet").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+
+
 def _rules_sql(where: str = "") -> str:
-    rows = ", ".join(f"({r.rule_id}, {q(r.lang)}, {q(r.category)}, {q(r.kind)})" for r in rl.rules())
-    return f"SELECT lang, category, kind, count(*) AS n FROM (VALUES {rows}) v(rule_id, lang, category, kind) {where} GROUP BY ALL"
+    return f"SELECT lang, category, kind, docs, count(*) AS n FROM (SELECT lang, count(*) AS docs FROM documents GROUP BY lang) JOIN {_RULES} USING (lang) {where} GROUP BY ALL"
 
 
 @query("l5_rule_union", _rules_sql())
 def l5(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of each language that documents are in, from the union of all languages' rules."""
     frames = [rl.rules_frame(spark, [x]) for x in rl.LANGUAGES]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out.groupBy("lang", "category", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return _languages(spark, d).join(out, "lang").groupBy("lang", "category", "kind", "docs").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("l6_language_subset", _rules_sql("WHERE lang IN ('en', 'de')"))
 def l6(spark: SparkSession, d: str) -> DataFrame:
-    return rl.rules_frame(spark, ["EN", "de"]).groupBy("lang", "category", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return _languages(spark, d).join(rl.rules_frame(spark, ["EN", "de"]), "lang").groupBy("lang", "category", "kind", "docs").agg(F.count(F.lit(1)).alias("n"))
+
 
+_TURN = f"{sql_list(rl.LANGUAGES)}[(doc_id % {len(rl.LANGUAGES)} + 1)::INT]"
 
-@query("l7_word_boundaries", "SELECT lang, lang NOT IN ('zh', 'ja', 'ko', 'ar', 'hi') AS word_boundaries FROM (SELECT unnest(" + sql_list(rl.LANGUAGES) + ") AS lang)")
+
+@query("l7_word_boundaries", f"SELECT doc_id, {_TURN} AS lang, {_TURN} NOT IN ('zh', 'ja', 'ko', 'ar', 'hi') AS word_boundaries FROM documents")
 def l7(spark: SparkSession, d: str) -> DataFrame:
-    langs = spark.createDataFrame([(x,) for x in rl.LANGUAGES], "lang string")
-    return langs.join(F.broadcast(rl.settings_frame(spark)), "lang", "left").select("lang", F.coalesce("word_boundaries", F.lit(True)).alias("word_boundaries"))
+    """The setting of each document's language, every language by turns."""
+    turn = F.get(F.array(*map(F.lit, rl.LANGUAGES)), (F.col("doc_id") % len(rl.LANGUAGES)).cast("int"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", turn.alias("lang"))
+    return docs.join(F.broadcast(rl.settings_frame(spark)), "lang", "left").select("doc_id", "lang", F.coalesce("word_boundaries", F.lit(True)).alias("word_boundaries"))
 
 
-@query("l9_languages", "SELECT unnest(" + sql_list(rl.LANGUAGES) + ") AS lang")
+@query("l9_languages", f"SELECT lang, count(*) AS docs, lang IN ({', '.join(map(q, rl.LANGUAGES))}) AS has_rules FROM documents WHERE lang IS NOT NULL GROUP BY lang")
 def l9(spark: SparkSession, d: str) -> DataFrame:
-    return rl.rules_frame(spark).select("lang").distinct()
+    """Languages of the documents, and whether there are rules for them."""
+    known = rl.rules_frame(spark).select("lang").distinct().withColumn("known", F.lit(True))
+    return _languages(spark, d).filter("lang is not null").join(known, "lang", "left").select("lang", "docs", F.coalesce("known", F.lit(False)).alias("has_rules"))
+
+
+_FILES = "(SELECT lang, source, min(doc_id % 5)::INT AS priority, count(*) AS rules FROM documents WHERE lang IS NOT NULL GROUP BY lang, source)"
 
 
-@query("s9_rule_priority", "SELECT lang, min(p)::INT AS priority, count(*) FILTER (p = m) AS n FROM (SELECT *, min(p) OVER (PARTITION BY lang) AS m FROM (SELECT lang, p FROM (SELECT unnest(['en', 'fr', 'en', 'de', 'fr']) AS lang, unnest([0, 1, 2, 2, 2]) AS p))) GROUP BY lang")
+@query("s9_rule_priority", f"SELECT lang, priority, sum(rules)::BIGINT AS n FROM (SELECT *, min(priority) OVER (PARTITION BY lang) AS m FROM {_FILES}) WHERE priority = m GROUP BY ALL")
 def s9(spark: SparkSession, d: str) -> DataFrame:
-    files = spark.createDataFrame([("en", 0), ("fr", 1), ("en", 2), ("de", 2), ("fr", 2)], "lang string, priority int")
-    return rl.by_priority(files).groupBy("lang").agg(F.min("priority").alias("priority"), F.count(F.lit(1)).alias("n"))
+    """The sources of documents as rule files of their language: whole files of the first priority override the others."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("lang is not null")
+    files = docs.groupBy("lang", "source").agg(F.min(F.col("doc_id") % 5).cast("int").alias("priority"), F.count(F.lit(1)).alias("rules"))
+    return rl.by_priority(files).groupBy("lang", "priority").agg(F.sum("rules").alias("n"))
 
 
 # ---- sources and sinks -----------------------------------------------------------------------------------------

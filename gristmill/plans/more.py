@@ -37,10 +37,9 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x1_window_motifs", f"SELECT r.c AS category, r.m AS motif, count(*) AS windows FROM {WINDOWS}, {MOTIF_ROWS} WHERE contains(w, r.m) GROUP BY ALL")
 def x1(spark: SparkSession, d: str) -> DataFrame:
-    """Each window meets every motif of the shipped list as an array, so no join is needed."""
-    rows = motifs.windows(documents(spark, d).select(F.lower("t").alias("text")))
-    hits = F.filter(F.array(*[F.when(F.col("window").contains(m), F.struct(F.lit(c).alias("category"), F.lit(m).alias("motif"))) for c, m in motifs.LISTED]), lambda x: x.isNotNull())
-    return rows.select(F.explode(hits).alias("m")).groupBy("m.category", "m.motif").agg(F.count(F.lit(1)).alias("windows"))
+    """How many windows hold each motif: places are found in whole texts, windows follow by arithmetic."""
+    held = motifs.windows_with(motifs.find_exact(documents(spark, d), text="t"))
+    return held.groupBy("category", "motif").agg(F.count(F.lit(1)).alias("windows"))
 
 
 @query("x3_first_rule", f"SELECT doc_id, {FIRST} AS rule FROM {PLANTED} WHERE {FIRST} IS NOT NULL")
@@ -61,9 +60,7 @@ def x5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w2_first_window", f"SELECT doc_id, motif, position, min(p)::INT AS window_start FROM (SELECT doc_id, r.m AS motif, (p + instr(w, r.m) - 1)::INT AS position, p FROM {WINDOWS}, {MOTIF_ROWS} WHERE contains(w, r.m)) GROUP BY ALL")
 def w2(spark: SparkSession, d: str) -> DataFrame:
-    rows = motifs.windows(documents(spark, d).select("doc_id", F.lower("t").alias("text")))
-    hits = F.filter(F.array(*[F.when(F.col("window").contains(m), F.struct(F.lit(m).alias("motif"), (F.locate(m, F.col("window")) - 1 + F.col("pos")).alias("position"))) for _, m in motifs.LISTED]), lambda x: x.isNotNull())
-    return rows.select("doc_id", "pos", F.explode(hits).alias("m")).groupBy("doc_id", "m.motif", "m.position").agg(F.min("pos").alias("window_start"))
+    return motifs.find_exact(documents(spark, d), text="t").select("doc_id", "motif", "position", "window_start")
 
 
 @query("w3_by_position", f"SELECT doc_id, string_agg(motif, ',' ORDER BY position, motif) AS motifs FROM {FOUND} GROUP BY doc_id")
@@ -92,12 +89,18 @@ def l2(spark: SparkSession, d: str) -> DataFrame:
     return motifs.find_exact(documents(spark, d), text="t").groupBy("motif").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "motif").limit(5)
 
 
-BROKEN = ["ignore (all", "role[", "a{2,1}", "*"]
 
 
-@query("l8_valid_rules", "SELECT unnest(" + sql_list(["system prompt", "act as"]) + ") AS expr")
+_WORD = "regexp_extract(coalesce(text, ''), '[a-z]+')"
+
+
+@query("l8_valid_rules", f"SELECT DISTINCT {_WORD} || CASE WHEN doc_id % 4 = 2 THEN '+x' ELSE '' END AS expr FROM documents WHERE {_WORD} <> '' AND doc_id % 4 NOT IN (1, 3)")
 def l8(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(e,) for e in rl.valid(spark, [BROKEN[0], "system prompt", *BROKEN[1:], "act as"])], "expr string")
+    """Expressions made of the first words of documents, half of them broken; those that compile."""
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), "[a-z]+", 0)
+    ends = F.get(F.array(F.lit(""), F.lit("("), F.lit("+x"), F.lit("[")), (F.col("doc_id") % 4).cast("int"))
+    rows = spark.read.parquet(f"{d}/documents.parquet").filter(word != "").select(F.concat(word, ends).alias("expr")).distinct()
+    return rl.valid_rows(rows)
 
 
 @query("e1_embedding", f"SELECT doc_id, {models.DIMS} AS dims FROM documents")
