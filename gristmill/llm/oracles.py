@@ -32,8 +32,8 @@ def secret_scans() -> str:
 def quality_rules() -> str:
     word = q(qr.WORD)
     classes = [f"length(regexp_replace(t, {q(p)}, '', 'g'))" for p in qr.CLASSES.values()]
-    n_common = len(qr.COMMON_WORDS["en"])
-    common = "CASE lang " + " ".join(f"WHEN {q(lang)} THEN [" + ", ".join(f"len(list_filter(w, lambda x: x = {q(c)}))" for c in ws) + "]" for lang, ws in qr.COMMON_WORDS.items()) + " ELSE [" + ", ".join(["0"] * n_common) + "] END"
+    n_common = len(qr.COMMON_WORDS["en"]) + 1
+    common = "CASE lang " + " ".join(f"WHEN {q(lang)} THEN [" + ", ".join(f"len(list_filter(w, lambda x: x = {q(c)}))" for c in ws) + "]" for lang, ws in qr.COMMON_WORDS.items()) + " ELSE [" + ", ".join(["0"] * (n_common - 1)) + "] END"
     sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}])" for i in range(n)) + "]"
 
     def js(a: str, b: str, n: int) -> str:
@@ -45,10 +45,10 @@ def quality_rules() -> str:
     win AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, v) AS n FROM (SELECT doc_id, p, w[p:p + {qr.WINDOW - 1}] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - {qr.WINDOW - 2})) AS p FROM d))),
     rep AS (SELECT doc_id, count(DISTINCT p + k) AS r FROM (SELECT doc_id, p, unnest(range(0, {qr.WINDOW})) AS k FROM win WHERE n > 1) GROUP BY doc_id),
     m0 AS (SELECT doc_id, t, length(t) AS nc, len(w) AS n_words, len(lines) - len(list_distinct(lines)) AS dup, coalesce(r, 0) AS r, CASE WHEN lang IN ({", ".join(map(q, qr.COMMON_WORDS))}) THEN lang ELSE '{qr.POOLED}' END AS l, [{", ".join(classes)}] AS c, {common} AS o FROM d LEFT JOIN rep USING (doc_id)),
-    m AS (SELECT * REPLACE (list_append(c, nc - list_sum(c)) AS c) FROM m0),
+    m AS (SELECT * REPLACE (list_append(c, nc - list_sum(c)) AS c, list_append(o, CASE WHEN l <> '{qr.POOLED}' THEN n_words - list_sum(o) ELSE 0 END) AS o) FROM m0),
     e AS (SELECT l, {sums("c", len(qr.CLASSES) + 1)} AS rc, {sums("o", n_common)} AS ro FROM m GROUP BY l),
     refs AS (SELECT * FROM e WHERE l <> '{qr.POOLED}' UNION ALL SELECT '{qr.POOLED}', {sums("rc", len(qr.CLASSES) + 1)}, {sums("ro", n_common)} FROM e),
-    v AS (SELECT m.*, {js("c", "rc", len(qr.CLASSES) + 1)} AS cd, CASE WHEN list_sum(o) >= {qr.MIN_COMMON} THEN {js("o", "ro", n_common)} ELSE 0.0 END AS wd, n_words < {qr.MIN_WORDS} OR 100 * r > {qr.MAX_REPEAT_PERCENT} * n_words AS failed FROM m LEFT JOIN refs USING (l))
+    v AS (SELECT m.*, {js("c", "rc", len(qr.CLASSES) + 1)} AS cd, CASE WHEN n_words >= {qr.MIN_JUDGED_WORDS} THEN {js("o", "ro", n_common)} ELSE 0.0 END AS wd, n_words < {qr.MIN_WORDS} OR 100 * r > {qr.MAX_REPEAT_PERCENT} * n_words AS failed FROM m LEFT JOIN refs USING (l))
     SELECT doc_id, n_words::BIGINT AS n_words, (nc - c[4])::BIGINT AS word_chars, c[6]::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, r::BIGINT AS n_repeat_words, failed AS base_failed, NOT failed AND NOT ((nc >= {qr.MIN_CHARS} AND cd > {qr.MAX_CLASS_DISTANCE}) OR wd > {qr.MAX_WORD_DISTANCE}) AS kept, round(cd, 6)::DOUBLE AS class_distance, round(wd, 6)::DOUBLE AS word_distance FROM v"""
 
 

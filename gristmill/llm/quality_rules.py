@@ -1,14 +1,13 @@
 """Quality rules by distribution divergence, in DataFrame expressions only.
 
 Every document gets surface counts (words, symbols, repeated lines, repeated five-word windows) and two
-histograms: character classes, and the commonest function words of its language. Each histogram is compared
-with the reference of the language, the sum over all its documents, by Jensen-Shannon distance (base 2, 0..1).
+histograms: character classes, and the commonest function words of its language with a bin for all other words. Each
+histogram is compared with the reference of the language, the sum over all its documents, by Jensen-Shannon distance (base 2, 0..1).
 
 Defined results: a null text counts as empty; an empty text has no words and fails the base rule; a language
 that is null or unlisted uses the pooled reference of all documents and no word histogram; a text of less than
-``MIN_CHARS`` characters is not judged by its classes, one with less than ``MIN_COMMON`` common words has word
-distance 0, whatever its length (``kept_documents`` judges the share of common words too); repeated rows are judged row by row; an empty table gives an empty
-result; columns of the input other than ``text`` and ``lang`` pass through, the operator's own columns carry
+``MIN_CHARS`` characters is not judged by its classes, one of less than ``MIN_JUDGED_WORDS`` words has word
+distance 0; repeated rows are judged row by row; an empty table gives an empty result; columns of the input other than ``text`` and ``lang`` pass through, the operator's own columns carry
 the prefix ``q_``.
 """
 
@@ -40,11 +39,9 @@ CLASSES = {
     "wide": r"[\x00-\x7F]+",
 }
 MAX_CLASS_DISTANCE = 0.33
-MAX_WORD_DISTANCE = 0.75
-MIN_CHARS = 200
-MIN_COMMON = 30
-#: Of the common words that a text of its length has in the reference, at least this part.
-MIN_COMMON_PART = 0.25
+#: Good texts of MIN_JUDGED_WORDS words are up to 0.24 from their language, texts without common words 0.3 and more.
+MAX_WORD_DISTANCE = 0.27
+MIN_CHARS, MIN_JUDGED_WORDS = 200, 100
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 _NO_LONGS = "cast(array() as array<bigint>)"
 
@@ -103,8 +100,9 @@ def measure(docs: DataFrame) -> DataFrame:
     for lang, listed_words in COMMON_WORDS.items():
         each = [((F.length("q_spaced") - F.length(F.replace(F.col("q_spaced"), F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in listed_words]
         counts = F.when(F.col("q_lang") == lang, F.array(*each)).otherwise(counts)
-    counts = F.coalesce(counts, F.array(*[shut] * len(COMMON_WORDS["en"])))
-    return df.withColumn("q_common", counts).drop("q_spaced", *[f"q_{n}" for n in CLASSES if n != "symbol"])
+    df = df.withColumn("q_common", F.coalesce(counts, F.array(*[shut] * len(COMMON_WORDS["en"]))))
+    other = F.when(F.col("q_lang") != POOLED, F.aggregate("q_common", F.col("q_n_words"), lambda s, v: s - v)).otherwise(shut)
+    return df.withColumn("q_common", F.concat("q_common", F.array(other))).drop("q_spaced", *[f"q_{n}" for n in CLASSES if n != "symbol"])
 
 
 def references(measured: DataFrame) -> DataFrame:
@@ -112,11 +110,11 @@ def references(measured: DataFrame) -> DataFrame:
 
     At most ``len(COMMON_WORDS) + 1`` rows, whatever the input.
     """
-    n_classes, n_common = len(CLASSES) + 1, len(COMMON_WORDS["en"])
-    sums = [F.sum(F.col("q_classes")[i]).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.col("q_common")[i]).alias(f"w{i}") for i in range(n_common)] + [F.sum("q_n_words").alias("q_ref_words")]
+    n_classes, n_common = len(CLASSES) + 1, len(COMMON_WORDS["en"]) + 1
+    sums = [F.sum(F.col("q_classes")[i]).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.col("q_common")[i]).alias(f"w{i}") for i in range(n_common)]
     rows = measured.rollup("q_lang").agg(F.grouping_id().alias("whole"), *sums)  # one pass for both
     rows = rows.filter((F.col("whole") == 1) | (F.col("q_lang") != POOLED)).withColumn("q_lang", F.coalesce("q_lang", F.lit(POOLED)))
-    return rows.select("q_lang", F.array(*[f"c{i}" for i in range(n_classes)]).alias("q_ref_classes"), F.array(*[f"w{i}" for i in range(n_common)]).alias("q_ref_common"), "q_ref_words")
+    return rows.select("q_lang", F.array(*[f"c{i}" for i in range(n_classes)]).alias("q_ref_classes"), F.array(*[f"w{i}" for i in range(n_common)]).alias("q_ref_common"))
 
 
 def js_distance(a: Column, b: Column) -> Column:
@@ -133,29 +131,22 @@ def js_distance(a: Column, b: Column) -> Column:
     return F.when((sums["a"] > 0) & (sums["b"] > 0), F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(0.0)
 
 
-def verdict(measured: DataFrame, refs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_common: int = MIN_COMMON) -> DataFrame:
-    """Adds ``q_class_distance``, ``q_word_distance``, ``q_base_failed``, ``q_kept`` and ``q_few_common``.
-
-    ``q_few_common``: the text is long enough for ``min_common`` common words at the rate of its reference, and has
-    less than ``MIN_COMMON_PART`` of what that rate gives. The histogram cannot tell, as it counts common words only.
-    """
+def verdict(measured: DataFrame, refs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_JUDGED_WORDS) -> DataFrame:
+    """Adds ``q_class_distance``, ``q_word_distance``, ``q_base_failed`` and ``q_kept``."""
     df = measured.join(F.broadcast(refs), "q_lang", "left")
     n = F.col("q_n_words")
-    common = F.aggregate("q_common", F.lit(0).cast("long"), lambda s, v: s + v)
     df = df.withColumn("q_class_distance", js_distance(F.col("q_classes"), F.col("q_ref_classes")))
-    df = df.withColumn("q_word_distance", F.when(common >= min_common, js_distance(F.col("q_common"), F.col("q_ref_common"))).otherwise(0.0))
+    df = df.withColumn("q_word_distance", F.when(n >= min_words, js_distance(F.col("q_common"), F.col("q_ref_common"))).otherwise(0.0))
     df = df.withColumn("q_base_failed", (n < MIN_WORDS) | (100 * F.col("q_repeat_words") > MAX_REPEAT_PERCENT * n))
     diverges = ((F.col("q_n_chars") >= min_chars) & (F.col("q_class_distance") > max_class)) | (F.col("q_word_distance") > max_word)
-    expected = n * F.aggregate("q_ref_common", F.lit(0).cast("long"), lambda s, v: s + v) / F.greatest(F.col("q_ref_words"), F.lit(1))
-    df = df.withColumn("q_few_common", F.coalesce((F.col("q_lang") != POOLED) & (expected >= min_common) & (common < MIN_COMMON_PART * expected), F.lit(False)))
-    return df.withColumn("q_kept", ~F.col("q_base_failed") & ~diverges).drop("q_ref_classes", "q_ref_common", "q_ref_words")
+    return df.withColumn("q_kept", ~F.col("q_base_failed") & ~diverges).drop("q_ref_classes", "q_ref_common")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass and are not short of common words, with the columns of ``docs``."""
+    """The rows of ``docs`` that pass, with the columns of ``docs``."""
     packed = docs.select(F.struct(*docs.columns).alias("q_doc"), "text", "lang")  # apart from the operator's own names
     measured = stored(measure(packed).drop("text", "lang"), "measured")  # rows and counts together: measured once, no join back
-    return verdict(measured, references(measured)).filter("q_kept and not q_few_common").select("q_doc.*")
+    return verdict(measured, references(measured)).filter("q_kept").select("q_doc.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
