@@ -97,19 +97,34 @@ def out_of_fold(df: DataFrame, key: str = "doc_id", n: int = 5, label: str = "la
     return out
 
 
-def stratified_folds(df: DataFrame, label: str = "label", key: str = "doc_id", n: int = 5, buckets: int = 1024) -> DataFrame:
-    """Adds ``fold``: of each class every n-th row in the order of a hash of its key, so that class sizes of folds differ by one at most.
+def with_rank(df: DataFrame, label: str = "label", key: str = "doc_id", seed: int = 42, buckets: int = 1024) -> DataFrame:
+    """Adds ``rank``, from 0, of each row within its class, in the order of a hash of its key.
 
     Rows are ranked inside buckets of the hash; a bucket's offset is the sum of the counts before it, of which there are ``buckets``
     a class. No window holds a class.
     """
-    rows = df.withColumn("_hash", F.xxhash64(key)).withColumn("_bucket", F.shiftrightunsigned(F.col("_hash"), 40) % buckets)
+    rows = df.withColumn("_hash", F.xxhash64(key, F.lit(seed))).withColumn("_bucket", F.shiftrightunsigned(F.col("_hash"), 40) % buckets)
     rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_hash", key)))
     before = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(F.col(label).alias("_label"), F.col("_bucket").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     same = F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_at"))
-    fold = ((F.col("_offset") + F.col("_rank") - 1) % n).cast("int")
-    return rows.join(F.broadcast(sizes), same).withColumn("fold", fold).drop("_hash", "_bucket", "_rank", "_label", "_at", "_offset")  # a row per class and bucket
+    # a row per class and bucket
+    return rows.join(F.broadcast(sizes), same).withColumn("rank", F.col("_offset") + F.col("_rank") - 1).drop("_hash", "_bucket", "_rank", "_label", "_at", "_offset")
+
+
+def stratified_folds(df: DataFrame, label: str = "label", key: str = "doc_id", n: int = 5, buckets: int = 1024) -> DataFrame:
+    """Adds ``fold``: of each class every n-th row in the order of a hash of its key, so that class sizes of folds differ by one at most."""
+    return with_rank(df, label, key, buckets=buckets).withColumn("fold", (F.col("rank") % n).cast("int")).drop("rank")
+
+
+def balanced(df: DataFrame, label: str = "label", key: str = "doc_id", extra: DataFrame | None = None, extra_label: object = 0, seed: int = 42) -> DataFrame:
+    """As many rows of each class as the smallest has, the first by a hash of their key. Rows of ``extra`` (with the columns of ``df`` but
+    the label) first join class ``extra_label``, as benign texts from elsewhere do. Rows without a label are left out."""
+    if extra is not None:
+        df = df.unionByName(extra.withColumn(label, F.lit(extra_label).cast(df.schema[label].dataType)).select(*df.columns))
+    rows = with_rank(df.filter(F.col(label).isNotNull()), label, key, seed)
+    least = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("_least"))  # one row
+    return rows.join(F.broadcast(least)).filter(F.col("rank") < F.col("_least")).drop("rank", "_least")
 
 
 def _rates(out: DataFrame) -> DataFrame:

@@ -198,7 +198,12 @@ def typed(spark: SparkSession, d: str) -> DataFrame:
 simple("h10_html_gate", typed, "page_id", {"is_html": requests.is_html}, TYPED, {"is_html": "coalesce(lower(content_type), '') LIKE '%text/html%'"})
 simple("p1_text_gate", typed, "page_id", {"is_text": requests.is_text}, TYPED, {"is_text": "regexp_matches(coalesce(lower(content_type), ''), 'text/(markdown|plain|html)')"})
 simple("j1_json_gate", typed, "page_id", {"is_json": requests.is_json}, TYPED, {"is_json": "regexp_matches(coalesce(lower(content_type), ''), '(application|text)/json')"})
-simple("u1_decode", pages, "page_id", {"digest": digest(lambda: F.make_valid_utf8(F.col("html")))}, "pages", {"digest": sha("html")})
+@query("u1_decode", "SELECT page_id, sha256(coalesce(html, '') || chr(65533) || 'A' || chr(65533)) AS digest FROM pages")
+def u1(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes that are no UTF-8 behind each page."""
+    raw = F.concat(F.encode(HTML(), "UTF-8"), F.unhex(F.lit("FF41C3"))).cast("string")
+    return pages(spark, d).select("page_id", F.sha2(F.make_valid_utf8(raw).cast("binary"), 256).alias("digest"))
+
 
 # ---- urls and secrets ------------------------------------------------------------------------------------------
 
@@ -343,9 +348,14 @@ for _i, _c in enumerate(_STAT_SQL, 2):
     simple(f"a{_i}_{_c}", documents, "doc_id", {_c: (lambda c=_c: F.round(feats.statistics(F.col("t"))[c], 6))}, DOCS, {_c: f"round({_STAT_SQL[_c]}, 6)"})
 
 
-@query("a7_feature_vector")
+_VECTOR = [*(f"round({sql_density(c)}, 6)" for c in rl.CATEGORIES), *(f"round({e.replace('(t', '(n')}, 6)::DOUBLE" for e in _STAT_SQL.values())]
+
+
+@query("a7_feature_vector", f"SELECT doc_id, i::INT AS i, v FROM (SELECT doc_id, unnest([{', '.join(_VECTOR)}]) AS v, unnest(range(12)) AS i FROM {NDOCS})")
 def a7(spark: SparkSession, d: str) -> DataFrame:
-    return feats.with_vector(norm_documents(spark, d), "n").select("doc_id", "features")
+    """The twelve features of each normalised document, a row each."""
+    rows = feats.with_vector(norm_documents(spark, d), "n").select("doc_id", F.posexplode("features").alias("i", "v"))
+    return rows.withColumn("v", F.round("v", 6))
 
 
 def _sql_matches(e: str) -> str:
@@ -383,7 +393,14 @@ def _scored(name: str, columns: list[str | Column], sql: str) -> None:
 _scored("a13_base_score", [lambda: F.round(feats.base_score({c: F.col(c) for c in rl.CATEGORIES}), 6).alias("base")], "round(base, 6) AS base")
 _scored("a14_final_score", [lambda: F.round("score", 6).alias("score")], f"round({_FINAL}, 6) AS score")
 _scored("a15_signals", ["signals"], f"{_CODES} AS signals")
-_scored("a16_signal_list", [lambda: F.to_json(F.transform(feats.signal_list({c: F.col(c) for c in rl.CATEGORIES}), lambda x: x["name"])).alias("names")], "to_json(list_filter([" + ", ".join(f"CASE WHEN d_{c} > 0 THEN {q(c)} END" for c in rl.CATEGORIES) + "], lambda x: x IS NOT NULL))::VARCHAR AS names")
+_SIGNALS = " UNION ALL ".join(f"SELECT doc_id, {q(c)} AS name, round(d_{c}, 4) AS score FROM s WHERE d_{c} > 0" for c in rl.CATEGORIES)
+
+
+@query("a16_signal_list", f"WITH s AS (SELECT * FROM {SCORED}) {_SIGNALS}")
+def a16(spark: SparkSession, d: str) -> DataFrame:
+    return detected(spark, d).select("doc_id", F.inline(feats.signal_list({c: F.col(c) for c in rl.CATEGORIES})))
+
+
 _scored("f9_any_match", [lambda: (sum((F.col(c) for c in rl.CATEGORIES), F.lit(0.0)) > 0).alias("any")], "(" + " OR ".join(f"d_{c} > 0" for c in rl.CATEGORIES) + ') AS "any"')
 _scored("f10_suspicious", ["suspicious"], f"{_ANY} AS suspicious")
 _scored("f11_flag", ["flagged"], f"{_FLAG} AS flagged")
@@ -822,27 +839,48 @@ def s9(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- sources and sinks -----------------------------------------------------------------------------------------
 
-_HEAD = "HTTP/1.1 301 Moved\r\nLocation: /x\r\n\r\nHTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-A: one\r\nx-a: two: 2\r\n\r\n"
+_STATUS, _TYPES = "(200 + page_id % 5)", ["text/html", "text/html; charset=utf-8", "application/xhtml+xml"]
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d).select("page_id", "html", F.concat(F.lit(_HEAD), "html", F.lit("\n200\n"), "url").alias("raw"))
+    """Raw responses by page: a redirect, then a block with the page's own status and type, and a trailer, which every fourth lacks."""
+    status = (F.lit(200) + F.col("page_id") % 5).cast("string")
+    kind = F.get(F.array(*map(F.lit, _TYPES)), (F.col("page_id") % 3).cast("int"))
+    head = F.concat(F.lit("HTTP/1.1 301 Moved\r\nLocation: /x\r\n\r\nHTTP/2 "), status, F.lit(" Done\r\nContent-Type: "), kind, F.lit("\r\nX-A: one\r\nx-a: two: 2\r\n\r\n"))
+    trailer = F.when(F.col("page_id") % 4 == 0, F.lit("\nno number\n")).otherwise(F.concat(F.lit("\n"), status, F.lit("\n")))
+    return pages(spark, d).select("page_id", "html", F.concat(head, "html", trailer, "url").alias("raw"))
 
 
-@query("s2_parse_response", "SELECT page_id, 200 AS status, 'text/html' AS content_type, url AS final_url, sha256(html) AS digest FROM pages")
+_TYPE = f"{sql_list(_TYPES)}[(page_id % 3 + 1)::INT]"
+
+
+@query("s2_parse_response", f"SELECT page_id, {_STATUS}::INT AS status, {_TYPE} AS content_type, url AS final_url, sha256(html) AS digest FROM pages")
 def s2(spark: SparkSession, d: str) -> DataFrame:
     return http.responses(_raw(spark, d)).select("page_id", "status", "content_type", "final_url", F.sha2(F.col("body").cast("binary"), 256).alias("digest"))
 
 
-@query("s3_headers", "SELECT page_id, unnest(['content-type', 'x-a']) AS name, unnest(['text/html', 'two: 2']) AS value FROM pages")
+@query("s3_headers", f"SELECT page_id, unnest(['content-type', 'x-a']) AS name, unnest([{_TYPE}, 'two: 2']) AS value FROM pages")
 def s3(spark: SparkSession, d: str) -> DataFrame:
     return http.responses(_raw(spark, d)).select("page_id", F.explode("headers").alias("name", "value"))
 
 
-@query("s5_parse_command", "SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN 'PUT' ELSE 'POST' END AS method, 'v: w' AS header, 'a=1' AS body FROM pages")
+@query("s6_result_fields", f"SELECT page_id, url AS final_url, {_TYPE} AS content_type, {_STATUS}::INT AS status, octet_length(encode(html))::BIGINT AS n_bytes FROM pages")
+def s6(spark: SparkSession, d: str) -> DataFrame:
+    return http.responses(_raw(spark, d)).select("page_id", "final_url", "content_type", "status", F.octet_length("body").cast("long").alias("n_bytes"))
+
+
+_TURN6 = "page_id % 6"
+
+
+@query("s5_parse_command", f"SELECT page_id, CASE WHEN {_TURN6} = 5 THEN 'file.txt' ELSE url END AS url, CASE {_TURN6} WHEN 0 THEN 'PUT' WHEN 1 THEN 'POST' WHEN 3 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN {_TURN6} IN (0, 1) THEN 'v: w' END AS header, CASE WHEN {_TURN6} IN (0, 1) THEN 'a=' || url WHEN {_TURN6} = 3 THEN 'b' END AS body FROM pages")
 def s5(spark: SparkSession, d: str) -> DataFrame:
-    verb = F.when(F.col("page_id") % 2 == 0, F.array(F.lit("-X"), F.lit("put"))).otherwise(F.array().cast("array<string>"))
-    args = F.concat(F.array(F.lit("--silent"), F.lit("-H"), F.lit("K: v: w")), verb, F.array(F.lit("-d"), F.lit("a=1"), F.col("url")))
+    """Six command lines by turns: all parts, data only, a bare url, long flags, an unknown flag before a url and before a host."""
+    line = lambda *parts: F.array(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    url, data = F.col("url"), F.concat(F.lit("a="), "url")
+    lines = [line("--silent", "-H", "K: v: w", "-X", "put", "-d", data, url), line("-H", "K: v: w", "-d", data, url), line(url), line("--url", url, "--data-raw", "b", "-H", "nocolon"), line("-o", "file.txt", url), line("-o", "file.txt", "localhost:80")]
+    args = lines[5]
+    for k, own in enumerate(lines[:5]):
+        args = F.when(F.col("page_id") % 6 == k, own).otherwise(args)
     r = pages(spark, d).select("page_id", http.parse_command(args).alias("r"))
     return r.select("page_id", "r.url", "r.method", F.try_element_at("r.headers", F.lit("K")).alias("header"), "r.body")
 
@@ -851,10 +889,13 @@ simple("s10_line_ended", documents, "doc_id", {"digest": digest(lambda: http.lin
 simple("s11_api_status", documents, "doc_id", {"status": lambda: http.api_status(F.when(F.col("doc_id") % 11 == 0, F.repeat("text", 300)).when(F.col("doc_id") % 11 == 1, F.lit("")).otherwise(F.col("text")))}, DOCS, {"status": "CASE WHEN strlen(b) > 262144 THEN 413 WHEN b IS NULL OR b = '' THEN 400 ELSE 200 END".replace("b ", "(CASE doc_id % 11 WHEN 0 THEN repeat(text, 300) WHEN 1 THEN '' ELSE text END) ").replace("strlen(b)", "strlen(CASE doc_id % 11 WHEN 0 THEN repeat(text, 300) WHEN 1 THEN '' ELSE text END)")})
 
 
-@query("s12_training_source", "SELECT quality AS label, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY quality")
+@query("s12_training_source", "SELECT label, min(n) OVER () AS n FROM (SELECT label, count(*) AS n FROM (SELECT quality AS label FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL UNION ALL SELECT 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id % 20 = 0) GROUP BY label)")
 def s12(spark: SparkSession, d: str) -> DataFrame:
-    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    return docs.join(labels, "doc_id").filter("quality is not null").groupBy(F.col("quality").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    """Labelled documents with unlabelled ones as an extra sample of class 0, balanced."""
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = docs.join(labels, "doc_id").select("doc_id", F.col("quality").alias("label"))
+    extra = docs.join(labels, "doc_id", "left_anti").filter("doc_id % 20 = 0")
+    return models.balanced(rows, extra=extra).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- vectors ---------------------------------------------------------------------------------------------------
@@ -874,10 +915,11 @@ def a19(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).select("vec_id", F.posexplode(models.l2(F.col("embedding").cast("array<double>"))).alias("i", "v")).select("vec_id", "i", F.round("v", 6).alias("v"))
 
 
-@query("a20_masked_mean")
+@query("a20_masked_mean", "SELECT vec_id, i::INT AS i, round(v::DOUBLE * 1.5, 6) AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)")
 def a20(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
-    return vectors(spark, d).select("vec_id", models.masked_mean(F.array(v, F.transform(v, lambda x: x * 2), v), F.array(F.lit(1.0), F.lit(1.0), F.lit(0.0))).alias("mean"))
+    mean = models.masked_mean(F.array(v, F.transform(v, lambda x: x * 2), v), F.array(F.lit(1.0), F.lit(1.0), F.lit(0.0)))
+    return vectors(spark, d).select("vec_id", F.posexplode(mean).alias("i", "v")).withColumn("v", F.round("v", 6))
 
 
 @query("e2_chunk_embedding")

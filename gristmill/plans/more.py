@@ -30,11 +30,6 @@ def s7(spark: SparkSession, d: str) -> DataFrame:
     return f.select("page_id", said.alias("flags"))
 
 
-@query("s6_result_fields", "SELECT page_id, url AS final_url, 'text/html' AS content_type, 200 AS status, octet_length(encode(html))::BIGINT AS n_bytes FROM pages")
-def s6(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d).select("page_id", F.col("url").alias("final_url"), F.lit("text/html").alias("content_type"), F.lit(200).alias("status"), F.octet_length("html").cast("long").alias("n_bytes"))
-
-
 @query("x1_window_motifs", f"SELECT r.c AS category, r.m AS motif, count(*) AS windows FROM {WINDOWS}, {MOTIF_ROWS} WHERE contains(w, r.m) GROUP BY ALL")
 def x1(spark: SparkSession, d: str) -> DataFrame:
     """How many windows hold each motif: places are found in whole texts, windows follow by arithmetic."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BYTES = 262_144
@@ -31,6 +31,15 @@ def responses(df: DataFrame, raw: str = "raw") -> DataFrame:
     return df.withColumn("status", F.coalesce("_status", line)).withColumn("content_type", F.try_element_at("headers", F.lit("content-type"))).drop("_status", "_head", "_blocks", "_last")
 
 
+def landed(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, return_code, status, headers, body, final_url, content_type) of files that each hold one raw response as a fetcher has
+    written it, on any file system that Spark reads. Bytes that are no UTF-8 are replaced; a file without a header block is a failed
+    fetch with return code -1; Spark passes over empty files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    rows = responses(files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("raw")))
+    return rows.select("path", F.when(F.col("raw").rlike(r"^HTTP/[\d.]+ \d+"), 0).otherwise(-1).alias("return_code"), "status", "headers", "body", "final_url", "content_type")
+
+
 def parse_command(args: Column) -> Column:
     """(url, method, headers, body) of an argument list, as one fold.
 

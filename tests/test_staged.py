@@ -207,3 +207,24 @@ def test_rate_limit_in_event_order(spark, tmp_path):
     closed = spark.createDataFrame([("a", 1704067200, "2024-01-01 00:02:00")], "user_id string, window_start long, j string").select("user_id", "window_start", F.to_timestamp("j").alias("judged_at"))
     events = frame(rows).withColumn("arrived", F.expr("case when event_id % 2 = 0 then timestamp'2024-01-01 00:03:00' else timestamp'2024-01-01 00:01:00' end"))
     assert [tuple(r) for r in late_events(events, closed).collect()] == [("a", 1704067200, 7)]
+
+
+def test_balanced_sample(spark):
+    rows = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(100)] + [(500, None)], "doc_id long, label int")
+    extra = spark.createDataFrame([(1000 + i,) for i in range(30)], "doc_id long")
+    out = models.balanced(rows, extra=extra, extra_label=1)
+    got = {r["label"]: r["count"] for r in out.groupBy("label").count().collect()}
+    assert got == {0: 50, 1: 50} and out.columns == ["doc_id", "label"]
+    assert sorted(out.collect()) == sorted(models.balanced(rows.repartition(7), extra=extra, extra_label=1).collect())
+
+
+def test_landed_responses(spark, tmp_path):
+    from gristmill.sources import http
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.http").write_bytes(b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>\xff</p>\n200\nhttp://x/")
+    (tmp_path / "2.http").write_bytes(b"timed out")
+    (tmp_path / "3.txt").write_bytes(b"no")
+    got = {r["path"].rsplit("/", 1)[-1]: r for r in http.landed(spark, str(tmp_path), "*.http").collect()}
+    assert set(got) == {"1.http", "2.http"} and got["2.http"]["return_code"] == -1
+    assert (got["1.http"]["return_code"], got["1.http"]["status"], got["1.http"]["body"], got["1.http"]["content_type"]) == (0, 200, "<p>�</p>", "text/html")
