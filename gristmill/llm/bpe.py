@@ -11,8 +11,8 @@ by the tokenizer itself.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated rows each get their row; a
 null id decodes to nothing; ids outside the vocabulary are an error; an empty table gives an empty result; only the key
-and the text are read. A block holds ``BLOCK_WORDS`` words and one document more at most, so a task's memory
-is bounded by the longest document.
+and the text are read. A block is closed at ``BLOCK_WORDS`` words or ``BLOCK_BYTES`` bytes of them, whichever comes first, and holds
+one Arrow batch (16 MB, or one longer document) more at most, so a task's memory is bounded by the longest document.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty, tokenizer_path
 
 BLOCK_WORDS = 1 << 21
+#: Texts of few but very long words end a block by their bytes.
+BLOCK_BYTES = 1 << 27
 #: Words whose ids a Python worker keeps between blocks: at most twice as many and a block's words, each of bounded length.
 KEPT_WORDS, KEPT_LENGTH = 1 << 17, 32
 _WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -194,8 +196,8 @@ class _Block:
         self.codes = number[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int32)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], path: str, n_buckets: int, block_words: int) -> Iterator[tuple[int, _Block]]:
-    task, k, keys, sizes, values, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+def _blocks(batches: Iterator[pa.RecordBatch], path: str, n_buckets: int, block_words: int, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, _Block]]:
+    task, k, keys, sizes, values, held, n_bytes = TaskContext.get().partitionId(), 0, [], [], [], 0, 0
     for batch in batches:
         lists = batch.column("words")
         if batch.column("text").null_count < len(batch):  # split these with the tokenizer
@@ -205,9 +207,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, n_buckets: int, block_
         sizes.append(np.diff(np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, lists.offset * 4)))
         values.append(lists.flatten())
         held += len(values[-1])
-        if held >= block_words:
+        n_bytes += values[-1].nbytes
+        if held >= block_words or n_bytes >= block_bytes:
             yield task << 32 | k, _Block(pa.chunked_array(keys), sizes, values, n_buckets)
-            k, keys, sizes, values, held = k + 1, [], [], [], 0
+            k, keys, sizes, values, held, n_bytes = k + 1, [], [], [], 0, 0
     if keys:
         yield task << 32 | k, _Block(pa.chunked_array(keys), sizes, values, n_buckets)
 
