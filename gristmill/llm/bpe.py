@@ -6,8 +6,9 @@ once; the ids go back to the blocks and are joined by position. Decoding joins i
 whose size is that of the tokenizer (broadcast), and concatenates bytes.
 
 Only byte-level BPE files without a normaliser are served, for which the ids of a text are those of its words.
-Words are split by Java's regular expressions; texts with code points that Java's Unicode tables do not know are split
-by the tokenizer itself.
+Plain texts (ASCII, Latin letters, common punctuation) travel whole and are split at changes of byte classes, all texts of a
+batch at once; other texts are split by Java's regular expressions, and those with code points that Java's Unicode
+tables do not know by the tokenizer itself. All three give the same words.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated rows each get their row; a
 null id decodes to nothing; ids outside the vocabulary are an error; an empty table gives an empty result; only the key
@@ -39,6 +40,64 @@ KEPT_WORDS, KEPT_LENGTH = 1 << 17, 32
 _WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
+#: What is not plain, for Java: beyond ASCII some punctuation and the Latin letters up to U+017F are.
+_NOT_PLAIN = r"[^\x00-\x7F\x{A1}\x{A7}\x{A9}\x{AB}\x{AE}\x{B0}\x{B7}\x{BB}\x{BF}-\x{17F}\x{2010}-\x{2027}\x{2030}-\x{205E}]"
+_OTHER, _LETTER, _DIGIT, _BLANK, _AS_BEFORE = range(5)
+
+
+def _byte_classes() -> np.ndarray:
+    out = np.full(256, _OTHER, np.uint8)
+    for chars, kind in ((b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz\xc3\xc4\xc5", _LETTER), (b"0123456789", _DIGIT), (b" \t\n\x0b\x0c\r", _BLANK)):
+        out[np.frombuffer(chars, np.uint8)] = kind
+    out[0x80:0xC0] = _AS_BEFORE
+    return out
+
+
+_CLASSES = _byte_classes()
+
+
+def split_plain(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where words begin in the bytes of plain texts that end at ``ends``; words follow each other without gaps.
+
+    A word is a run of letters, of digits or of other characters, with the blank before it; an apostrophe that starts a word takes one
+    of the endings s, t, m, d, re, ve, ll along; of white space before a word the last character stands apart.
+    """
+    n = len(data)
+    if not n:
+        return np.empty(0, np.int64)
+    kind = _CLASSES[data]
+    after = np.flatnonzero(kind == _AS_BEFORE)
+    for _ in range(2):  # characters of two and three bytes
+        kind[after] = kind[after - 1]
+    signs = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    kind[signs] = kind[signs + 1] = _OTHER
+    edge = np.zeros(n + 1, bool)  # texts begin here
+    edge[ends[ends <= n]] = edge[0] = True
+    begins = edge.copy()
+    begins[1:n] |= kind[1:] != kind[:-1]
+    run = np.flatnonzero(begins)
+    start, stop = run[:-1], run[1:]
+    own = kind[start]
+    blank = own == _BLANK
+    led = np.zeros(len(start), bool)  # the run has a blank of its own before it
+    led[1:] = blank[:-1] & ~blank[1:] & (data[start[1:] - 1] == 0x20) & ~edge[start[1:]]
+    apart = stop[blank & ~edge[stop] & (stop - start > 1)] - 1
+    begins[start[led]] = False
+    begins[apart] = True
+    mark = start[(own == _OTHER) & (stop - start == 1) & ~led & ~edge[stop]]
+    mark = mark[(data[mark] == 0x27) & (kind[np.minimum(mark + 1, n - 1)] == _LETTER)]
+    if len(mark):
+        first, second = data[mark + 1], data[np.minimum(mark + 2, n - 1)]
+        two = ~edge[mark + 2] & (((first == 0x72) | (first == 0x76)) & (second == 0x65) | (first == 0x6C) & (second == 0x6C))
+        one = np.isin(first, np.frombuffer(b"stmd", np.uint8))
+        for some, size in ((one, 1), (two & ~one, 2)):
+            at = mark[some]
+            begins[at + 1] = False
+            begins[at + 1 + size] = True
+    begins[n] = False
+    return np.flatnonzero(begins)
+
+
 class small_batches:  # noqa: N801
     """Documents may be long: keep Arrow batches to ``rows`` rows and 16 MB.
 
@@ -182,9 +241,12 @@ def _bucket(strings: pa.Array, n: int) -> np.ndarray:
 
 
 class _Block:
-    """The words of some documents: distinct ones in order of bucket, and their numbers by position."""
+    """The words of some documents: distinct ones in order of bucket, and their numbers by position.
 
-    def __init__(self, keys: list, sizes: list, values: list, n_buckets: int) -> None:
+    ``moves``: for each batch where its words stand among ``values``, if not in the order of its documents.
+    """
+
+    def __init__(self, keys: list, sizes: list, values: list, moves: list, n_buckets: int) -> None:
         self.keys, self.sizes = keys, np.concatenate(sizes) if sizes else np.empty(0, np.int32)
         coded = pa.chunked_array(values, pa.string()).combine_chunks().dictionary_encode()
         words = coded.dictionary
@@ -194,32 +256,89 @@ class _Block:
         number[order] = np.arange(len(order), dtype=np.int32)
         self.words, self.buckets = words.take(pa.array(order)), buckets[order]
         self.codes = number[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int32)
+        begin = 0
+        for own, move in zip(sizes, moves, strict=True):
+            end = begin + int(own.sum())
+            if move is not None:
+                self.codes[begin:end] = self.codes[begin:end][move]
+            begin = end
+
+
+def _list_sizes(lists: pa.Array) -> np.ndarray:
+    return np.diff(np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, lists.offset * 4))
+
+
+def _plain_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each plain text has, and all of them: one array over the bytes of the texts."""
+    offsets, data = _parts(texts)
+    data, ends = data[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
+    begins = split_plain(data, ends)
+    places = np.append(begins, len(data)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(begins), pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data)))
+    return np.diff(np.searchsorted(begins, ends)).astype(np.int32), words
+
+
+def _batch_words(batch: pa.RecordBatch, path: str) -> tuple[np.ndarray, list[pa.Array], np.ndarray | None]:
+    """How many words each document of a batch has, all words by the way they are split, and where those of the documents, in
+    their order, stand among them (None: in order)."""
+    kind = batch.column("kind").to_numpy()
+    sizes, values, rows = np.zeros(len(batch), np.int32), [], []
+    for k in np.unique(kind).tolist():
+        at = np.flatnonzero(kind == k)
+        own = batch if len(at) == len(batch) else batch.take(pa.array(at))
+        if k == PLAIN:
+            n, words = _plain_words(own.column("text"))
+        else:
+            lists = own.column("words")
+            if k == UNKNOWN:
+                split = Encoder.of(path).split
+                lists = pa.array([split(t) for t in own.column("text").to_pylist()], pa.list_(pa.string()))
+            n, words = _list_sizes(lists), lists.flatten()
+        sizes[at] = n
+        values.append(words)
+        rows.append(at)
+    if len(rows) < 2:
+        return sizes, values, None
+    dealt = np.concatenate(rows)
+    begin = np.empty(len(batch), np.int64)
+    begin[dealt] = np.concatenate([[0], np.cumsum(sizes[dealt], dtype=np.int64)[:-1]])
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return sizes, values, np.arange(int(ends[-1])) + np.repeat(begin - (ends - sizes), sizes)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path: str, n_buckets: int, block_words: int, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, _Block]]:
-    task, k, keys, sizes, values, held, n_bytes = TaskContext.get().partitionId(), 0, [], [], [], 0, 0
+    task, k, held, n_bytes = TaskContext.get().partitionId(), 0, 0, 0
+    keys, sizes, values, moves = [], [], [], []
     for batch in batches:
-        lists = batch.column("words")
-        if batch.column("text").null_count < len(batch):  # split these with the tokenizer
-            split, own = Encoder.of(path).split, batch.column("text").to_pylist()
-            lists = pa.array([w if t is None else split(t) for w, t in zip(lists.to_pylist(), own, strict=True)], pa.list_(pa.string()))
+        own, words, move = _batch_words(batch, path)
         keys.append(batch.column("key"))
-        sizes.append(np.diff(np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, lists.offset * 4)))
-        values.append(lists.flatten())
-        held += len(values[-1])
-        n_bytes += values[-1].nbytes
+        sizes.append(own)
+        values += words
+        moves.append(move)
+        held += int(own.sum())
+        n_bytes += batch.nbytes
         if held >= block_words or n_bytes >= block_bytes:
-            yield task << 32 | k, _Block(pa.chunked_array(keys), sizes, values, n_buckets)
-            k, keys, sizes, values, held, n_bytes = k + 1, [], [], [], 0, 0
+            yield task << 32 | k, _Block(pa.chunked_array(keys), sizes, values, moves, n_buckets)
+            k, held, n_bytes = k + 1, 0, 0
+            keys, sizes, values, moves = [], [], [], []
     if keys:
-        yield task << 32 | k, _Block(pa.chunked_array(keys), sizes, values, n_buckets)
+        yield task << 32 | k, _Block(pa.chunked_array(keys), sizes, values, moves, n_buckets)
+
+
+#: How a text is split: at byte classes, by the tokenizer, by Java.
+PLAIN, UNKNOWN, BY_JAVA = range(3)
 
 
 def _split(docs: DataFrame, key: str, vocabulary: Vocabulary) -> DataFrame:
-    text = text_or_empty()
-    unknown = text.rlike(r"\p{Cn}")
+    text = F.col("text")
+    plain = (F.octet_length(text) == F.length(text)) | ~text.rlike(_NOT_PLAIN)
+    for special in vocabulary.specials:
+        plain = plain & ~text.contains(special)
+    kind = F.when(plain, PLAIN).when(text.rlike(r"\p{Cn}"), UNKNOWN).otherwise(BY_JAVA)
+    rows = docs.select(F.col(key).alias("key"), text_or_empty().alias("text")).select("*", F.inline(F.array(F.struct(kind.alias("kind")))))
     found = F.regexp_extract_all(text, F.lit(vocabulary.java_words()), F.lit(0))
-    return docs.select(F.col(key).alias("key"), F.when(unknown, F.array().cast("array<string>")).otherwise(found).alias("words"), F.when(unknown, text).alias("text"))
+    by_java = F.col("kind") == BY_JAVA
+    return rows.select("key", "kind", F.when(by_java, found).otherwise(F.array().cast("array<string>")).alias("words"), F.when(by_java, "").otherwise(text).alias("text"))
 
 
 def encode(docs: DataFrame, key: str = "doc_id", path: str | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -87,7 +87,7 @@ def test_blocks_end_by_bytes():
             return 0
 
     texts = [["x" * 1000] for _ in range(50)]
-    batches = [pa.record_batch([pa.array([i]), pa.array([t], pa.list_(pa.string())), pa.array([None], pa.string())], ["key", "words", "text"]) for i, t in enumerate(texts)]
+    batches = [pa.record_batch([pa.array([i]), pa.array([bpe.BY_JAVA], pa.int32()), pa.array([t], pa.list_(pa.string())), pa.array([""])], ["key", "kind", "words", "text"]) for i, t in enumerate(texts)]
     before, bpe.TaskContext = bpe.TaskContext, Task
     try:
         blocks = list(bpe._blocks(iter(batches), "", 1, 1 << 21, 8000))
@@ -106,3 +106,28 @@ def test_long_words_and_deep_texts(spark):
     again = {r["doc_id"]: list(r["ids"]) for r in bpe.encode_in_place(docs, block_words=3).collect()}
     for i, t in enumerate(texts):
         assert got[i] == again[i] == plain.encode(t or "", add_special_tokens=False).ids
+
+
+def test_plain_split_equals_the_tokenizer():
+    split = bpe.Encoder.of(tokenizer_path()).split
+    letters = list("abstmdrevlLS  '' '9 0\n\t\r.,!-é×÷ÀſŁ«°“–") + ["'s", "'re", " 'll", "'ve ", "\x1c", "\x00", "\x7f", "  ", "\n\n", "it's", "\u205e"]
+    texts = ["", " ", "'", "'s", "a's", "a 's", "''s", "x'sy", "x'", "'r", "'re'", "a  b", "a \n b", "a\n", "  ", " é", "é's", "'é", "\n's", "×s"]
+    texts += ["".join(RNG.choice(letters, int(n))) for n in RNG.integers(0, 25, 4000)]
+    sizes, words = bpe._plain_words(pa.array(texts))
+    got, at = words.to_pylist(), 0
+    for t, n in zip(texts, sizes.tolist(), strict=True):
+        assert got[at : at + n] == split(t), t
+        at += n
+    assert at == len(got)
+
+
+def test_mixed_batches_keep_their_order(spark):
+    from tokenizers import Tokenizer
+
+    texts = [f"plain {i} text's é" if i % 3 else f"世界 {i} <|endoftext|> x" if i % 2 else f"a \u0378 {i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    plain = Tokenizer.from_file(tokenizer_path())
+    for encode in (bpe.encode, bpe.encode_in_place):
+        rows = [(r["doc_id"], list(r["ids"])) for r in encode(docs).collect()]
+        assert dict(rows) == {i: plain.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert [i for i, _ in rows] == list(range(60))
