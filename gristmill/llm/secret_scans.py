@@ -13,6 +13,7 @@ the end exclusive. Spans of one kind do not overlap, spans of different kinds ma
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +31,15 @@ class Kind:
     pattern: str
     group: int = 0
     least: int = 1
+    #: Strings of which every match holds one; the pattern runs only on texts that do. None where nothing is fixed.
+    gate: tuple[str, ...] = ()
 
 
 #: The base kinds, in their fixed order. A run of the class is one match, so a minimum length of the whole
 #: match may stand in the pattern itself: ``[0-9a-f]{24,}`` finds the runs of ``[0-9a-f]+`` with 24 or more.
 BASE_KINDS = (
     Kind("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Kind("access", r"AKIA[A-Z0-9]{16,}"),
+    Kind("access", r"AKIA[A-Z0-9]{16,}", gate=("AKIA",)),
     Kind("hex", r"[0-9a-f]{24,}"),
 )
 #: A private key: from its header to the next END line; where that is missing, over the base64 body, which ends
@@ -49,21 +52,21 @@ _PEM = (
 )
 #: What the rules add to the base.
 MORE_KINDS = (
-    Kind("pem", _PEM),
-    Kind("forge", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})"),
-    Kind("chat", r"xox[abeoprs]-[A-Za-z0-9-]{20,}"),
-    Kind("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Kind("userinfo", r"://[^\s:/@]{1,64}:[^\s:/@]{1,64}@"),
+    Kind("pem", _PEM, gate=("-----BEGIN ",)),
+    Kind("forge", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})", gate=("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-")),
+    Kind("chat", r"xox[abeoprs]-[A-Za-z0-9-]{20,}", gate=("xox",)),
+    Kind("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", gate=("eyJ",)),
+    Kind("userinfo", r"://[^\s:/@]{1,64}:[^\s:/@]{1,64}@", gate=("://",)),
     # the formats of functions/secrets.py that the kinds before do not hold; a longer token is taken whole
-    Kind("forge_fine", r"github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59,}"),
-    Kind("npm", r"npm_[A-Za-z0-9]{36,}"),
-    Kind("pypi", r"pypi-[A-Za-z0-9_-]{50,}"),
-    Kind("stripe", r"sk_(?:live|test)_[A-Za-z0-9]{24,}"),
-    Kind("google", r"AIza[0-9A-Za-z_-]{35,}"),
-    Kind("twilio", r"SK[0-9a-fA-F]{32,}"),
-    Kind("sendgrid", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43,}"),
-    Kind("docean", r"dop_v1_[a-f0-9]{64,}"),
-    Kind("doppler", r"dp\.pt\.[A-Za-z0-9]{43,}"),
+    Kind("forge_fine", r"github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59,}", gate=("github_pat_",)),
+    Kind("npm", r"npm_[A-Za-z0-9]{36,}", gate=("npm_",)),
+    Kind("pypi", r"pypi-[A-Za-z0-9_-]{50,}", gate=("pypi-",)),
+    Kind("stripe", r"sk_(?:live|test)_[A-Za-z0-9]{24,}", gate=("sk_live_", "sk_test_")),
+    Kind("google", r"AIza[0-9A-Za-z_-]{35,}", gate=("AIza",)),
+    Kind("twilio", r"SK[0-9a-fA-F]{32,}", gate=("SK",)),
+    Kind("sendgrid", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43,}", gate=("SG.",)),
+    Kind("docean", r"dop_v1_[a-f0-9]{64,}", gate=("dop_v1_",)),
+    Kind("doppler", r"dp\.pt\.[A-Za-z0-9]{43,}", gate=("dp.pt.",)),
     Kind("discord", r"[MN][A-Za-z0-9]{23,}\.[A-Za-z0-9_-]{6}\.[A-Za-z0-9_-]{27,}"),
     # a run of exactly 40: longer runs match as a whole, with an empty group
     Kind("aws_secret", r"[A-Za-z0-9/+=]{41,}|([A-Za-z0-9/+=]{40})", 1, 40),
@@ -86,7 +89,8 @@ def _pieces(kind: Kind, number: int) -> Column:
     zipped = F.arrays_zip(gaps.alias("gap"), lengths(0).alias("size"), lengths(kind.group).alias("measured"))
     as_rows = F.transform(zipped, lambda z: F.struct(z["gap"].alias("gap"), z["size"].alias("size"), z["measured"].alias("measured")))
     entry = F.struct(F.lit(number).alias("kind"), F.filter(as_rows, lambda z: z["size"].isNotNull()).alias("pieces"))
-    return F.when(text.rlike(kind.pattern), entry)
+    found = text.rlike(kind.pattern)
+    return F.when(reduce(lambda a, b: a | b, [text.contains(g) for g in kind.gate]) & found if kind.gate else found, entry)
 
 
 def scan(blobs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:

@@ -1,5 +1,6 @@
 """The quality classifier and the blocks of the tokenizer against plain versions."""
 
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -7,7 +8,8 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from gristmill.llm import bpe, quality_classifier as qc
+from gristmill.llm import bpe, secret_scans
+from gristmill.llm import quality_classifier as qc
 from gristmill.llm.common import tokenizer_path
 
 RNG = np.random.Generator(np.random.PCG64(30))
@@ -131,3 +133,12 @@ def test_mixed_batches_keep_their_order(spark):
         rows = [(r["doc_id"], list(r["ids"])) for r in encode(docs).collect()]
         assert dict(rows) == {i: plain.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
     assert [i for i, _ in rows] == list(range(60))
+
+
+def test_gates_are_in_every_match():
+    own = {"access": ["AKIA" + "Q" * 16], "pem": ["-----BEGIN RSA PRIVATE KEY-----"], "forge": [f"gh{c}_" + "a" * 36 for c in "pousr"] + ["glpat-" + "a" * 20], "chat": [f"xox{c}-" + "1" * 20 for c in "abeoprs"], "jwt": ["eyJ" + "a" * 10 + (".b" + "c" * 9) * 2], "userinfo": ["://a:b@"], "forge_fine": ["github" + "_pat_" + "a" * 22 + "_" + "b" * 59], "npm": ["npm_" + "a" * 36], "pypi": ["pypi-" + "a" * 50], "stripe": ["sk_" + k + "_" + "a" * 24 for k in ("live", "test")], "google": ["AIza" + "a" * 35], "twilio": ["SK" + "a" * 32], "sendgrid": ["SG." + "a" * 22 + "." + "b" * 43], "docean": ["dop_v1_" + "a" * 64], "doppler": ["dp.pt." + "a" * 43]}
+    for kind in secret_scans.KINDS:
+        assert bool(kind.gate) == (kind.name in own)
+        for text in own.get(kind.name, []):
+            assert re.search(kind.pattern, text) and any(g in text for g in kind.gate), (kind.name, text)
+            assert len({g for t in own[kind.name] for g in kind.gate if g in t}) == len(kind.gate)
