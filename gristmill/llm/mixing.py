@@ -10,13 +10,16 @@ Defined results: sizes count words, a null text has none; sources are ordered by
 targets are shares of all sizes by weight, at most ``MAX_EPOCHS`` times the source's size, what is over goes to the
 others by weight; an empty source has target 0; repeated rows (same key and size) are taken together; an empty table
 gives an empty result; the columns of the input pass under any names, the shard is ``m_shard`` or, where that is taken, that
-with an underscore before it. Only one row per source and per shard and
-source reaches the driver; blocks per source are bounded by ``MAX_BLOCKS``.
+with an underscore before it. Only one row per source reaches the driver; blocks per source are bounded by
+``MAX_BLOCKS``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,22 +62,39 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return each.select("m_source", "m_source_size", "m_docs", F.greatest(blocks, F.lit(1)).alias("m_blocks"), F.col("m_target"))
 
 
-def splitting_tree(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
-    """Quotas (sources) split exactly into (shards, sources): equal numbers of draws per shard, up to one."""
-    out = np.zeros((shards, len(quotas)), np.int64)
+def splitting_tree(quotas: np.ndarray, shards: int, first: int = 0, stop: int | None = None, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, first draw, number of draws by source) of the shards from ``first`` on: quotas are split exactly, equal numbers of
+    draws per shard, up to one.
 
-    def split(own: np.ndarray, low: int, high: int) -> None:
+    Every node has a generator of its own, so a task walks only the nodes above its shards and agrees with all others.
+    """
+    stop = shards if stop is None else stop
+    nodes = [(0, shards, np.zeros(len(quotas), np.int64), np.asarray(quotas, np.int64))]
+    while nodes:
+        low, high, start, own = nodes.pop()
+        if high <= first or low >= stop:
+            continue
         if high - low == 1:
-            out[low] = own
-            return
+            yield low, start, own
+            continue
         mid, total = (low + high) // 2, int(own.sum())
         rng = np.random.Generator(np.random.PCG64([seed, low, high]))
         some = rng.multivariate_hypergeometric(own, total * (mid - low) // (high - low), method="marginals") if total else own
-        split(some, low, mid)
-        split(own - some, mid, high)
+        nodes += [(mid, high, start + some, own - some), (low, mid, start, some)]
+
+
+def shares(spark: SparkSession, quotas: list[tuple[str, int]], shards: int) -> DataFrame:
+    """(m_source, shard, first, n): what each shard takes of each source's sequence; the tree is walked in tasks."""
+    names, counts = [s for s, _ in quotas], np.array([n for _, n in quotas], np.int64)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # of neighbouring shards
+            own = batch.column("shard").to_numpy()
+            rows = [(names[k], shard, int(start[k]), int(n[k])) for shard, start, n in splitting_tree(counts, shards, int(own[0]), int(own[-1]) + 1) for k in np.flatnonzero(n).tolist()] if len(own) else []
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["m_source", "shard", "first", "n"])
 
-    split(np.asarray(quotas, np.int64), 0, shards)
-    return out
+    return spark.range(shards).withColumnRenamed("id", "shard").mapInArrow(walk, "m_source string, shard int, first long, n long")
 
 
 def _block(df: DataFrame) -> Column:
@@ -99,11 +119,7 @@ def plan(sizes: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, D
 
     quotas = sorted((r["m_source"], r["n"]) for r in draws.groupBy("m_source").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per source
     shards = max(1, -(-sum(n for _, n in quotas) // DRAWS_PER_SHARD))
-    counts = splitting_tree(np.array([n for _, n in quotas], np.int64), shards)
-    starts = np.cumsum(counts, axis=0) - counts
-    rows = [(s, k, int(starts[k, i]), int(counts[k, i])) for i, (s, _) in enumerate(quotas) for k in np.flatnonzero(counts[:, i]).tolist()]
-    shares = spark.createDataFrame(rows, "m_source string, shard int, first long, n long")
-    dealt = shares.select("m_source", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("draw"))
+    dealt = shares(spark, quotas, shards).select("m_source", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("draw"))
     by_block = draws.join(dealt, ["m_source", "draw"]).groupBy("m_source", "m_block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "gap"))).alias("m_draws"))
     by_block = stored(by_block, "by_block")
 

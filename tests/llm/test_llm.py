@@ -321,8 +321,19 @@ def test_mixing(spark, docs, none):
 
 def test_splitting_tree():
     quotas = np.array([1000, 10, 0, 333])
-    out = mixing.splitting_tree(quotas, 7)
-    assert (out.sum(axis=0) == quotas).all() and out.sum(axis=1).max() - out.sum(axis=1).min() <= 3 and (out == mixing.splitting_tree(quotas, 7)).all()
+    tree = lambda *some: np.array([n for _, _, n in mixing.splitting_tree(quotas, 7, *some)])
+    out = tree()
+    assert (out.sum(axis=0) == quotas).all() and out.sum(axis=1).max() - out.sum(axis=1).min() <= 3 and (out == tree()).all()
+    assert (np.vstack([tree(0, 3), tree(3, 4), tree(4, 7)]) == out).all()  # tasks walk their own part
+    assert ([start.tolist() for _, start, _ in mixing.splitting_tree(quotas, 7)] == (np.cumsum(out, axis=0) - out)).all()
+
+
+def test_shares_come_from_tasks(spark):
+    rows = mixing.shares(spark, [("=a", 1000), ("=b", 0), ("=c", 77)], 20).collect()
+    for name, total in (("=a", 1000), ("=b", 0), ("=c", 77)):
+        own = sorted((r["first"], r["n"]) for r in rows if r["m_source"] == name)
+        assert sum(n for _, n in own) == total and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False))
+    assert mixing.shares(spark, [], 1).count() == 0
 
 
 def jaccard(rows, threshold=0.8):
