@@ -58,29 +58,32 @@ def url_filters() -> str:
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN {q(r.text)}" for r in ranked) + " END"
     said = "CASE " + " ".join(f"WHEN {fits(r)} THEN {q(r.verdict)}" for r in ranked) + " END"
     general = "CASE WHEN regexp_matches(s, '^[0-9a-f-]{12,}$') AND regexp_matches(s, '[0-9]') THEN '<x>' ELSE regexp_replace(s, '[0-9]+', '<n>', 'g') END"
+    bins = [f"k_{k}" for k in uf.CHILD_KINDS]
+    kind = "CASE WHEN child IS NULL THEN 'end' " + " ".join(f"WHEN regexp_matches(child, {q(p)}) THEN '{k}'" for k, p in uf.CHILD_KINDS.items() if p is not None) + " END"
+    first = lambda c: f"first({c}) OVER (PARTITION BY host, template, list_position([{', '.join(bins)}], greatest({', '.join(bins)})) ORDER BY labels DESC, support DESC, segment) AS a_{c}"
+    chi = "0.0 + " + " + ".join(f"CASE WHEN {k} + a_{k} > 0 THEN (sqrt(a_support / support) * {k} - sqrt(support / a_support) * a_{k}) ** 2 / ({k} + a_{k}) ELSE 0.0 END" for k in bins)
+    freedom = "-1 + " + " + ".join(f"CASE WHEN {k} + a_{k} > 0 THEN 1 ELSE 0 END" for k in bins)
+    pooled = "((b + a_b) / (labels + a_labels))"
+    rates = f"CASE WHEN labels > 0 AND a_labels > 0 THEN abs(b / labels - a_b / a_labels) <= {uf.Z} * sqrt({pooled} * (1 - {pooled}) * (1 / labels + 1 / a_labels)) ELSE true END"
     steps = []
     for k in range(SQL_DEPTH):
-        deep, at = f"len(shape) > {k}", f"shape[{k + 1}]"
-        window = lambda by, n="n": f"sum({n}) FILTER ({deep}) OVER (PARTITION BY {by})"  # noqa: B023, E731
-        steps.append(f"t{k + 1} AS (SELECT * EXCLUDE (template, support, total, labels), CASE WHEN {deep} THEN template || '/' || CASE WHEN support >= {uf.MIN_SUPPORT} AND (support >= {uf.MIN_SHARE} * total OR labels >= {uf.MIN_LABELLED}) THEN {at} ELSE '{uf.WILD}' END ELSE template END AS template FROM (SELECT *, {window(f'host, template, {at}')} AS support, {window('host, template')} AS total, {window(f'host, template, {at}', 'b + a')} AS labels FROM t{k}))")
-    order = "PARTITION BY host, parent, labelled > 0 ORDER BY rate, template"
-    lag = lambda c: f"lag({c}) OVER ({order})"
+        steps.append(f"""d{k} AS (SELECT host, template, shape[{k + 1}] AS segment, shape[{k + 2}] AS child, n, b, a, sum(n) OVER (PARTITION BY host, template) AS total FROM t{k} WHERE len(shape) > {k}),
+        b{k} AS (SELECT host, template, segment, sum(n) AS support, sum(b) AS b, sum(b + a) AS labels, {", ".join(f"sum(CASE WHEN kind = '{c}' THEN n ELSE 0 END) AS k_{c}" for c in uf.CHILD_KINDS)} FROM (SELECT *, {kind} AS kind FROM d{k} WHERE total >= {uf.MIN_SUPPORT}) GROUP BY host, template, segment, total
+            HAVING sum(n) >= {uf.MIN_SHARE} * total AND (sum(n) >= {uf.MIN_SUPPORT} OR sum(b + a) >= {uf.MIN_LABELLED})),
+        m{k} AS (SELECT host, template, segment, CASE WHEN ({chi}) <= ({freedom}) + {uf.Z} * sqrt(2.0 * ({freedom})) AND {rates} THEN a_segment ELSE segment END AS into_ FROM (SELECT *, {", ".join(map(first, ("segment", "support", "labels", "b", *bins)))} FROM b{k})),
+        c{k} AS (SELECT host, template, segment, CASE WHEN count(*) OVER (PARTITION BY host, template, into_) > 1 THEN '{uf.MERGED}' || into_ ELSE segment END AS name FROM m{k}),
+        t{k + 1} AS (SELECT t.host, t.shape, t.n, t.b, t.a, CASE WHEN len(t.shape) > {k} THEN t.template || '/' || coalesce(c.name, '{uf.WILD}') ELSE t.template END AS template FROM t{k} t LEFT JOIN c{k} c ON t.host = c.host AND t.template = c.template AND t.shape[{k + 1}] = c.segment)""")
     smooth = lambda b, n, towards: f"(({b}) + {uf.PRIOR_WEIGHT} * {towards}) / (({n}) + {uf.PRIOR_WEIGHT})"
+    host = lambda c: f"sum({c}) OVER (PARTITION BY host)"
     return f"""WITH u AS (SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
     h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{uf._UPPER}', '{uf._LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
     p AS (SELECT page_id, host, path, {rule} AS rule, {said} AS said, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM h),
     r AS (SELECT *, list_transform(parts, lambda s: {general}) AS shape FROM p),
     t0 AS (SELECT host, shape, count(*) AS n, count(*) FILTER (said = 'block') AS b, count(*) FILTER (said = 'allow') AS a, '' AS template FROM r GROUP BY host, shape), {", ".join(steps)},
-    g AS (SELECT *, regexp_replace(template, '/[^/]*$', '') AS parent, b + a AS labelled, CASE WHEN b + a > 0 THEN b / (b + a) END AS rate FROM (SELECT host, template, sum(b) AS b, sum(a) AS a FROM t{SQL_DEPTH} GROUP BY host, template)),
+    g AS (SELECT host, template, sum(b) AS b, sum(b + a) AS labelled FROM t{SQL_DEPTH} GROUP BY host, template),
     prior AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(b) / sum(labelled) ELSE 0.0 END AS p FROM g),
-    z0 AS (SELECT *, {lag("b")} AS pb, {lag("labelled")} AS pl, {lag("rate")} AS pr FROM g),
-    z1 AS (SELECT *, CASE WHEN labelled = 0 OR pl IS NULL OR rate - pr > {uf.Z} * sqrt((b + pb) / (labelled + pl) * (1 - (b + pb) / (labelled + pl)) * (1 / labelled + 1 / pl)) THEN 1 ELSE 0 END AS apart FROM z0),
-    z2 AS (SELECT *, sum(apart) OVER ({order}) AS branch FROM z1),
-    z3 AS (SELECT host, template, parent, CASE WHEN regexp_matches(host, '[^.]+[.][^.]+$') THEN regexp_extract(host, '[^.]+[.][^.]+$') ELSE host END AS domain, b, labelled, sum(b) OVER w AS wb, sum(labelled) OVER w AS wl FROM z2 WINDOW w AS (PARTITION BY host, parent, labelled > 0, branch)),
-    z4 AS (SELECT *, {smooth("sum(b) OVER (PARTITION BY domain)", "sum(labelled) OVER (PARTITION BY domain)", "p")} AS pd, sum(labelled) OVER (PARTITION BY domain) AS nd FROM z3, prior),
-    z5 AS (SELECT *, {smooth("sum(b) OVER (PARTITION BY host)", "sum(labelled) OVER (PARTITION BY host)", "pd")} AS ph FROM z4),
-    z6 AS (SELECT *, {smooth("sum(b) OVER (PARTITION BY host, parent)", "sum(labelled) OVER (PARTITION BY host, parent)", "ph")} AS pp FROM z5),
-    z AS (SELECT host, template, {smooth("wb", "wl", "pp")} AS purity, nd >= {uf.MIN_LABELLED} AND {smooth("wb", "wl", "pp")} >= {uf.MIN_PURITY} AS rejected FROM z6)
+    z0 AS (SELECT *, {smooth(host("b"), host("labelled"), "p")} AS ph FROM g, prior),
+    z AS (SELECT host, template, {smooth("b", "labelled", "ph")} AS purity, labelled >= {uf.MIN_LABELLED} AND {smooth("b", "labelled", "ph")} >= {uf.MIN_PURITY} AS rejected FROM z0)
     SELECT page_id, host, path, rule, coalesce(said, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6)::DOUBLE AS purity FROM r LEFT JOIN t{SQL_DEPTH} USING (host, shape) LEFT JOIN z USING (host, template)"""
 
 

@@ -1,17 +1,20 @@
 """URL filters by a path-template tree, in DataFrame expressions only.
 
-Rules judge first (the longest that fits). Urls judged by a rule are the labels of the tree: per host, paths
-become templates level by level; a segment stays literal where its branch has enough support, else it becomes a
-wildcard; sibling branches whose block rates do not differ significantly are merged; a template is rejected if its purity,
-the smoothed block rate of its labels, reaches a bound. The purity of a branch is smoothed towards that of all branches of
-its parent, this towards the host's, the host's towards its domain's (the last two labels of the name) and the domain's towards
-that of all labels, so a branch with few labels or none follows the next level that has some. Urls without a rule take
-the verdict of their template.
-
-All of the tree is built from one row per (host, shape of the path), counted before anything is shuffled.
+Rules judge first (the longest that fits). Urls judged by a rule are the labels of the tree. Per host, paths become templates
+from the root on. At each node of the tree a segment stays literal where its branch has enough urls or labels and a share of the
+node (``MIN_SHARE``, so at most 100 branches a node), else it becomes a wildcard. Literal branches of a node are merged where they are
+statistically similar: each is compared with the branch of most labels among those whose next segments are mostly of
+the same kind, by a chi-square test of the kinds of next segments (``CHILD_KINDS``) and, where both have labels, by a test of their block
+rates. Merged branches are one branch from there on, named ``~`` and the branch compared with, so labels flow inside
+merged branches only. A template is rejected if it holds ``MIN_LABELLED`` labels and their block rate, smoothed towards the
+host's and this towards that of all labels, reaches ``MIN_PURITY``. Urls without a rule take the verdict of their template; a template
+without labels of its own allows.
+
+All of the tree is built from one row per (host, shape of the path), counted before anything is shuffled. Segments that all paths of
+a node share are taken in one step, so the number of steps grows with the forks of a path, not with its length.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is judged like any other; a
-template of a domain without enough labels allows; paths of any depth are followed as long as a node has enough urls; repeated rows each get their row; an empty table gives an empty result; only
+segment of a url that reads like a wildcard or a merged branch (``*``, ``~x``) counts with it; paths of any depth are followed as long as a node has enough urls; repeated rows each get their row; an empty table gives an empty result; only
 ``page_id`` and ``url`` are read. The path may hold any characters, line ends included.
 """
 
@@ -48,7 +51,10 @@ RULES = (
 WILD = "*"
 MIN_SUPPORT, MIN_SHARE = 20, 0.01
 Z = 1.96
-PRIOR_WEIGHT, MIN_LABELLED, MIN_PURITY = 10.0, 20, 0.9
+PRIOR_WEIGHT, MIN_LABELLED, MIN_PURITY = 10.0, 5, 0.9
+MERGED = "~"
+#: Kinds of a segment, the first that fits; a path that ends is the first kind.
+CHILD_KINDS = {"end": None, "number": "^<n>$", "code": "^<x>$", "file": "[.]", "mixed": "<n>", "word": ""}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,28 +86,60 @@ def shape(path: Column) -> Column:
     return F.transform(parts, lambda s: F.when(s.rlike("^(?=.*[0-9])[0-9a-f-]{12,}$"), F.lit("<x>")).otherwise(F.regexp_replace(s, "[0-9]+", "<n>")))
 
 
+def _merged(branches: DataFrame) -> DataFrame:
+    """(host, template, segment, name) of literal branches; similar branches of a node share their name."""
+    bins = [f"k_{k}" for k in CHILD_KINDS]
+    main = F.array_position(F.array(*bins), F.greatest(*bins))
+    most = Window.partitionBy("host", "template", "main").orderBy(F.desc("labels"), F.desc("support"), "segment")
+    df = branches.withColumn("main", main)
+    df = df.select("*", *[F.first(c).over(most).alias(f"a_{c}") for c in ("segment", "support", "labels", "n_block", *bins)])
+    up, down = F.sqrt(F.col("a_support") / F.col("support")), F.sqrt(F.col("support") / F.col("a_support"))
+    chi, freedom = F.lit(0.0), F.lit(-1)
+    for k in bins:
+        both = F.col(k) + F.col(f"a_{k}")
+        gap = up * F.col(k) - down * F.col(f"a_{k}")
+        chi, freedom = chi + F.when(both > 0, gap * gap / both).otherwise(0.0), freedom + F.when(both > 0, 1).otherwise(0)
+    alike = chi <= freedom + Z * F.sqrt(2.0 * freedom)
+    pooled = (F.col("n_block") + F.col("a_n_block")) / (F.col("labels") + F.col("a_labels"))
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labels") + 1 / F.col("a_labels")))
+    gap = F.abs(F.col("n_block") / F.col("labels") - F.col("a_n_block") / F.col("a_labels"))
+    rates = F.when((F.col("labels") > 0) & (F.col("a_labels") > 0), gap <= Z * spread).otherwise(True)
+    df = df.withColumn("into", F.when(alike & rates, F.col("a_segment")).otherwise(F.col("segment")))
+    size = F.count(F.lit(1)).over(Window.partitionBy("host", "template", "into"))
+    return df.select("host", "template", "segment", F.when(size > 1, F.concat(F.lit(MERGED), "into")).otherwise(F.col("segment")).alias("name"))
+
+
 def templates(shapes: DataFrame) -> DataFrame:
-    """``shapes`` (host, shape, n, n_block, n_allow) with ``template``, the shape after statistical generalisation.
+    """``shapes`` (host, shape, n, n_block, n_allow) with ``template``, the shape after generalisation and merging.
 
-    A segment stays literal if its branch has enough urls and either a share of its node or labels of its own. A level
-    is added as long as a node has enough urls to keep a literal below it; where it has not, the rest is wildcards.
+    A segment is added as long as a node has enough urls to keep a literal below it; where it has not, the rest is wildcards.
     """
-    tree, done, level = shapes.withColumn("template", F.lit("")), [], 0
+    tree, done, step = shapes.select("*", F.lit("").alias("template"), F.lit(0).alias("at")), [], 0
     while True:
-        segment, left = F.get("shape", F.lit(level)), F.size("shape") - level
-        nodes = tree.groupBy("host", "template").agg(F.sum(F.when(left > 0, F.col("n")).otherwise(0)).alias("total"))
-        placed = stored(tree.join(nodes, ["host", "template"]).withColumn("segment", segment), f"level{level}")
+        left = F.size("shape") - F.col("at")
+        deeper = tree.filter(left > 0).withColumn("rest", F.expr("slice(shape, at + 1, size(shape) - at)"))
+        # what the least and the greatest list share, all between them share
+        nodes = deeper.groupBy("host", "template").agg(F.sum("n").alias("total"), F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        same = F.expr("zip_with(slice(lo, 1, least(size(lo), size(hi))), slice(hi, 1, least(size(lo), size(hi))), (a, b) -> a = b)")
+        shared = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int")
+        nodes = nodes.select("host", "template", "total", shared.alias("shared"))
+        placed = stored(tree.join(nodes, ["host", "template"], "left"), f"step{step}")
         ends = (left <= 0) | (F.col("total") < MIN_SUPPORT)
         done.append(placed.filter(ends).withColumn("template", F.concat("template", F.repeat(F.lit(f"/{WILD}"), F.greatest(left, F.lit(0))))).select(*shapes.columns, "template"))
-        deep = placed.filter(~ends)
+        deep = placed.filter(~ends).withColumn("segment", F.when(F.col("shared") == 0, F.get("shape", F.col("at")))).withColumn("child", F.get("shape", F.col("at") + 1))
         if deep.isEmpty():
             break
-        branches = deep.groupBy("host", "template", "segment").agg(F.sum("n").alias("support"), F.sum(F.col("n_block") + F.col("n_allow")).alias("labels"), F.first("total").alias("all"))
-        kept = (F.col("support") >= MIN_SUPPORT) & ((F.col("support") >= MIN_SHARE * F.col("all")) | (F.col("labels") >= MIN_LABELLED))
-        literal = branches.filter(kept).select("host", "template", "segment", F.lit(True).alias("literal"))
-        longer = F.concat("template", F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise(WILD))
-        tree = deep.join(literal, ["host", "template", "segment"], "left").withColumn("template", longer).select(*shapes.columns, "template")
-        level += 1
+        kind = F.when(F.col("child").isNull(), F.lit("end"))
+        for k, pattern in CHILD_KINDS.items():
+            kind = kind if pattern is None else kind.when(F.col("child").rlike(pattern), k)
+        forks = deep.filter("shared = 0").withColumn("kind", kind)
+        bins = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"k_{k}") for k in CHILD_KINDS]
+        branches = forks.groupBy("host", "template", "segment").agg(F.sum("n").alias("support"), F.sum("n_block").alias("n_block"), F.sum(F.col("n_block") + F.col("n_allow")).alias("labels"), F.first("total").alias("all"), *bins)
+        kept = (F.col("support") >= MIN_SHARE * F.col("all")) & ((F.col("support") >= MIN_SUPPORT) | (F.col("labels") >= MIN_LABELLED))
+        named = _merged(branches.filter(kept))
+        added = F.when(F.col("shared") > 0, F.array_join(F.expr("slice(shape, at + 1, shared)"), "/")).otherwise(F.coalesce("name", F.lit(WILD)))
+        tree = deep.join(named, ["host", "template", "segment"], "left").select(*shapes.columns, F.concat("template", F.lit("/"), added).alias("template"), (F.col("at") + F.greatest("shared", F.lit(1))).alias("at"))
+        step += 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -109,30 +147,15 @@ def templates(shapes: DataFrame) -> DataFrame:
 
 
 def verdicts(tree: DataFrame) -> DataFrame:
-    """(host, template, purity, rejected) after merging similar siblings; siblings are the templates of a host with one parent."""
-    each = tree.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "n_block", "n_allow")])
-    domain = F.regexp_extract("host", r"[^.]+\.[^.]+$", 0)
-    each = each.withColumn("domain", F.when(domain != "", domain).otherwise(F.col("host")))
-    each = stored(each.withColumn("labelled", F.col("n_block") + F.col("n_allow")).withColumn("parent", F.regexp_replace("template", "/[^/]*$", "")), "templates")
-    counts = lambda by, c: each.groupBy(*by).agg(F.sum("n_block").alias(f"b_{c}"), F.sum("labelled").alias(f"n_{c}"))
-    seen = each.agg(F.sum("n_block").alias("b"), F.sum("labelled").alias("l")).first()  # one row
+    """(host, template, purity, rejected): the labelled block rate of each template, smoothed."""
+    each = tree.groupBy("host", "template").agg(F.sum("n_block").alias("b"), F.sum(F.col("n_block") + F.col("n_allow")).alias("l"))
+    each = stored(each, "templates")
+    seen = each.agg(F.sum("b").alias("b"), F.sum("l").alias("l")).first()  # one row
     prior = (seen["b"] or 0) / seen["l"] if seen["l"] else 0.0
-    rated = each.withColumn("rate", F.when(F.col("labelled") > 0, F.col("n_block") / F.col("labelled")))
-    order = Window.partitionBy("host", "parent", F.col("labelled") > 0).orderBy("rate", "template")
-    before = lambda c: F.lag(c).over(order)
-    pooled = (F.col("n_block") + before("n_block")) / (F.col("labelled") + before("labelled"))
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / before("labelled")))
-    apart = (F.col("labelled") == 0) | before("labelled").isNull() | (F.col("rate") - before("rate") > Z * spread)
-    rated = rated.withColumn("apart", F.when(apart, 1).otherwise(0))
-    rated = rated.withColumn("branch", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("host", "parent", F.col("labelled") > 0, "branch")
-    rated = rated.withColumn("b_own", F.sum("n_block").over(whole)).withColumn("n_own", F.sum("labelled").over(whole))
-    rated = rated.join(counts(["host", "parent"], "parent"), ["host", "parent"]).join(counts(["host"], "host"), ["host"]).join(counts(["domain"], "domain"), ["domain"])
-    purity = F.lit(prior)
-    for c in ("domain", "host", "parent", "own"):
-        rated = rated.withColumn(f"p_{c}", (F.col(f"b_{c}") + PRIOR_WEIGHT * purity) / (F.col(f"n_{c}") + PRIOR_WEIGHT))
-        purity = F.col(f"p_{c}")
-    return rated.select("host", "template", purity.alias("purity"), ((F.col("n_domain") >= MIN_LABELLED) & (purity >= MIN_PURITY)).alias("rejected"))
+    smooth = lambda b, n, towards: (F.col(b) + PRIOR_WEIGHT * towards) / (F.col(n) + PRIOR_WEIGHT)
+    hosts = each.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("l").alias("hl"))
+    purity = smooth("b", "l", smooth("hb", "hl", F.lit(prior)))
+    return each.join(hosts, "host").select("host", "template", purity.alias("purity"), ((F.col("l") >= MIN_LABELLED) & (purity >= MIN_PURITY)).alias("rejected"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
