@@ -5,8 +5,9 @@ shifted, and ordered along a Hilbert curve; Spark sorts several such orderings b
 curve form a block; a query is compared exactly with its own block and the two beside it, and the finds of all
 orderings merge. Orderings are added until the recall that a bounded sample of queries shows against brute
 force over all vectors reaches ``RECALL``. Where it does not before the orderings have shown each query ``EXACT_AT``
-times as many places as there are points, or ``MOST`` orderings are done, the whole query set is compared with all
-points in blocks, so that the target holds for any data.
+times as many places as there are points, or ``MOST`` orderings are done, the whole query set is compared with the
+points in tiles, so that the target holds for any data. There a query goes only to bands of length whose longest vector could
+still beat the last of its best finds, and a tile gives only what does beat it, so what the curves found keeps the results of tiles few.
 
 Vectors are lifted and ordered by bands of their length (a factor of two each); a query looks into every band, so that a few very
 long vectors do not crowd all others into a corner of the grid.
@@ -38,8 +39,10 @@ ORDERINGS, MORE, MOST = 16, 8, 256
 RECALL, SAMPLE = 0.95, 64
 #: Places shown to a query, as a multiple of all points, from which on comparing it with all of them costs less.
 EXACT_AT = 4
-#: Queries and points of one task of the exact comparison.
-EXACT_QUERIES, EXACT_POINTS = 2048, 1 << 15
+#: Numbers that each side of a tile of the exact comparison holds (32,768 vectors of 64 numbers), and the fewest vectors.
+EXACT_VALUES, EXACT_LEAST = 1 << 21, 256
+#: Part by which a sum of products may differ from another order of summing.
+ROUNDING = 1e-9
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -141,10 +144,14 @@ def _rerank(k: int):  # noqa: ANN202
         kind = (queries if len(queries) else candidates).column("point").type
         qv, cv = _matrix(queries.column("v").combine_chunks()), _matrix(candidates.column("v").combine_chunks())
         low, asked, taken, values = candidates.column("low").to_numpy(), [], [], []
+        # what a query must at least reach to be of use
+        floor = queries.column("floor").to_numpy() if "floor" in queries.column_names else np.full(len(qv), -np.inf)
         for i in range(0, len(qv) if len(cv) else 0, 256):
             for r, row in enumerate(qv[i : i + 256] @ cv.T, i):
-                least = np.partition(row, -k - 1)[-k - 1] if len(row) > k + 1 else -np.inf
-                some = np.flatnonzero(row >= least)
+                some = np.flatnonzero(row >= floor[r])
+                if len(some) > k + 1:
+                    part = row[some]
+                    some = some[part >= np.partition(part, -k - 1)[-k - 1]]
                 some = some[np.lexsort((low[some], -row[some]))][: k + 1]
                 asked.append(np.full(len(some), r))
                 taken.append(some)
@@ -201,16 +208,26 @@ def brute_force(pts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return _best(pts.select("point", "v", "dims").mapInArrow(scan, f"q {point}, c {point}, score double"), k)
 
 
-def exact_search(pts: DataFrame, n_points: int, k: int) -> DataFrame:
-    """(q, c, score): the k + 1 best of each chunk of points for every query; queries and points meet in blocks of bounded size."""
+def exact_search(pts: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """(q, c, score): of all points, those that belong before the last of a query's k + 1 best finds so far, or beside it.
+
+    Queries and points meet in tiles, whose sides are bounded by ``EXACT_VALUES`` numbers. A query of fewer finds takes all.
+    """
     point = pts.schema["point"].dataType.simpleString()
-    n_queries = pts.filter("is_query").count()
-    groups, chunks = max(1, -(-n_queries // EXACT_QUERIES)), max(1, -(-n_points // EXACT_POINTS))
-    dealt = lambda n: F.pmod(F.xxhash64("point"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = pts.filter("is_query").select("dims", dealt(groups).alias("g"), every(chunks).alias("chunk"), "point", "v")
-    candidates = pts.select("dims", every(groups).alias("g"), dealt(chunks).alias("chunk"), "point", "v", F.col("point.low").alias("low"))
-    by = ["dims", "g", "chunk"]
+    sides = pts.agg(F.max("dims").alias("dims"), F.count(F.when(F.col("is_query"), 1)).alias("queries")).first()  # one row
+    side = max(EXACT_LEAST, EXACT_VALUES // (sides["dims"] or 1))
+    groups = max(1, -(-sides["queries"] // side))
+    tiles = pts.groupBy("band").agg(F.max("norm2").alias("top"), F.ceil(F.count(F.lit(1)) / side).cast("int").alias("tiles"))
+    bands = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("band", "top", "tiles")]) for r in tiles.collect()])  # a row per power of two: some 2,000 at most
+    dealt = lambda n: F.pmod(F.xxhash64("point"), n).cast("int")
+    last = best.groupBy("q").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("least"))
+    floor = F.when(F.col("found") > k, F.col("least") - F.abs("least") * ROUNDING)
+    queries = pts.filter("is_query").drop("band").join(last, F.col("point") == F.col("q"), "left").withColumn("floor", F.coalesce(floor, F.lit(float("-inf"))))
+    # the longest of a band gives no more than the product of lengths
+    reached = F.filter(bands, lambda b: F.sqrt("norm2") * F.sqrt(b["top"]) * (1 + ROUNDING) >= F.col("floor"))
+    queries = queries.select("*", F.inline(reached)).select("dims", "band", dealt(F.lit(groups)).alias("g"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "point", "v", "floor")
+    candidates = pts.join(F.broadcast(tiles.drop("top")), "band").select("dims", "band", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), dealt(F.col("tiles")).alias("tile"), "point", "v", F.col("point.low").alias("low"))
+    by = ["dims", "band", "g", "tile"]
     return queries.groupBy(*by).cogroup(candidates.toDF(*candidates.columns).groupBy(*by)).applyInArrow(_rerank(k), f"q {point}, c {point}, score double")
 
 
@@ -234,7 +251,8 @@ def nearest(vectors: DataFrame, every: int, k: int = K, id_col: str = "vec_id",
         if hit >= recall * wanted:
             break
         if done >= most or done * 3 * block >= EXACT_AT * n_points:
-            best = stored(_best(exact_search(pts, n_points, k).unionByName(best), k), "best")
+            with small_batches(spark, 2000):
+                best = stored(_best(exact_search(pts, best, k).unionByName(best), k), "best")
             break
     members = pts.select(F.col("point").alias("c"), "ids")
     each = best.join(members, "c").select("q", "score", F.explode("ids").alias("id"))

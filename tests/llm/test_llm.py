@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gristmill.llm import bpe, mixing, nearest, ngram_join, quality_classifier, quality_rules, secret_scans, suffix_dedup, token_planes, url_filters
 from gristmill.llm.common import stored as common_stored
@@ -507,6 +508,31 @@ def test_nearest_with_some_very_long_vectors(spark, most):
     assert got == want if most == 1 else hits >= 0.9 * 5 * len(want)  # beyond the bound of orderings the search is exact
 
 
+@pytest.mark.parametrize("found", [0, 3, 6])
+def test_exact_tiles_give_what_beats_the_finds(spark, monkeypatch, found):
+    """All pairs that beat the finds so far, and of those beside them few others; bands of length that cannot are left out."""
+    monkeypatch.setattr(nearest, "EXACT_VALUES", 8 * 70)
+    monkeypatch.setattr(nearest, "EXACT_LEAST", 50)
+    rng, k = np.random.Generator(np.random.PCG64(8)), 5
+    x = rng.normal(size=(600, 8))
+    x[:100] *= 1e-4
+    x[100:130] *= 50
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    pts = nearest.stored(nearest.points(nearest.usable(frame), 7, k), "points")
+    scores = nearest.stored(nearest.brute_force(pts, pts.filter("is_query"), k), "truth")
+    ranked = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    so_far = scores.withColumn("at", F.row_number().over(ranked)).filter(F.col("at") <= found).drop("at")
+    got = nearest.exact_search(pts, so_far, k).toPandas()
+    best = defaultdict(list)
+    for q, c, score in zip(got["q"], got["c"], got["score"], strict=True):
+        best[q["low"]].append((-score, c["low"]))
+    asked = range(0, 600, 7)
+    for q in asked:
+        s = x @ x[q]
+        assert [c for _, c in sorted(best[q])[: k + 1]] == np.lexsort((np.arange(600), -s))[: k + 1].tolist()
+    assert len(got) == (k + 1) * len(asked) if found > k else len(got) > 3 * (k + 1) * len(asked)
+
+
 def test_clashing_names_pass(spark, docs):
     own = docs.withColumns({"q_words": F.lit(1), "q_kept": F.lit("x"), "m_size": F.lit(2), "m_shard": F.lit(3), "found_blob": F.lit("b"), "s_spans": F.lit(4)})
     for out in (quality_rules.kept_documents(own), secret_scans.redacted(own), ngram_join.one_of_each(own)):
