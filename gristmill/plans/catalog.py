@@ -116,7 +116,8 @@ def sql_fold(e: str) -> str:
     return f"array_to_string(list_transform(list_zip({folded}, {blanks}), lambda x: x[1] || coalesce(x[2], '')), '')"
 
 
-@query("n1_nfkc")
+# of what NFKC changes, these texts hold only the letters put before them
+@query("n1_nfkc", f"SELECT doc_id, sha256('Ignfi ' || nfc_normalize(t)) AS digest FROM {DOCS}")
 def n1(spark: SparkSession, d: str) -> DataFrame:
     wide = F.concat(F.lit("Ｉｇｎﬁ "), "t")
     return tx.nfkc(documents(spark, d).select("doc_id", wide.alias("text"))).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
@@ -610,7 +611,11 @@ def w13(spark: SparkSession, d: str) -> DataFrame:
     return _spots(spark, d).select("doc_id", F.explode(sp.merge(F.col("spans"))).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
 
 
-@query("w8_batches")
+#: Spots one after the other: each joins the batch before it if gap and size allow.
+_BATCHED = f"list_reduce(list_transform(list({{'s': s, 'e': e}} ORDER BY s, e), lambda x: [x]), lambda out, x: CASE WHEN x[1].s - out[-1].e <= {windows.BATCH_GAP} AND x[1].e - out[-1].s <= {windows.BATCH_SIZE} THEN list_append(out[1:len(out) - 1], {{'s': out[-1].s, 'e': x[1].e}}) ELSE list_concat(out, x) END)"
+
+
+@query("w8_batches", f"SELECT doc_id, b.s::INT AS start, b.e::INT AS stop FROM (SELECT doc_id, unnest({_BATCHED}) AS b FROM {SPOTS} GROUP BY doc_id)")
 def w8(spark: SparkSession, d: str) -> DataFrame:
     return _spots(spark, d).select("doc_id", F.explode(windows.batches(F.col("spans"))).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
 
