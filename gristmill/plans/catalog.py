@@ -5,6 +5,7 @@ The raw tables hold no attacks, so both engines plant the same ones: a third of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -627,7 +628,16 @@ def w9(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "start", F.col("end").alias("stop"), F.round("peak", 6).alias("peak"), F.sha2(F.col("region").cast("binary"), 256).alias("digest"))
 
 
-@query("w11_regex_spans")
+def _sql_spans(table: str, text: str) -> str:
+    """(doc_id, s, e): distinct spans of the English rules and motifs in ``text``, from the lengths of matches and of what lies between them."""
+    exprs = [r.expr if r.kind == "regex" else re.escape(r.expr.lower()).replace(r"\ ", r"\s+") for r in rl.rules(["en"])]
+    found = " UNION ALL ".join(f"SELECT doc_id, {i} AS rule, regexp_split_to_array({text}, {p}) AS gs, regexp_extract_all({text}, {p}) AS ms FROM {table} WHERE regexp_matches({text}, {p})" for i, p in enumerate(q("(?i)" + e) for e in exprs))
+    pieces = f"SELECT doc_id, rule, unnest(gs) AS g, unnest(list_concat(ms, [NULL])) AS m, generate_subscripts(gs, 1) AS i FROM ({found})"
+    ends = f"SELECT doc_id, m, sum(length(g) + length(coalesce(m, ''))) OVER (PARTITION BY doc_id, rule ORDER BY i) AS e FROM ({pieces})"
+    return f"(SELECT DISTINCT doc_id, (e - length(m))::INT AS s, e::INT AS e FROM ({ends}) WHERE m IS NOT NULL)"
+
+
+@query("w11_regex_spans", f"WITH d AS (SELECT doc_id, t FROM {DOCS}) SELECT doc_id, s AS start, e AS stop FROM {_sql_spans('d', 't')}")
 def w11(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", F.explode(sp.rule_spans(F.col("t"))).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
 
@@ -642,7 +652,11 @@ def w12(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("doc_id", F.explode(sp.merge(F.col("spans"))).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
 
 
-@query("w14_around_patterns")
+#: Windows about the spans in their order; one that starts less than the gap after the last ends it later.
+_AROUND = "list_reduce(list([{'s': greatest(c - 256, 0), 'e': least(c + 256, size)}] ORDER BY s, e), lambda out, x: CASE WHEN x[1].s - out[-1].e < 256 THEN list_append(out[1:len(out) - 1], {'s': out[-1].s, 'e': x[1].e}) ELSE list_concat(out, x) END)"
+
+
+@query("w14_around_patterns", f"WITH d AS (SELECT doc_id, n FROM {NDOCS}) SELECT doc_id, w.s::INT AS start, w.e::INT AS stop FROM (SELECT doc_id, unnest({_AROUND}) AS w FROM (SELECT doc_id, s, e, (s + e) // 2 AS c, length(n) AS size FROM {_sql_spans('d', 'n')} JOIN d USING (doc_id)) GROUP BY doc_id)")
 def w14(spark: SparkSession, d: str) -> DataFrame:
     rows = norm_documents(spark, d).withColumn("spans", sp.rule_spans(F.col("n")))
     return rows.select("doc_id", F.explode(windows.around(F.col("spans"), F.length("n"))).alias("w")).select("doc_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"))
@@ -661,7 +675,12 @@ def w16(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- rewriting -------------------------------------------------------------------------------------------------
 
-@query("r1_redact")
+_ISLANDS = "(SELECT doc_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e) AS island FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM %s)) GROUP BY doc_id, island)"
+
+
+@query("r1_redact", f"""WITH d AS (SELECT doc_id, t FROM {DOCS}), m AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS low FROM {_ISLANDS % _sql_spans('d', 't')}),
+    x AS (SELECT doc_id, count(*) AS n, any_value(t) AS t, max(e) AS high, string_agg(substring(t, low + 1, s - low) || repeat('{sp.MARK}', e - s), '' ORDER BY s) AS masked FROM m JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0)::INT AS n_spans, sha256(CASE WHEN n IS NULL THEN d.t ELSE masked || substring(d.t, high + 1) END) AS digest FROM d LEFT JOIN x USING (doc_id)""")
 def r1(spark: SparkSession, d: str) -> DataFrame:
     """Every whole document, the spans of all its matches masked."""
     rows = documents(spark, d).withColumn("merged", sp.merge(sp.rule_spans(F.col("t"))))
