@@ -678,8 +678,12 @@ def w16(spark: SparkSession, d: str) -> DataFrame:
 _ISLANDS = "(SELECT doc_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e) AS island FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM %s)) GROUP BY doc_id, island)"
 
 
-@query("r1_redact", f"""WITH d AS (SELECT doc_id, t FROM {DOCS}), m AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS low FROM {_ISLANDS % _sql_spans('d', 't')}),
-    x AS (SELECT doc_id, count(*) AS n, any_value(t) AS t, max(e) AS high, string_agg(substring(t, low + 1, s - low) || repeat('{sp.MARK}', e - s), '' ORDER BY s) AS masked FROM m JOIN d USING (doc_id) GROUP BY doc_id)
+#: Of the texts of ``d`` that have spans: how many, where the last ends, and all up to there with the spans masked.
+_MASKED = f"""m AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS low FROM {_ISLANDS % _sql_spans('d', 't')}),
+    x AS (SELECT doc_id, count(*) AS n, max(e) AS high, string_agg(substring(t, low + 1, s - low) || repeat('{sp.MARK}', e - s), '' ORDER BY s) AS masked FROM m JOIN d USING (doc_id) GROUP BY doc_id)"""
+
+
+@query("r1_redact", f"""WITH d AS (SELECT doc_id, t FROM {DOCS}), {_MASKED}
     SELECT doc_id, coalesce(n, 0)::INT AS n_spans, sha256(CASE WHEN n IS NULL THEN d.t ELSE masked || substring(d.t, high + 1) END) AS digest FROM d LEFT JOIN x USING (doc_id)""")
 def r1(spark: SparkSession, d: str) -> DataFrame:
     """Every whole document, the spans of all its matches masked."""
@@ -713,9 +717,12 @@ def r4(spark: SparkSession, d: str) -> DataFrame:
     return actions.acted(detected(spark, d), "t", "metadata").select("doc_id", "output", "content_type")
 
 
-@query("r7_redact_action")
+# these attacks are not disguised, so the spans of the texts as they stand are all there is to mask
+@query("r7_redact_action", f"""WITH f AS (SELECT doc_id, t, {_FLAG} AS flagged, round({_FINAL}, 2) AS score, {_CODES} AS signals FROM {SCORED}), d AS (SELECT doc_id, t FROM f WHERE flagged), {_MASKED}
+    SELECT doc_id, score, signals, CASE WHEN flagged THEN '<untrusted>' || chr(10) || '<suspected-prompt-injection p="' || printf('%.2f', score) || '" t="' || signals || '">' || chr(10) || CASE WHEN n IS NULL THEN f.t ELSE masked || substring(f.t, high + 1) END || chr(10) || '</suspected-prompt-injection>' || chr(10) || '</untrusted>' ELSE {_PLAIN.replace(" t ", " f.t ")} END AS output FROM f LEFT JOIN x USING (doc_id)""")
 def r7(spark: SparkSession, d: str) -> DataFrame:
-    return actions.acted(detected(spark, d), "t", "redact").select("doc_id", "score", "signals", "output")
+    rows = detected(spark, d).withColumn("score", F.round("score", 2))
+    return actions.acted(rows, "t", "redact").select("doc_id", "score", "signals", "output")
 
 
 _PHRASE = f"{sql_list(ATTACKS)}[(doc_id % 7 + 1)::INT]"
