@@ -4,8 +4,9 @@ A byte is removed if a string of ``LENGTH`` bytes that covers it also starts ear
 same document); strings never cross documents and are judged on the input.
 
 Sharding. The value of a string is the least hash of its 16-byte grams, so equal strings have equal values. Runs
-of consecutive string starts with one value are regions; a region whose value is that of no other, and whose least gram
-occurs in it once, holds no repeated string. All others go, with their bytes, to the shard of their value: equal strings always meet. Regions of
+of consecutive string starts with one value are regions. A string holds ``HALF`` bytes before its least gram or ``HALF`` after it, so
+a region that shares the gram with the bytes on neither side with another, and in which the gram occurs once, holds no
+repeated string. All others go, with their bytes, to the shard of their value: equal strings always meet. Regions of
 equal content travel once per block of documents.
 
 Sorting. In a shard, the distinct regions are one text. The left-most S suffixes are sorted and induce all L and then all
@@ -35,6 +36,8 @@ from .bpe import _pack, _unpack, small_batches
 from .common import table, text_or_empty
 
 LENGTH, GRAM = 100, 16
+#: Of the bytes of a string beside its least gram, at least so many stand on one side of it.
+HALF = (LENGTH - GRAM) // 2
 BLOCK_BYTES, SLICE = 1 << 23, 1 << 20
 #: Bytes that the queues of one sort keep in memory.
 QUEUE_BYTES = 1 << 26
@@ -257,14 +260,28 @@ def sorted_suffixes(text: np.ndarray, queue_bytes: int = QUEUE_BYTES) -> Iterato
 # ---- regions of a block ----------------------------------------------------------------------------------------
 
 
+def _first_equal(h: np.ndarray, picks: np.ndarray, first: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each region the first of ``picks`` from ``first`` on whose gram has the region's value."""
+    at = np.searchsorted(picks, first)
+    left = np.flatnonzero(h[picks[at]] != value) if len(at) else at
+    while len(left):
+        at[left] += 1
+        left = left[h[picks[at[left]]] != value[left]]
+    return picks[at]
+
+
 class Regions:
-    """Of the concatenated texts of a block: first start, number of starts, value and content hash of each region."""
+    """Of the concatenated texts of a block: first start, number of starts, value and content hash of each region.
+
+    ``sides``: hashes of the least grams with the bytes on one side, where strings of the region hold them; ``owner`` is the region.
+    Regions in which the gram occurs again are periodic: their hashes, each once, have no owner (-1).
+    """
 
     def __init__(self, data: np.ndarray, ends: np.ndarray) -> None:
         n = len(data)
         begins = np.concatenate([[0], ends[:-1]])
         whole = np.ndarray((max(n - 7, 0),), "<u8", data.tobytes() if n else b"", strides=(1,)) if n >= 8 else np.empty(0, np.uint64)
-        out = []
+        out, sides, owners, others, before = [], [], [], [], 0
         for at in range(0, max(n - LENGTH + 1, 0), SLICE):
             stop = min(at + SLICE, n - LENGTH + 1)  # string starts of this slice
             m = stop - at + LENGTH - GRAM
@@ -299,13 +316,29 @@ class Regions:
             power[0] = 1
             power = np.multiply.accumulate(power)
             sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(h * power)])
-            back = np.full(int(first[-1]) + 1, _R_INVERSE, np.uint64)
+            back = np.full(m, _R_INVERSE, np.uint64)
             back[0] = 1
             back = np.multiply.accumulate(back)
             content = (sums[first + counts + LENGTH - GRAM] - sums[first]) * back[first]
-            out.append((first + at, counts, least[first], content, doc[first], np.isin(least[first], twice)))
+            periodic = np.isin(least[first], twice)
+            out.append((first + at, counts, least[first], content, doc[first], periodic))
+
+            def hashed(begin: np.ndarray, sums: np.ndarray = sums, back: np.ndarray = back) -> np.ndarray:
+                return (sums[begin + HALF + 1] - sums[begin]) * back[begin]
+
+            alone = np.flatnonzero(~periodic)
+            place = _first_equal(h, picks, first[alone], least[first[alone]])
+            for some, shift, mark in ((first[alone] <= place - HALF, HALF, _M2), (first[alone] + counts[alone] - 1 > place - HALF, 0, _M3)):
+                sides.append(hashed(place[some] - shift) ^ mark)
+                owners.append(alone[some] + before)
+            again = picks[np.isin(h[picks], twice)]
+            others += [hashed(again[again >= HALF] - HALF) ^ _M2, hashed(again[again + HALF < m]) ^ _M3]
+            before += len(first)
         kinds = (np.int64, np.int64, np.uint64, np.uint64, np.int64, bool)
         self.start, self.count, self.value, self.content, self.doc, self.periodic = (np.concatenate([np.empty(0, k), *(o[i] for o in out)]) for i, k in enumerate(kinds))
+        apart = np.unique(np.concatenate([np.empty(0, np.uint64), *others]))
+        self.sides = np.concatenate([*sides, apart])
+        self.owner = np.concatenate([np.empty(0, np.int64), *owners, np.full(len(apart), -1)])
         self.begins = begins
 
 
@@ -453,7 +486,7 @@ def marked(docs: DataFrame, key: str = "doc_id", queue_bytes: int = QUEUE_BYTES)
 
     def values_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, data, ends in _block_rows(batches):
-            value = Regions(data, ends).value
+            value = Regions(data, ends).sides
             bucket = _spread(value, n_buckets)
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
@@ -477,14 +510,16 @@ def marked(docs: DataFrame, key: str = "doc_id", queue_bytes: int = QUEUE_BYTES)
     def regions_out(texts: pa.Table, flags: pa.Table) -> pa.Table:
         data, ends = _unpack(texts.column("data")[0].as_py(), np.uint8), _unpack(texts.column("ends")[0].as_py(), np.int64)
         r = Regions(data, ends)
-        bucket = _spread(r.value, n_buckets)
+        bucket = _spread(r.sides, n_buckets)
         by = np.argsort(bucket, kind="stable")
         counts = np.bincount(bucket.astype(np.int64), minlength=n_buckets)
         bits = {b: x for b, x in zip(flags.column("bucket").to_pylist(), flags.column("twice").to_pylist(), strict=True)}
         twice = np.zeros(len(by), bool)
         twice[by] = np.concatenate([np.empty(0, bool), *(np.unpackbits(np.frombuffer(bits[b], np.uint8), count=int(n)).astype(bool) for b, n in enumerate(counts) if n)])
         keys = np.array([_NULL if k is None else k for k in texts.column("keys")[0].as_py()], np.int64)
-        some = np.flatnonzero(twice | r.periodic)
+        wanted = r.periodic.copy()
+        wanted[r.owner[twice & (r.owner >= 0)]] = True
+        some = np.flatnonzero(wanted)
         shard = _spread(r.value[some] ^ _M2, n_shards).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         some, edges = some[order], np.searchsorted(shard[order], np.arange(n_shards + 1))

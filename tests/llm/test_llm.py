@@ -308,6 +308,41 @@ def test_suffix_dedup(spark, docs, none):
     assert suffix_dedup.deduplicated(none).count() == 0
 
 
+def test_regions_go_to_shards_by_more_than_a_gram():
+    # random bytes around 16 that two texts share meet no string of the other; a passage of 100 bytes and a period do
+    rng = np.random.default_rng(5)
+    letters = lambda n: rng.integers(97, 123, n, dtype=np.uint8)
+
+    def regions(*parts):
+        return suffix_dedup.Regions(np.concatenate(parts), np.cumsum([len(p) for p in parts]))
+
+    common, passage, period = letters(16), letters(100), np.tile(letters(30), 10)
+    around = [regions(np.concatenate([letters(300), common, letters(300)])) for _ in range(50)]
+    values, sides = (np.concatenate([getattr(r, c) for r in around]) for c in ("value", "sides"))
+    assert len(np.unique(values)) < len(values) and len(np.unique(sides)) == len(sides)
+    for shared in (passage, period):
+        for _ in range(20):
+            one, two = (regions(np.concatenate([letters(int(rng.integers(0, 200))), shared, letters(int(rng.integers(0, 200)))])) for _ in range(2))
+            assert len(np.intersect1d(one.sides, two.sides))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_dedup_of_strings_at_every_place(spark, seed):
+    # copies of 99 to 180 bytes from anywhere, some over few letters, so that grams repeat inside and outside them
+    rng = np.random.default_rng(seed)
+    pool = ["".join("abcdefghij"[i] for i in rng.integers(0, n, 400)) for n in (1, 2, 2, 3, 10, 10)]
+    rows = []
+    for k in range(40):
+        parts = []
+        for _ in range(int(rng.integers(1, 5))):
+            source, n = pool[int(rng.integers(len(pool)))], int(rng.integers(99, 181))
+            at = int(rng.integers(0, len(source) - n))
+            parts += ["".join("abcdefghij"[i] for i in rng.integers(0, 10, int(rng.integers(0, 60)))), source[at : at + n]]
+        rows.append((k, "".join(parts)))
+    got = suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id")
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()} == removed(rows)
+
+
 def test_mixing(spark, docs, none):
     sizes = mixing.sized(docs)
     rows = mixing.drawn(sizes, mixing.plan(sizes)).collect()
