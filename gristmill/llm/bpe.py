@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, tokenizer_path
+from .common import lean, lean_call, table, text_or_empty, tokenizer_path
 
 BLOCK_WORDS = 1 << 21
 #: Texts of few but very long words end a block by their bytes.
@@ -40,8 +40,9 @@ KEPT_WORDS, KEPT_LENGTH = 1 << 17, 32
 _WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
-#: What is not plain, for Java: beyond ASCII some punctuation and the Latin letters up to U+017F are.
-_NOT_PLAIN = r"[^\x00-\x7F\x{A1}\x{A7}\x{A9}\x{AB}\x{AE}\x{B0}\x{B7}\x{BB}\x{BF}-\x{17F}\x{2010}-\x{2027}\x{2030}-\x{205E}]"
+#: Plain texts, for Java: beyond ASCII some punctuation and the Latin letters up to U+017F. Runs of ASCII pass one comparison a
+#: character; possessive, so that Java neither goes back nor deeper with the length of a text.
+_PLAIN = r"\A[\x00-\x7F]*+(?:[\x{A1}\x{A7}\x{A9}\x{AB}\x{AE}\x{B0}\x{B7}\x{BB}\x{BF}-\x{17F}\x{2010}-\x{2027}\x{2030}-\x{205E}]++[\x00-\x7F]*+)*+\z"
 _OTHER, _LETTER, _DIGIT, _BLANK, _AS_BEFORE = range(5)
 
 
@@ -167,7 +168,7 @@ class Encoder:
 
         self.vocabulary, tokenizer = Vocabulary(path), Tokenizer.from_file(path)
         self.model, self.pre, self.map = tokenizer.model, tokenizer.pre_tokenizer, {b: c for b, c in self.vocabulary.letters.items()}
-        self.specials = self.vocabulary.specials
+        self.specials, self.blank = self.vocabulary.specials, self.map[0x20]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
@@ -181,7 +182,9 @@ class Encoder:
     def word(self, word: str) -> list[int]:
         if word in self.specials:
             return [self.specials[word]]
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.map))]
+        # of printable ASCII only the blank has another letter
+        letters = word.replace(" ", self.blank) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.map)
+        return [t.id for t in self.model.tokenize(letters)]
 
     def all_words(self, words: list[str], counts: list[int]) -> list[bytes]:
         """The ids of each as 32-bit integers. Words met twice or more stay known for the worker's next blocks."""
@@ -317,12 +320,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, n_buckets: int, block_
         moves.append(move)
         held += int(own.sum())
         n_bytes += batch.nbytes
+        del own, words, move
         if held >= block_words or n_bytes >= block_bytes:
-            yield task << 32 | k, _Block(pa.chunked_array(keys), sizes, values, moves, n_buckets)
+            block = _Block(pa.chunked_array(keys), sizes, values, moves, n_buckets)
+            keys, sizes, values, moves = [], [], [], []  # the texts go before the block is used
+            yield task << 32 | k, block
+            del block
             k, held, n_bytes = k + 1, 0, 0
-            keys, sizes, values, moves = [], [], [], []
     if keys:
-        yield task << 32 | k, _Block(pa.chunked_array(keys), sizes, values, moves, n_buckets)
+        block = _Block(pa.chunked_array(keys), sizes, values, moves, n_buckets)
+        keys, sizes, values, moves = [], [], [], []
+        yield task << 32 | k, block
 
 
 #: How a text is split: at byte classes, by the tokenizer, by Java.
@@ -331,7 +339,7 @@ PLAIN, UNKNOWN, BY_JAVA = range(3)
 
 def _split(docs: DataFrame, key: str, vocabulary: Vocabulary) -> DataFrame:
     text = F.col("text")
-    plain = (F.octet_length(text) == F.length(text)) | ~text.rlike(_NOT_PLAIN)
+    plain = (F.octet_length(text) == F.length(text)) | text.rlike(_PLAIN)
     for special in vocabulary.specials:
         plain = plain & ~text.contains(special)
     kind = F.when(plain, PLAIN).when(text.rlike(r"\p{Cn}"), UNKNOWN).otherwise(BY_JAVA)
@@ -355,6 +363,7 @@ def encode(docs: DataFrame, key: str = "doc_id", path: str | None = None, block_
             some = [i for i in range(n_buckets) if edges[i] < edges[i + 1]]
             packed = [_pack(np.diff(offsets[edges[i] : edges[i + 1] + 1]), data[offsets[edges[i]] : offsets[edges[i + 1]]]) for i in some]
             yield pa.record_batch([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["block", "bucket", "lengths", "data"])
+            del b, offsets, data, packed  # before the next block is gathered
 
     def encode_bucket(rows: pa.Table) -> pa.Table:
         lengths = [_unpack(x, np.int32) for x in rows.column("lengths").to_pylist()]
@@ -374,6 +383,7 @@ def encode(docs: DataFrame, key: str = "doc_id", path: str | None = None, block_
             keys = pa.ListArray.from_arrays(pa.array([0, len(b.keys)], pa.int32()), b.keys.combine_chunks())
             sizes, codes = _pack(b.sizes.astype(np.int32), b.codes)
             yield pa.record_batch([pa.array([block], pa.int64()), keys, pa.array([sizes], pa.binary()), pa.array([codes], pa.binary()), pa.array([len(b.words)], pa.int32())], ["block", "keys", "sizes", "codes", "n_words"])
+            del b, keys, sizes, codes
 
     def by_position(blocks: pa.Table, encoded: pa.Table) -> pa.Table:
         encoded = encoded.sort_by("bucket")
@@ -389,10 +399,10 @@ def encode(docs: DataFrame, key: str = "doc_id", path: str | None = None, block_
         return pa.table([blocks.column("keys").combine_chunks().flatten(), pa.ListArray.from_arrays(pa.array(tokens[ends].astype(np.int32)), ids)], [key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    word_table = split.mapInArrow(words_out, "block long, bucket int, lengths binary, data binary")
-    encoded = word_table.groupBy("bucket").applyInArrow(encode_bucket, "block long, bucket int, sizes binary, ids binary")
-    blocks = split.mapInArrow(codes_out, f"block long, keys array<{kind}>, sizes binary, codes binary, n_words int")
-    return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(by_position, f"`{key}` {kind}, ids array<int>")
+    word_table = split.mapInArrow(lean(words_out), "block long, bucket int, lengths binary, data binary")
+    encoded = word_table.groupBy("bucket").applyInArrow(lambda rows: lean_call(encode_bucket, rows), "block long, bucket int, sizes binary, ids binary")
+    blocks = split.mapInArrow(lean(codes_out), f"block long, keys array<{kind}>, sizes binary, codes binary, n_words int")
+    return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(lambda own, words: lean_call(by_position, own, words), f"`{key}` {kind}, ids array<int>")
 
 
 def encode_in_place(docs: DataFrame, key: str = "doc_id", path: str | None = None, block_words: int = BLOCK_WORDS // 2) -> DataFrame:
@@ -420,7 +430,7 @@ def encode_in_place(docs: DataFrame, key: str = "doc_id", path: str | None = Non
                 first = stop
             del b, own, words, tokens  # before the next block is gathered
 
-    return _split(docs, key, Vocabulary(path)).mapInArrow(encoded, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    return _split(docs, key, Vocabulary(path)).mapInArrow(lean(encoded), f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -443,7 +453,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(join_pieces, f"{fields}, decoded string")
+    return encoded.mapInArrow(lean(join_pieces), f"{fields}, decoded string")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,9 @@ without ids keeps its row; an empty table writes empty tables; only the key and
 
 from __future__ import annotations
 
+import functools
+import itertools
+import operator
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import encode_in_place, small_batches
-from .common import scratch_dir, table
+from .common import lean, scratch_dir, table
 
 CHUNK = 1 << 16
 _CHUNKS = "part int, seq int, n int, width int, planes array<binary>, docs array<int>, keys array<long>, sizes array<int>, before boolean, after boolean"
@@ -51,13 +54,11 @@ def to_planes(ids: np.ndarray, unit: str = "bit", level: int = 1) -> tuple[int,
 
 def from_planes(n: int, width: int, planes: list[bytes]) -> np.ndarray:
     z = zstandard.ZstdDecompressor()
-    rows = np.stack([np.frombuffer(z.decompress(p), np.uint8) for p in planes])
-    if len(planes) == 8 * width:
-        bits = np.unpackbits(rows, axis=1, count=n, bitorder="little")
-        rows = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-    else:
-        rows = rows.T
-    return np.ascontiguousarray(rows).view(f"<u{width}").reshape(-1).astype(np.uint32)
+    rows = [np.frombuffer(z.decompress(p), np.uint8) for p in planes]
+    if len(planes) == 8 * width:  # eight planes make a byte of each id
+        bits = (np.unpackbits(p, count=n, bitorder="little") << np.uint8(k % 8) for k, p in enumerate(rows))
+        rows = [functools.reduce(operator.ior, itertools.islice(bits, 8)) for _ in range(width)]
+    return np.stack(rows, axis=1).view(f"<u{width}").reshape(-1).astype(np.uint32)
 
 
 def in_key_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -109,7 +110,7 @@ def write(ordered: DataFrame, path: str, key: str = "doc_id", end_id: int | None
 
     lists = [("docs", pa.int32()), ("keys", pa.int64()), ("sizes", pa.int32())]
     schema = pa.schema([*((c, pa.int32()) for c in ("part", "seq", "n", "width")), ("planes", pa.list_(pa.binary())), *((c, pa.list_(t)) for c, t in lists), ("before", pa.bool_()), ("after", pa.bool_())])
-    ordered.select(F.col(key).cast("long").alias("key"), "ids").mapInArrow(blocks, _CHUNKS).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
+    ordered.select(F.col(key).cast("long").alias("key"), "ids").mapInArrow(lean(blocks), _CHUNKS).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
     chunks = spark.read.schema(_CHUNKS).parquet(f"{path}/chunks")
     totals = chunks.groupBy("part").agg(F.sum("n").alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
@@ -142,7 +143,7 @@ def read(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = T
 
     chunks = spark.read.schema(_CHUNKS).parquet(f"{path}/chunks")
     small_batches(spark)
-    found = chunks.mapInArrow(pieces, "part int, seq int, doc int, key long, at long, n long, crc long, raw binary")
+    found = chunks.mapInArrow(lean(pieces), "part int, seq int, doc int, key long, at long, n long, crc long, raw binary")
     first = spark.read.parquet(f"{path}/index").select("part", "seq", "first_id")
     placed = found.join(first, ["part", "seq"])
     each = placed.groupBy("part", "doc").agg(F.first("key").alias("key"), F.min(F.col("first_id") + F.col("at")).alias("start"), F.sum("n").alias("n_tokens"), F.max("crc").alias("crc"), F.sort_array(F.collect_list(F.struct("seq", "raw"))).alias("parts"))
