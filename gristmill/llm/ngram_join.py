@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import small_batches
-from .common import split_words, stored, table, unused
+from .common import lean, split_words, stored, table, unused
 
 GRAM, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -250,7 +250,7 @@ def _rows(docs: DataFrame, key: str) -> DataFrame:
 def grouped(docs: DataFrame, key: str, threshold: float, tolerance: float, chunk_weight: int, giant: int) -> tuple[DataFrame, DataFrame]:
     """(key, hash, same) of every row, and of every class (same, rep, group, class_id, n_links): its own first row, the
     least class it is connected with, the least key of that group, and how many other rows each of its rows is similar to."""
-    sketched = stored(_rows(docs, key).mapInArrow(_sketches, "key long, hash long, n_windows long, same binary, bands array<long>"), "sketches")
+    sketched = stored(_rows(docs, key).mapInArrow(lean(_sketches), "key long, hash long, n_windows long, same binary, bands array<long>"), "sketches")
     rep = F.struct(F.col("key").isNull().alias("none"), "key", "hash")
     classes = stored(sketched.filter("same is not null").groupBy("same").agg(F.min(rep).alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
 
@@ -278,7 +278,7 @@ def grouped(docs: DataFrame, key: str, threshold: float, tolerance: float, chunk
     wanted = members.select("w_key", "w_hash")  # read from files, so that Spark knows its size
     rows = _rows(docs, key)
     texts = rows.join(wanted, rows["key"].eqNullSafe(wanted["w_key"]) & (rows["hash"] == wanted["w_hash"]), "left_semi").select("text")
-    sets = stored(texts.mapInArrow(_sets, "same binary, windows binary, sign binary").filter("same is not null").dropDuplicates(["same"]), "sets")
+    sets = stored(texts.mapInArrow(lean(_sets), "same binary, windows binary, sign binary").filter("same is not null").dropDuplicates(["same"]), "sets")
     dealt = sets.join(meet, "same").select("cluster", "band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "same", "chunk", "copies", "windows", "sign")
     found = stored(dealt.groupBy("cluster", "band", "low", "high").applyInArrow(_links(threshold, tolerance), "same binary, links long, root binary"), "links")
     linked = found.groupBy("same").agg(F.sum("links").alias("links")).select(F.col("same").alias("l_same"), "links")

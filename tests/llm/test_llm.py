@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.llm import bpe, mixing, nearest, ngram_join, quality_classifier, quality_rules, secret_scans, suffix_dedup, token_planes, url_filters
+from gristmill.llm import bpe, common, mixing, nearest, ngram_join, quality_classifier, quality_rules, secret_scans, suffix_dedup, token_planes, url_filters
 from gristmill.llm.common import stored as common_stored
 from gristmill.llm.common import tokenizer_path
 
@@ -265,6 +265,37 @@ def test_token_planes(spark, docs, none, tmp_path, unit):
     assert (token_planes.from_planes(3, *token_planes.to_planes(wide, unit)) == wide).all()
 
 
+def test_plain_texts_are_those_of_the_named_ranges(spark):
+    named = [(0, 0x7F), *((c, c) for c in (0xA1, 0xA7, 0xA9, 0xAB, 0xAE, 0xB0, 0xB7)), (0xBB, 0xBB), (0xBF, 0x17F), (0x2010, 0x2027), (0x2030, 0x205E)]
+    chars = [chr(c) for c in [*range(0x300), *range(0x2000, 0x2070), 0x3000, 0x4E2D, 0xFFFD, 0x1F600]]
+    texts = ["", "é a" * 200_000, "é a" * 200_000 + "中", *(t for c in chars for t in (c, f"ab{c}", f"é{c}a"))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", F.col("text").rlike(bpe._PLAIN).alias("plain")).collect()
+    assert {r["k"]: r["plain"] for r in rows} == {k: all(any(a <= c <= b for a, b in named) for c in map(ord, set(t))) for k, t in enumerate(texts)}
+
+
+def test_words_of_printable_ascii_take_the_short_way():
+    encoder = bpe.Encoder.of(tokenizer_path())
+    for w in ["".join(map(chr, range(32, 127))), " the", "\x7f", " \t", "a\x00", " é", "~" * 40]:
+        assert encoder.word(w) == [t.id for t in encoder.model.tokenize(w.encode().decode("latin-1").translate(encoder.map))]
+
+
+def test_workers_give_memory_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def task(batches):
+        for n in batches:
+            held = [bytes(50_000) for _ in range(n)]
+            kept.append(bytes(100))  # stands above them on the heap
+            yield len(held)
+
+    kept, before = [], resident()
+    assert list(common.lean(task)(iter([4000, 10]))) == [4000, 10]
+    assert resident() - before < 60 << 20
+    assert common.lean_call(lambda a, b: a + b, 1, 2) == 3
+
+
 def test_known_words_are_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_WORDS", 50)
     encoder = bpe.Encoder(tokenizer_path())
