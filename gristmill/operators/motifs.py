@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,83 +96,238 @@ def partial_ratio(short: str, long: str) -> tuple[float, int]:
     return best, at
 
 
-def _best_alignments(motif: str, masks: dict[str, np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``partial_ratio`` of one motif with many windows no shorter than it, a step for all windows at a time.
-
-    ``masks``: for every window and place the bits of the motif's letters there, read forwards and, from the window's end, backwards.
+HITS = "array<struct<motif:string,category:string,position:int,length:int,score:double>>"
+#: Characters that are read together; a longer text is read in pieces of so many.
+_PIECE = 1 << 20
+
+
+class _Alphabet:
+    """The letters of the motifs as small numbers; 0 is any other character."""
+
+    def __init__(self, listed: list[str]) -> None:
+        self.letters = sorted(set("".join(listed)))
+        self.number = {x: i for i, x in enumerate(self.letters, 1)}
+        self.table = np.zeros(sys.maxunicode + 1, np.uint8 if len(self.letters) < 256 else np.uint16)
+        for x, i in self.number.items():
+            self.table[ord(x)] = i
+
+    def codes(self, text: str) -> np.ndarray:
+        return self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+def _least_shared(size: int, least: float) -> int:
+    """Letters that an alignment must share, where the two strings have ``size`` together, to reach ``least``."""
+    return next((c for c in range(size + 1) if 200.0 * c / size >= least), size + 1)
+
+
+class _Piece:
+    """Texts laid out one behind the other, each from a multiple of ``STEP`` on, so that window w of all starts at w * ``STEP``."""
+
+    def __init__(self, parts: list[tuple[int, int, str, int]], alphabet: _Alphabet) -> None:
+        """``parts``: row, place of the part in its text, the part, and up to where windows start in it."""
+        wide = [-(-len(t) // STEP) * STEP for _, _, t, _ in parts]
+        base = np.concatenate([[0], np.cumsum(wide)]).astype(np.int64)
+        self.alphabet, self.n = alphabet, int(base[-1])
+        self.codes = np.zeros(self.n + 2 * SIZE, alphabet.table.dtype)
+        for (_, _, t, _), low in zip(parts, base, strict=False):
+            self.codes[low : low + len(t)] = alphabet.codes(t)
+        per = base[1:] // STEP - base[:-1] // STEP
+        part = np.repeat(np.arange(len(parts)), per)
+        self.first = (base[:-1] // STEP)[part]
+        self.starts = np.arange(self.n // STEP, dtype=np.int64) * STEP
+        end = (base[:-1] + np.array([len(t) for _, _, t, _ in parts], np.int64))[part]
+        own = self.starts - base[part] < np.array([w for _, _, _, w in parts], np.int64)[part]
+        self.lengths = np.where(own, np.minimum(end - self.starts, SIZE), 0)
+        self.rows = np.array([r for r, _, _, _ in parts], np.int64)[part]
+        self.shift = np.array([at for _, at, _, _ in parts], np.int64)[part] - base[part]  # from a place here to one in the text
+        self.ends = end
+        held = np.flatnonzero(np.bincount(self.codes, minlength=len(alphabet.letters) + 1)[1:]) + 1
+        self.sums = {int(x): np.concatenate([np.zeros(1, np.uint8), np.cumsum(self.codes == x, dtype=np.uint8)]) for x in held}  # differences below 256 are right
+        rows = self.n // STEP + SIZE // STEP + 1
+        self.by_step = {x: np.ascontiguousarray(c[: rows * STEP].reshape(rows, STEP).T) for x, c in self.sums.items()}  # [k][w]: the sum at k characters from window w's start
+        self.bounds: dict[int, np.ndarray] = {}
+        self.cut_off = np.flatnonzero(self.lengths < SIZE)  # windows that end with their text
+
+    def most(self, count: int) -> np.ndarray:
+        """``count`` everywhere: numpy compares bytes with an array many times faster than with a number."""
+        if count not in self.bounds:
+            self.bounds[count] = np.full(self.n, count, np.uint8)
+        return self.bounds[count]
+
+    def counts(self, motif: str) -> list[tuple[int, int]]:
+        number = self.alphabet.number
+        return [(number[x], motif.count(x)) for x in sorted(set(motif)) if number[x] in self.sums]
+
+    def _shared(self, counts: list[tuple[int, int]], n: int, low: Callable[[int], np.ndarray], high: Callable[[int], np.ndarray]) -> np.ndarray:
+        """Letters that the motif shares with each of ``n`` stretches, from the sums at their ends: no common subsequence is longer."""
+        out, own = np.zeros(n, np.uint8), np.empty(n, np.uint8)
+        for x, most in counts:
+            if most == 1:
+                np.not_equal(high(x), low(x), out=own.view(bool))
+            else:
+                np.subtract(high(x), low(x), out=own)
+                np.minimum(own, self.most(most)[:n], out=own)
+            np.add(out, own, out=out)
+        return out
+
+    def shared_at(self, counts: list[tuple[int, int]], m: int) -> np.ndarray:
+        """By place: with the ``m`` characters from there on."""
+        return self._shared(counts, self.n, lambda x: self.sums[x][: self.n], lambda x: self.sums[x][m : self.n + m])
+
+    def shared_by_window(self, counts: list[tuple[int, int]], k: int, last: bool) -> np.ndarray:
+        """By window: with its first or ``last`` ``k`` characters."""
+        n = len(self.starts)
+        at = lambda i: lambda x: self.by_step[x][i % STEP][i // STEP : i // STEP + n]
+        if not last:
+            return self._shared(counts, n, at(0), at(k))
+        out, high = self._shared(counts, n, at(SIZE - k), at(SIZE)), (self.starts + self.lengths)[self.cut_off]
+        low = np.maximum(high - k, 0)
+        out[self.cut_off] = self._shared(counts, len(high), lambda x: self.sums[x][low], lambda x: self.sums[x][high])
+        return out
+
+
+def _aligned(piece: _Piece, motif: str, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, place, score) of the windows no shorter than ``motif`` whose ``partial_ratio`` with it reaches ``least``.
+
+    Places, not windows, are aligned: a stretch of two windows is read once, and only where it shares letters enough.
     """
-    m, n = len(motif), len(lengths)
-    full = np.uint64((1 << m) - 1)
-    best, at = np.zeros(n), np.zeros(n, np.int64)
+    m, counts, starts, lengths = len(motif), piece.counts(motif), piece.starts, piece.lengths
+    fits = lengths >= max(m, SHORTEST)
+    kind = np.uint32 if m < 32 else np.uint64
+    full = kind((1 << m) - 1)
+    bits, flipped = np.zeros(len(piece.alphabet.letters) + 1, kind), np.zeros(len(piece.alphabet.letters) + 1, kind)
+    for i, x in enumerate(motif):
+        bits[piece.alphabet.number[x]] |= kind(1 << i)
+        flipped[piece.alphabet.number[x]] |= kind(1 << (m - 1 - i))
 
     def step(row: np.ndarray, letter: np.ndarray) -> np.ndarray:
         u = row & letter
         return ((row + u) | (row - u)) & full
 
-    def take(row: np.ndarray, k: int, where: np.ndarray | int, valid: np.ndarray | bool = True) -> None:
-        score = 200.0 * (m - np.bitwise_count(row).astype(np.int64)) / (m + k)
-        better = (score > best) & valid
-        best[better] = score[better]
-        at[better] = np.broadcast_to(where, n)[better]
-
-    forward, backward = masks["forward"], masks["backward"]
-    for s in range(forward.shape[1] - m + 1):
-        row = np.full(n, full)
-        for t in range(m):
-            row = step(row, forward[:, s + t])
-        take(row, m, s, s + m <= lengths)
-    for side, where in ((forward, lambda k: 0), (backward, lambda k: lengths - k)):
-        row = np.full(n, full)
-        for k in range(1, m):
-            row = step(row, side[:, k - 1])
-            take(row, k, where(k))
-    return best, at
+    found = []  # window, place, score, rank: of equal scores in a window the least rank counts
+    some = np.flatnonzero(piece.shared_at(counts, m) >= _least_shared(2 * m, least))
+    own = some // STEP
+    some, own = some[some + m <= piece.ends[own]], own[some + m <= piece.ends[own]]
+    row = np.full(len(some), full)
+    for t in range(m):
+        row = step(row, bits[piece.codes[some + t]])
+    score = 200.0 * (m - np.bitwise_count(row).astype(np.int64)) / (2 * m)
+    hit = score >= least
+    some, own, score = some[hit], own[hit], score[hit]
+    for back in range(SIZE // STEP):
+        w = own - back
+        inside = (w >= piece.first[own]) & fits[w] & (some + m <= starts[w] + SIZE)
+        found.append((w[inside], some[inside], score[inside], (some - starts[w])[inside]))
+    shortest = next((k for k in range(1, m) if 200.0 * k / (m + k) >= least), m)
+    together = 3
+    for last, table in ((False, bits), (True, flipped)):
+        may = np.zeros(len(starts), bool)
+        for k in range(shortest, m, together):  # what the longest of some stretches shares bounds the others
+            may |= piece.shared_by_window(counts, min(k + together, m) - 1, last) >= _least_shared(m + k, least)
+        w = np.flatnonzero(may & fits)
+        row, at, end = np.full(len(w), full), starts[w], starts[w] + lengths[w]
+        for k in range(1, m if len(w) else 1):
+            row = step(row, table[piece.codes[end - k if last else at + k - 1]])
+            if k >= shortest:
+                score = 200.0 * (m - np.bitwise_count(row).astype(np.int64)) / (m + k)
+                hit = score >= least
+                found.append((w[hit], (end - k if last else at)[hit], score[hit], np.full(int(hit.sum()), (2 if last else 1) * SIZE + k)))
+    w, place, score, rank = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((rank, -score, w))
+    w, place, score = w[order], place[order], score[order]
+    best = np.flatnonzero(np.diff(w, prepend=-1))
+    return w[best], place[best], score[best]
+
+
+def _short_windows(piece: _Piece, motif: str, least: float, texts: list[str]) -> list[tuple[int, int, float]]:
+    """As ``_aligned``, of the windows shorter than ``motif``, which a text ends with: few, each aligned by itself where letters allow."""
+    m, out = len(motif), []
+    short = np.flatnonzero((piece.lengths >= SHORTEST) & (piece.lengths < m))
+    number = piece.alphabet.number
+    letters = sorted(set(motif))
+    of = np.array([[x == y for y in letters] for x in motif], np.int16).cumsum(axis=0)
+    of = np.concatenate([np.zeros((1, len(letters)), np.int16), of])
+    for size in np.unique(piece.lengths[short]).tolist():
+        own = short[piece.lengths[short] == size]
+        low = piece.starts[own]
+        zero = np.zeros(len(own), np.uint8)
+        held = np.stack([piece.sums[number[x]][low + size] - piece.sums[number[x]][low] if number[x] in piece.sums else zero for x in letters], axis=1).astype(np.int16)
+        cuts = np.array([(s, s + size) for s in range(m - size + 1)] + [(0, k) for k in range(1, size)] + [(m - k, m) for k in range(1, size)])
+        shared = np.minimum(held[:, None, :], (of[cuts[:, 1]] - of[cuts[:, 0]])[None]).sum(axis=2)
+        may = (200.0 * shared >= least * (size + cuts[:, 1] - cuts[:, 0])[None]).any(axis=1)
+        for w in own[may].tolist():
+            at = int(piece.starts[w] + piece.shift[w])
+            score, place = partial_ratio(motif, texts[piece.rows[w]][at : at + size])
+            if score >= least:
+                out.append((w, int(piece.starts[w]) + place, score))
+    return out
+
+
+def fuzzy_places(texts: list[str | None], listed: list[str], least: float = FUZZY_LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, motif, position, score) of all windows of ``texts`` whose best partial ratio with a motif of ``listed`` (numbers from 0)
+    reaches ``least``; once a row, motif and position, with the best score there. ``texts`` are in lower case."""
+    alphabet = _Alphabet(listed)
+    found = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.float64))]
+
+    def read(parts: list[tuple[int, int, str, int]]) -> None:
+        piece = _Piece(parts, alphabet)
+        for i, motif in enumerate(listed):
+            w, place, score = _aligned(piece, motif, least) if 0 < len(motif) <= SIZE else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            if motif and (rest := _short_windows(piece, motif, least, texts)):
+                more = [np.array(c) for c in zip(*rest, strict=True)]
+                w, place, score = np.concatenate([w, more[0]]), np.concatenate([place, more[1]]), np.concatenate([score, more[2]])
+            found.append((piece.rows[w], np.full(len(w), i), place + piece.shift[w], score))
+
+    parts, held = [], 0
+    whole = _PIECE // STEP * STEP
+    for row, text in enumerate(texts):
+        for at in range(0, len(text or ""), whole):
+            parts.append((row, at, text[at : at + whole + SIZE - STEP], whole))
+            held += len(parts[-1][2])
+            if held >= _PIECE:
+                read(parts)
+                parts, held = [], 0
+    if parts:
+        read(parts)
+    row, motif, position, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((-score, position, motif, row))
+    row, motif, position, score = row[order], motif[order], position[order], score[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (np.diff(row) != 0) | (np.diff(motif) != 0) | (np.diff(position) != 0)
+    return row[new], motif[new], position[new], score[new]
+
+
+def _fuzzy_listed(chosen: list[Rule] | None) -> list[tuple[str, str]]:
+    return list(dict.fromkeys((r.category, r.expr.lower()) for r in (rules(["en"]) if chosen is None else chosen) if r.kind == "motif"))
+
+
+def fuzzy_hits(text: Column, least: float = FUZZY_LEAST, chosen: list[Rule] | None = None) -> Column:
+    """Array of (motif, category, position, length, score) of a text in lower case, as ``find_fuzzy`` has them; a row meets no other."""
+    listed = _fuzzy_listed(chosen)
+    motifs = [m for _, m in listed]
+    if not listed:
+        return F.array().cast(HITS)
+
+    def match(texts: pa.Array) -> pa.Array:
+        row, motif, position, score = fuzzy_places(texts.to_pylist(), motifs, least)
+        offsets = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+        places = pa.StructArray.from_arrays([pa.array(motif, pa.int32()), pa.array(position, pa.int32()), pa.array(score, pa.float64())], names=["at", "position", "score"])
+        return pa.ListArray.from_arrays(pa.array(offsets), places)
+
+    match.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    found = F.arrow_udf(match, "array<struct<at:int,position:int,score:double>>")(text)
+    names = F.array(*[F.struct(F.lit(m).alias("motif"), F.lit(c).alias("category"), F.lit(len(m)).alias("length")) for c, m in listed])
+    of = lambda x: F.get(names, x["at"])
+    return F.transform(found, lambda x: F.struct(of(x)["motif"].alias("motif"), of(x)["category"].alias("category"), x["position"].alias("position"), of(x)["length"].alias("length"), x["score"].alias("score")))
 
 
 def find_fuzzy(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = FUZZY_LEAST, chosen: list[Rule] | None = None) -> DataFrame:
     """As ``find_exact``, with windows whose best partial ratio reaches ``least``.
 
-    With L letters shared no alignment scores more than 200 * L / (shorter length + L); pairs of window and motif below ``least``
-    are passed over for all windows of a batch at once, the others are aligned together.
+    With L letters shared no alignment with k characters scores more than 200 * L / (motif's length + k); of the stretches of a text
+    only those are aligned that share letters enough.
     """
-    listed = [(r.category, r.expr.lower()) for r in (rules(["en"]) if chosen is None else chosen) if r.kind == "motif"]
-    rows = windows(df.select(key, F.lower(F.col(text)).alias("text"))).select(key, "pos", "window")
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["window"].tolist()
-            n, lengths = len(texts), np.array([len(t) for t in texts])
-            wide = max(int(lengths.max(initial=0)), 1)
-            letters, codes = np.unique(np.array([t.ljust(wide, "\0") for t in texts], f"<U{wide}").view(np.uint32), return_inverse=True)
-            codes = codes.reshape(n, wide)
-            counts = np.zeros((n, len(letters)), np.uint8)
-            for c in range(wide):
-                counts[np.arange(n), codes[:, c]] += 1
-            number = {chr(int(x)): i for i, x in enumerate(letters) if x}
-            out = []
-            for category, m in listed:
-                shared = sum((np.minimum(counts[:, number[x]], m.count(x)).astype(np.int64) for x in sorted(set(m)) if x in number), np.zeros(n, np.int64))
-                some = np.flatnonzero(200.0 * shared >= least * (np.minimum(len(m), lengths) + shared))
-                long = some[(lengths[some] >= len(m)) & (len(m) <= 63)]
-                bits = np.zeros(len(letters) + 1, np.uint64)
-                flipped = bits.copy()
-                for i, x in enumerate(m[:63]):
-                    if x in number:
-                        bits[number[x]] |= np.uint64(1 << i)
-                        flipped[number[x]] |= np.uint64(1 << (min(len(m), 63) - 1 - i))
-                back = np.take_along_axis(codes[long], np.maximum(lengths[long, None] - 1 - np.arange(len(m)), 0), axis=1)
-                best, at = _best_alignments(m, {"forward": bits[codes[long]], "backward": flipped[back]}, lengths[long])
-                hit = best >= least
-                out += zip(long[hit].tolist(), at[hit].tolist(), best[hit].tolist(), [m] * int(hit.sum()), [category] * int(hit.sum()), strict=True)
-                for i in np.setdiff1d(some, long).tolist():  # windows shorter than the motif
-                    score, low = partial_ratio(m, texts[i])
-                    if score >= least:
-                        out.append((i, low, score, m, category))
-            keys, places = batch[key].tolist(), batch["pos"].tolist()
-            yield pd.DataFrame([(keys[i], m, c, places[i] + low, len(m), score) for i, low, score, m, c in out], columns=[key, "motif", "category", "position", "length", "score"])
-
-    kind = df.schema[key].dataType.simpleString()
-    found = rows.mapInPandas(match, f"`{key}` {kind}, motif string, category string, position int, length int, score double")
+    found = df.select(key, F.inline(fuzzy_hits(F.lower(F.col(text)), least, chosen)))
     return found.groupBy(key, "motif", "category", "position").agg(F.max("length").alias("length"), F.max("score").alias("score"))
 
 
