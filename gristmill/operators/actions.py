@@ -19,25 +19,25 @@ def detect(df: DataFrame, text: str = "text", threshold: float | Column = feats.
     """Adds ``norm_text``, seven densities, ``motif_density``, ``score``, ``suspicious``, ``flagged`` and ``signals``.
 
     The rules are those of ``languages`` (English; ``["all"]`` for every language), or ``rules`` as given, such as those of files
-    (``rules.from_files``). ``fuzzy`` names a unique key column: motifs then count as well where they occur misspelt.
+    (``rules.from_files``). ``fuzzy`` names a unique key column: motifs then count as well where they occur misspelt, and ``_misspelt``
+    keeps where, for ``acted``.
     ``threshold`` may be a column. Without any density the fast path holds: never flagged, at any threshold.
     """
-    from .motifs import find_fuzzy
+    from .motifs import fuzzy_hits
 
     chosen = rules if rules is not None else rules_of(languages or ["en"])
     df = tx.normalized(df, text) if nfkc else df.withColumn("norm_text", tx.plain_normalized(F.col(text)))
     norm = F.col("norm_text")
     # a count by place, each place once: windows of a text overlap, occurrences do not
-    motifs = F.lit(0) if fuzzy else feats.total_of(feats.motif_hits(norm, chosen))
+    if fuzzy:
+        df = df.withColumn("_misspelt", fuzzy_hits(F.lower(norm), chosen=chosen))
+    motifs = F.when(norm.isNotNull(), F.size("_misspelt")).otherwise(0) if fuzzy else feats.total_of(feats.motif_hits(norm, chosen))
     ids = feats.anchor_ids(norm, chosen)
     if ids is not None:
         df = df.withColumn("_ids", ids)
     found = F.struct(feats.rule_hits(norm, chosen, None if ids is None else F.col("_ids")).alias("_hits"), motifs.alias("_motifs"), F.length(norm).alias("_length"))
     # as generated rows: a later filter on the verdict is not pushed below, where it would run the rules again
     df = df.select("*", F.inline(F.array(found)))
-    if fuzzy:
-        counts = find_fuzzy(df, fuzzy, "norm_text", chosen=chosen).groupBy(fuzzy).agg(F.count(F.lit(1)).alias("_fuzzy"))
-        df = df.join(counts, fuzzy, "left").withColumn("_motifs", F.coalesce("_fuzzy", F.lit(0))).drop("_fuzzy")
     df = df.withColumns(feats.densities_of(F.col("_hits"), F.col("_length")))
     df = df.withColumn("motif_density", F.when(F.col("_length") >= 10, F.col("_motifs") * 1000.0 / F.col("_length")).otherwise(0.0)).drop("_hits", "_motifs", "_length", "_ids")
     named = {c: F.col(c) for c in CATEGORIES}
@@ -51,19 +51,20 @@ def masked_spans(df: DataFrame, text: str, rules: list[Rule] | None = None, fuzz
 
     That is every match of expressions and motifs in the text as it stands, and every stretch of it that a match
     in its normalised form stands for, so that what was flagged in disguise is masked too. ``fuzzy`` names the key column:
-    motifs that occur misspelt count as well.
+    motifs that occur misspelt count as well, where ``detect`` has found them.
     """
-    from .motifs import find_fuzzy
+    from .motifs import HITS, fuzzy_hits
 
     flagged = F.col("flagged")
     # generated rows: what follows names the spans more than once, and they are found once
     found = F.struct(F.when(flagged, sp.norm_spans(F.col("norm_text"), rules)).alias("_norm_spans"), F.when(flagged, sp.rule_spans(F.col(text), rules)).alias("_raw_spans"))
     df = df.select("*", F.inline(F.array(found)))
     if fuzzy:
-        place = F.struct(F.greatest("position", F.lit(0)).alias("start"), (F.col("position") + F.col("length")).alias("end"))
-        found = find_fuzzy(df.filter(flagged), fuzzy, "norm_text", chosen=rules).groupBy(fuzzy).agg(F.collect_set(place).alias("_fuzzy_spans"))
-        within = F.transform(F.coalesce("_fuzzy_spans", F.array().cast(sp.SPANS)), lambda s: F.struct(s["start"].alias("start"), F.least(s["end"], F.length("norm_text")).alias("end")))
-        df = df.join(found, fuzzy, "left").withColumn("_norm_spans", F.concat("_norm_spans", within)).drop("_fuzzy_spans")
+        place = lambda h: F.struct(F.greatest(h["position"], F.lit(0)).alias("start"), F.least(h["position"] + h["length"], F.length("norm_text")).alias("end"))
+        if "_misspelt" not in df.columns:
+            df = df.withColumn("_misspelt", fuzzy_hits(F.when(flagged, F.lower("norm_text")), chosen=rules))
+        within = F.array_distinct(F.transform(F.coalesce("_misspelt", F.array().cast(HITS)), place))
+        df = df.withColumn("_norm_spans", F.when(flagged, F.concat("_norm_spans", within))).drop("_misspelt")
     df = df.withColumn("_mapped", original_spans(F.col(text), F.col("_norm_spans")))
     both = F.concat("_raw_spans", F.coalesce("_mapped", F.array().cast(sp.SPANS)))
     return df.withColumn("merged", F.when(flagged, sp.merge(F.sort_array(F.array_distinct(both))))).drop("_norm_spans", "_raw_spans", "_mapped")
