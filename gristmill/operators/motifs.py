@@ -31,6 +31,12 @@ def find_exact(df: DataFrame, key: str = "doc_id", text: str = "text", chosen: l
     Motifs are located in the whole text and windows follow by arithmetic: a motif is no longer than what two windows
     share, so it lies whole in the last window that starts at or before it, and perhaps in the one before.
     """
+    rows = df.select(key, F.length(F.col(text)).alias("text_length"), F.inline(exact_hits(F.col(text), chosen)))
+    return rows.withColumn("length", F.length("motif")).withColumn("score", F.lit(100.0))
+
+
+def exact_hits(text: Column, chosen: list[Rule] | None = None) -> Column:
+    """Array of (motif, category, position, window_start) of a text, as ``find_exact`` has them."""
     table = table_of(rules(["en"]) if chosen is None else chosen, "motif", lambda r: r.expr.lower())
 
     def places(t: Column, m: Column) -> Column:
@@ -41,9 +47,7 @@ def find_exact(df: DataFrame, key: str = "doc_id", text: str = "text", chosen: l
         kept = F.filter(pairs, lambda x: _first_in_a_window(x["p"], x["q"], size, F.length(t)))
         return F.transform(kept, lambda x: F.struct(m["expr"].alias("motif"), m["category"].alias("category"), x["p"].alias("position"), _first_window(x["p"], x["q"], size).alias("window_start")))
 
-    found = once(F.lower(F.col(text)), lambda t: F.flatten(F.transform(F.filter(table, lambda m: F.contains(t, m["expr"])), lambda m: places(t, m))))
-    rows = df.select(key, F.length(F.col(text)).alias("text_length"), F.inline(found))
-    return rows.withColumn("length", F.length("motif")).withColumn("score", F.lit(100.0))
+    return once(F.lower(text), lambda t: F.flatten(F.transform(F.filter(table, lambda m: F.contains(t, m["expr"])), lambda m: places(t, m))))
 
 
 def _first_window(place: Column, previous: Column, size: Column) -> Column:
@@ -335,12 +339,24 @@ def signal(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "te
     """(key, density, total, nine features) of every row of ``df``; zeros without matches."""
     per = found.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"), *[F.max(F.when(F.col("category") == c, F.col("score"))).alias(f"c_{c}") for c in MOTIFS])
     rows = df.select(key, F.length(text).alias("len")).join(per, key, "left")
-    score = lambda c: F.coalesce(F.col(f"c_{c}"), F.lit(0.0))
-    seen = sum((F.when(F.col(f"c_{c}").isNotNull(), 1).otherwise(0) for c in MOTIFS), F.lit(0))
-    density = F.when(F.col("len") > 0, F.coalesce("n", F.lit(0)) * 1000.0 / F.col("len")).otherwise(0.0)
-    total = sum((score(c) for c in MOTIFS), F.lit(0.0))
-    features = [F.least(density / 10, F.lit(1.0)).alias("f_density"), *[(score(c) / 100).alias(f"f_{c}") for c in MOTIFS], (F.coalesce("top", F.lit(0.0)) / 100).alias("f_top"), (seen / len(MOTIFS)).alias("f_categories")]
-    return rows.select(key, density.alias("density"), total.alias("total"), *features)
+    return rows.select(key, *_signal(F.col("len"), F.coalesce("n", F.lit(0)), F.coalesce("top", F.lit(0.0)), {c: F.col(f"c_{c}") for c in MOTIFS}))
+
+
+def signal_of(found: Column, length: Column) -> list[Column]:
+    """The columns of ``signal`` from the array of ``exact_hits`` in its own row."""
+    of = lambda c: F.when(F.exists(found, lambda x: x["category"] == c), F.lit(100.0))
+    n = F.greatest(F.size(found), F.lit(0))
+    return _signal(length, n, F.when(n > 0, F.lit(100.0)).otherwise(0.0), {c: of(c) for c in MOTIFS})
+
+
+def _signal(length: Column, n: Column, top: Column, by: dict[str, Column]) -> list[Column]:
+    """``by`` has the best score of each category, null without matches."""
+    score = {c: F.coalesce(x, F.lit(0.0)) for c, x in by.items()}
+    seen = sum((F.when(x.isNotNull(), 1).otherwise(0) for x in by.values()), F.lit(0))
+    density = F.when(length > 0, n * 1000.0 / length).otherwise(0.0)
+    total = sum(score.values(), F.lit(0.0))
+    features = [F.least(density / 10, F.lit(1.0)).alias("f_density"), *[(x / 100).alias(f"f_{c}") for c, x in score.items()], (top / 100).alias("f_top"), (seen / len(MOTIFS)).alias("f_categories")]
+    return [density.alias("density"), total.alias("total"), *features]
 
 
 def window_score(density: Column, n_categories: Column, mean_top: Column) -> Column:

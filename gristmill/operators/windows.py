@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.features import motif_hits, total_of
+from ..functions.features import motif_hits, once, total_of
+from ..functions.spans import SPANS
 from .motifs import window_score
 
 COARSE, COARSE_STEP, FINE, FINE_STEP = 4096, 2048, 512, 256
@@ -54,6 +55,30 @@ def hotspots(windows: DataFrame, key: str = "doc_id", hot: float = HOT, step: in
     return rows.groupBy(key, "hotspot_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("peak_score"), F.count(F.lit(1)).alias("n_windows"))
 
 
+def hotspots_of(text: Column) -> Column:
+    """Sorted (start, end) of the ``hotspots`` of a text in its own row, from its coarse windows."""
+    n = F.length(text)
+    size = sizes(n)
+    at = F.when(n > 50, F.sequence(F.lit(0), n - 1, F.greatest(size["coarse_step"], F.lit(1)))).otherwise(F.when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
+    each = F.transform(at, lambda s: F.struct(s.alias("start"), F.least(s + size["coarse"], n).alias("end")))
+    wide = F.filter(each, lambda w: (n <= 50) | (w["end"] - w["start"] >= 20))
+
+    def score(w: Column, hits: Column) -> Column:
+        kinds = F.size(F.array_distinct(F.transform(hits, lambda h: h["category"])))
+        density = total_of(hits) * 1000.0 / F.greatest(w["end"] - w["start"], F.lit(1))
+        return window_score(density, kinds, F.when(kinds > 0, 100.0).otherwise(0.0))
+
+    def step(out: Column, x: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        near = (F.size(out) > 0) & (x["start"] - last["end"] <= COARSE_STEP)
+        return F.when(near, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(x)))
+
+    own = lambda w: motif_hits(F.lower(F.substring(text, w["start"] + 1, w["end"] - w["start"])))
+    hot = F.filter(wide, lambda w: once(own(w), lambda hits: score(w, hits)) >= HOT)
+    return F.aggregate(hot, F.array().cast(SPANS), step)
+
+
 def drill(df: DataFrame, spots: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fine windows of each hotspot, padded by half a window and held within the text."""
     rows = spots.join(df.select(key, text), key)
