@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -138,6 +140,12 @@ def word_chunks(df: DataFrame, text: str = "text", size: int = 200, overlap: int
     return df.withColumn("chunk", F.array_join(F.slice("_words", F.col("_at") + 1, F.lit(size)), " ")).drop("_words", "_at")
 
 
+def chunks_of(text: str | None, size: int = 200, overlap: int = 30) -> list[str]:
+    """``word_chunks`` of one text."""
+    words = [w for w in re.split("[ \\t-\\r]+", text or "") if w]
+    return [" ".join(words[at : at + size]) for at in range(0, len(words), size - overlap) if at == 0 or at + overlap < len(words)]
+
+
 def rate_limited(events: DataFrame, key: str = "user_id", ts: str = "ts", limit: int = 10, seconds: int = 60) -> DataFrame:
     """Adds ``window_start``, ``allowed``, ``remaining`` and ``reset_at``: the first ``limit`` of a key in each aligned window pass."""
     start = F.floor(F.unix_timestamp(F.col(ts)) / seconds) * seconds
