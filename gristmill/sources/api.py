@@ -10,13 +10,15 @@ from ..functions.rules import CATEGORIES
 from ..operators import actions
 from .http import MAX_BYTES, api_reply
 
+#: A text beyond the parser's own bound of 20 million characters is too large, not broken JSON.
+_LONGEST = 2147483647
 _BODY = "html string, text string, url string, render boolean, action string, threshold string, _broken string"
 
 
 def requests(df: DataFrame, body: str = "body") -> DataFrame:
     """Adds ``request`` (the fields of the JSON body), ``action``, ``threshold``, ``status`` and ``error``; the two last are null
     for rows that may go on. A threshold that is no number is an error of the server, as it always was."""
-    r = F.from_json(F.col(body), _BODY, {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"})
+    r = F.from_json(F.col(body), _BODY, {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE", "maxStringLen": str(_LONGEST)})
     df = df.withColumn("request", F.when(F.trim(F.col(body)).startswith("{"), r))
     broken = F.col("request").isNull() | F.col("request._broken").isNotNull()
     given = F.col("request.threshold")

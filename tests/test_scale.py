@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from gristmill.operators import actions, full_model, models, motifs, windows
+from gristmill.sources import api
 
 
 def _one_at_a_time(texts, listed, least):
@@ -119,3 +120,10 @@ def test_words_that_cancel_still_have_a_vector(spark):
     norms = {r["i"]: r["n"] for r in df.select("i", F.sqrt(F.aggregate(models.hash_embedding(F.col("text")), F.lit(0.0), lambda s, x: s + x * x)).alias("n")).collect()}
     for i, t in enumerate(texts):
         assert abs(norms[i] - float(t.strip(" \n\t") != "")) < 1e-9, t
+
+
+def test_a_very_long_text_is_too_large_not_broken(spark):
+    """Beyond the 20 million characters that the JSON parser takes unless told."""
+    df = spark.range(1).select(F.concat(F.lit('{"text": "'), F.repeat(F.lit("x"), 20_000_100), F.lit('"}')).alias("body"))
+    r = api.convert(df).select("status", "error").first()
+    assert tuple(r) == (413, "Input too large (19531 KB). Maximum is 256 KB.")
